@@ -61,10 +61,25 @@ def read_back(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Durable checkpoint of a small iterative state (Spark's cleaner removes the files)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, label: str = "state", old: DataFrame | None = None) -> DataFrame:
+    """The state of an iteration as a written table; `old`, the state before it, is deleted.
+
+    Not df.checkpoint(): that keeps the constraints of the plan it cuts, which grow with every
+    iteration and soon dominate planning.
+    """
+    new = materialise(df, label)
+    if old is not None:
+        discard(old)
+    return new
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/acervo-" in folder:
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
