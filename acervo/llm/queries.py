@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acervo.llm.burst import term_frequencies
+from acervo.llm.consensus import consensus, krippendorff, reliability
+from acervo.llm.paired import rank_items, win_counts
+from acervo.llm.votes import systems, valid_votes
 from acervo.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,5 +24,33 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
 
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return valid_votes(table(spark, d, "annotations"), table(spark, d, "pair_comparisons"))
+
+
+def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return rank_items(win_counts(_votes(spark, d), systems(table(spark, d, "pair_comparisons"), table(spark, d, "model_alias"))))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_ranking(spark, d).where("rank <= 5").select(F.col("task").alias("task_type"), "model")
+
+
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus(_votes(spark, d))
+
+
+def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return reliability(_votes(spark, d))
+
+
+def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return krippendorff(_votes(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_consensus(spark, d).where("n >= 3").select("instance_id", F.col("label").alias("selected_model"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
