@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from acervo.llm.burst import term_frequencies
 from acervo.llm.consensus import consensus, krippendorff, reliability
+from acervo.llm.mixing import mix, quotas, shares, sized
+from acervo.llm.packing import pack
 from acervo.llm.paired import rank_items, win_counts
 from acervo.llm.votes import systems, valid_votes
 from acervo.runtime import table
@@ -52,5 +54,36 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_consensus(spark, d).where("n >= 3").select("instance_id", F.col("label").alias("selected_model"))
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    packed = p7_packing(spark, d).where("container IS NOT NULL")
+    return packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("piece_tokens").alias("tokens")).withColumn("slack", 2048 - F.col("tokens"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packing(spark, d).where("piece = 0 AND doc_tokens > piece_tokens").select("doc_id")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = sized(table(spark, d, "documents"))
+    quota = quotas(sizes, table(spark, d, "source_targets"))
+    return sizes, quota, mix(sizes, quota)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[2]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(*_mix(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_shares(spark, d).where("outcome IS NOT NULL").select("source", "outcome")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
