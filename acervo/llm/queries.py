@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acervo.llm.burst import term_frequencies
 from acervo.llm.consensus import consensus, krippendorff, reliability
+from acervo.llm.knn import mutual, nearest, newest_vectors
 from acervo.llm.mixing import mix, quotas, shares, sized
 from acervo.llm.packing import pack
 from acervo.llm.paired import rank_items, win_counts
@@ -26,6 +27,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_terms(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(newest_vectors(table(spark, d, "corpus"), "place_id", "indexed_at", "embeddings", 96))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mutual(p2_neighbours(spark, d), 0.85).select(F.col("id_1").alias("place_id_1"), F.col("id_2").alias("place_id_2"))
+
+
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     return valid_votes(table(spark, d, "annotations"), table(spark, d, "pair_comparisons"))
 
