@@ -157,7 +157,7 @@ def _search(folder: str, k: int, dim: int, least: float):
                     if len(open_rows):
                         kth = np.partition(tile[open_rows], -k, axis=1)[:, -k]
                         floor[open_rows] = kth - bound[open_rows]
-                rows, cols = np.nonzero(tile >= (floor - bound).astype(np.float32)[:, None])
+                rows, cols = np.divmod(np.flatnonzero(tile >= (floor - bound).astype(np.float32)[:, None]), tile.shape[1])
                 real = tile[rows, cols] > -3
                 rows, cols = rows[real], cols[real]
                 for lot in range(0, len(rows), 200_000):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from acervo.llm.burst import term_frequencies
 from acervo.llm.consensus import consensus, krippendorff, reliability
 from acervo.llm.knn import mutual, nearest, newest_vectors
+from acervo.llm.language import fit_profiles, languages, mislabelled
 from acervo.llm.mixing import mix, quotas, shares, sized
 from acervo.llm.packing import pack
 from acervo.llm.paired import rank_items, win_counts
@@ -47,6 +48,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_ranking(spark, d).where("rank <= 5").select(F.col("task").alias("task_type"), "model")
 
 
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages(table(spark, d, "pliegos"), fit_profiles(table(spark, d, "documents")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mislabelled(p5_languages(spark, d))
+
+
 def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus(_votes(spark, d))
 
