@@ -14,6 +14,7 @@ from acervo.llm.language import fit_profiles, languages, mislabelled
 from acervo.llm.mixing import mix, quotas, shares, sized
 from acervo.llm.packing import pack
 from acervo.llm.paired import rank_items, win_counts
+from acervo.llm.quality import judge
 from acervo.llm.votes import systems, valid_votes
 from acervo.runtime import table
 
@@ -103,5 +104,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).where("outcome IS NOT NULL").select("source", "outcome")
 
 
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return judge(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_statistics(spark, d).where("NOT prose").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
