@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from acervo.operators.wide import cells, widen
-from acervo.runtime import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    return widen(table(spark, d, "metadatos"), table(spark, d, "metadata_keys"), table(spark, d, "uploads"))
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return cells(p4_wide(spark, d))
+from acervo.plans import attributes, relational  # noqa: F401
+from acervo.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_wide": p4_wide, "p4_found": p4_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
