@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acervo.plans import attributes, relational  # noqa: F401
+from acervo.plans import analysis, attributes, maintenance, relational, topics  # noqa: F401
 from acervo.plans.registry import QUERIES, SQL, Query
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,20 @@ def binomial_p(wins: int, n: int) -> float:
     return min(1.0, sum(m for k in range(n + 1) if (m := mass(k)) <= seen * (1 + 1e-7)))
 
 
+def bootstrap_rate(df: DataFrame, won: str, samples: int = 5000, seed: int = 123) -> DataFrame:
+    """(rate, low, high): the share of true rows (null left out) and its 95 % bootstrap interval. A
+    resample of yes/no rows is a binomial draw from their counts, so the rows are read once."""
+    n, wins = df.where(F.col(won).isNotNull()).agg(F.count(F.lit(1)), F.count_if(F.col(won))).first()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.random.default_rng([seed, i]).binomial(n, wins / n) / n for i in batch.column(0).to_pylist()] if n else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64())], names=["x"])
+
+    draws = df.sparkSession.range(samples).mapInArrow(draw, "x double")
+    return draws.agg(F.lit(wins / n if n else None).cast("double").alias("rate"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
+
+
 def holm(df: DataFrame, p: str, group: list[str], tie: list[str]) -> DataFrame:
     """Adds p_holm: step-down adjusted p-values within the group, at most 1."""
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
