@@ -22,6 +22,8 @@ from acervo.runtime import materialise, parallelism, write_shared
 
 #: Vectors in a written block, and at most in a task's query block.
 BLOCK, QUERIES = 4096, 32768
+#: Query rows of a product tile (STRIP x BLOCK floats, 16 MB).
+STRIP = 1024
 _BLOCK = "block long, ids array<string>, codes binary, scales binary, exact binary"
 
 
@@ -42,7 +44,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pack(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, n, at = [], [], 0, 0
+        ids, held, n = [], [], 0
 
         def out() -> pa.RecordBatch:
             x = np.concatenate(held)
@@ -50,14 +52,16 @@ def _pack(dim: int):
             return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([list(ids)], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()), pa.array([scales.tobytes()], pa.binary()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "ids", "codes", "scales", "exact"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, BLOCK - n)
+                at += part.num_rows
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 ids += part.column(0).to_pylist()
                 held.append(x)
                 n += len(x)
-                if n >= BLOCK:
+                if n == BLOCK:
                     yield out()
                     ids, held, n = [], [], 0
         if n:
@@ -139,25 +143,25 @@ def _search(folder: str, k: int, dim: int, least: float):
         x, approx, error = (np.concatenate([p[j] for p in parts]) for j in range(3))
         heaps = Heaps(len(x), k)
         me = {name: i for i, name in enumerate(ids)}
+        buffer, flags = np.empty((STRIP, BLOCK), dtype=np.float32), np.empty((STRIP, BLOCK), dtype=bool)
         for other, codes, scales, exact in blocks():
             y, z, e = read(codes, scales, exact)
             names = other.as_py()
             mine = [(me[name], j) for j, name in enumerate(names) if name in me]
             slack = 1e-5 + float(e.max())
-            for at in range(0, len(x), BLOCK):
-                part = slice(at, at + BLOCK)
-                tile = approx[part] @ z.T
+            for at in range(0, len(x), STRIP):
+                part = slice(at, min(at + STRIP, len(x)))
+                tile = np.matmul(approx[part], z.T, out=buffer[: part.stop - at, : len(z)])
                 for i, j in mine:
-                    if at <= i < at + BLOCK:
+                    if at <= i < part.stop:
                         tile[i - at, j] = -4
-                floor = np.maximum(heaps.floor()[part], least)
                 bound = (error[part] * (1 + e.max()) + slack).astype(np.float32)  # |x.y - x'.y'| <= |x-x'||y| + |x'||y-y'|
-                if len(names) > k:  # before the heap is full, the tile's own k-th gives a floor
-                    open_rows = np.flatnonzero(~np.isfinite(floor))
-                    if len(open_rows):
-                        kth = np.partition(tile[open_rows], -k, axis=1)[:, -k]
-                        floor[open_rows] = kth - bound[open_rows]
-                rows, cols = np.divmod(np.flatnonzero(tile >= (floor - bound).astype(np.float32)[:, None]), tile.shape[1])
+                floor = heaps.floor()[part].copy()
+                if len(names) > k and len(unset := np.flatnonzero(~np.isfinite(floor))):  # the tile's own k-th best gives a floor
+                    floor[unset] = np.partition(tile[unset], -k, axis=1)[:, -k] - bound[unset]
+                floor = np.maximum(floor, least)
+                passed = np.greater_equal(tile, (floor - bound).astype(np.float32)[:, None], out=flags[: part.stop - at, : len(z)])
+                rows, cols = np.divmod(np.flatnonzero(passed), len(z))
                 real = tile[rows, cols] > -3
                 rows, cols = rows[real], cols[real]
                 for lot in range(0, len(rows), 200_000):
