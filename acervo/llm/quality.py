@@ -24,7 +24,7 @@ PROSE = 0.65
 
 _END = r"(?<=[.!?])\s+"
 _TOKEN = r"(?:\p{L}[\p{L}'’·-]*+|\d[\d.,/%€]*+)[,;:)»\"]?+\s++"
-_SENTENCE = rf"(?:[(«\"¿¡]?+{_TOKEN}){{3,70}}+[(«\"]?(?:\p{{L}}[\p{{L}}'’·-]*|\d+(?:[.,]\d+)*)[)»\"]?[.!?](?=\s|$)"
+_SENTENCE = rf"(?<![^\s(«\"¿¡])(?:[(«\"¿¡]?+{_TOKEN}){{3,70}}+[(«\"]?(?:\p{{L}}[\p{{L}}'’·-]*|\d+(?:[.,]\d+)*)[)»\"]?[.!?](?=\s|$)"
 _ITEM = r"(?m)^[ \t]*(?:\d+(?:\.\d+)*[.)]|[a-z]\)|[-*•·–])[ \t]+"
 
 STATISTICS = (
