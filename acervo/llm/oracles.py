@@ -19,7 +19,25 @@ freq AS (SELECT term, sum(n)::BIGINT AS occurrences, count(*) AS records FROM pe
 marked AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records > 0.5 * (SELECT count(*) FROM counted) THEN 'common' END AS mark FROM freq)
 """
 
+_VECTORS = """
+WITH newest AS (SELECT place_id, embeddings FROM (SELECT place_id, embeddings, row_number() OVER (PARTITION BY place_id ORDER BY indexed_at DESC NULLS LAST, embeddings DESC NULLS LAST) AS rn FROM corpus WHERE place_id IS NOT NULL) WHERE rn = 1),
+good AS (SELECT place_id AS id, embeddings::DOUBLE[] AS v FROM newest WHERE len(embeddings) = 96 AND len(list_filter(embeddings, lambda x: x IS NOT NULL AND isfinite(x))) = 96 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+unit AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM good),
+pairs AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.v, b.v) AS cosine FROM unit a, unit b WHERE a.id <> b.id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, neighbour) AS rank FROM pairs) WHERE rank <= 10)
+"""
+
+_VOTES = r"""
+WITH said AS (SELECT annotation_id, annotator, instance_id, annotated_at, regexp_extract(lower(trim(regexp_replace(selected_model, '\s+', ' ', 'g'))), '^(?:\{ ?["''] ?)?(a es mejor|b es mejor|ambos son malos)(?: ?["''] ?:[^:]*\})?$', 1) AS label FROM annotations),
+v AS (SELECT instance_id, label FROM (SELECT *, row_number() OVER (PARTITION BY annotator, instance_id ORDER BY annotated_at DESC NULLS LAST, annotation_id DESC) AS rn FROM said WHERE label <> '' AND annotator IS NOT NULL) WHERE rn = 1 AND instance_id IN (SELECT id FROM pair_comparisons)),
+m AS (SELECT instance_id, label, count(*) AS m FROM v GROUP BY ALL), u AS (SELECT instance_id, sum(m) AS n FROM m GROUP BY 1 HAVING sum(m) > 1),
+o AS (SELECT count(DISTINCT instance_id) AS items, sum(m)::BIGINT AS votes, sum(m * (n - m) / (n - 1)::DOUBLE) AS d FROM m JOIN u USING (instance_id)),
+t AS (SELECT label, sum(m)::DOUBLE AS t FROM m SEMI JOIN u USING (instance_id) GROUP BY 1)
+"""
+
 SQL = {
+    "p2_found": _VECTORS + "SELECT a.id AS place_id_1, a.neighbour AS place_id_2 FROM near a JOIN near b ON a.id = b.neighbour AND a.neighbour = b.id WHERE a.id < a.neighbour AND a.cosine >= 0.85",
+    "p6_agreement": _VOTES + "SELECT items, votes, round(1 - d / ((SELECT sum(t * (votes - t)) FROM t) / (votes - 1)), 9) AS alpha FROM o",
     "p1_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
     "p1_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
 }

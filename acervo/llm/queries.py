@@ -66,7 +66,7 @@ def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return krippendorff(_votes(spark, d))
+    return krippendorff(_votes(spark, d)).withColumn("alpha", F.round("alpha", 9))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
