@@ -177,17 +177,19 @@ def induce(x: np.ndarray, y: np.ndarray, seed: int = 3, most: int = 24) -> list[
 
 def fit_rules(df: DataFrame, common: list[str], key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[Rule]:
     """Rules for texts that aren't prose, from at most `sample` distinct texts chosen by hash."""
-    some = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where("text IS NOT NULL AND trim(text) <> ''").orderBy("h").limit(sample)
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where("text IS NOT NULL AND trim(text) <> ''")
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    some = rows.where(F.col("h") <= last).groupBy("h").agg(F.max("text").alias("text"))  # copies count once
     known = frozenset(common)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sentence_share(t, known) for t in batch.column(0).to_pylist()])], names=["text", "share"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sentence_share(t, known) for t in batch.column(1).to_pylist()])], names=["h", "text", "share"])
 
-    labelled = some.select("text").mapInArrow(label, "text string, share double")
-    rows = statistics(labelled, common, "text", ("share",)).collect()  # at most `sample` rows of numbers
-    if not rows:
-        return []
+    labelled = some.mapInArrow(label, "h long, text string, share double")
+    rows = sorted(statistics(labelled, common, "text", ("h", "share")).collect(), key=lambda r: r["h"])  # at most `sample` rows of numbers
     x = np.nan_to_num(np.array([[r[c] if r[c] is not None else 0.0 for c in STATISTICS] for r in rows]))
     return induce(x, np.array([r["share"] < PROSE for r in rows]))
 
