@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,26 +71,33 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", ke
     return profiles
 
 
+@lru_cache(maxsize=50_000)
+def _ids_of(word: str) -> np.ndarray:
+    """Hashes of a word's n-grams: lines are ranked on numbers, not strings."""
+    return np.array([xxhash.xxh64_intdigest(g) for g in _grams_of(word)], dtype=np.uint64)
+
+
 class Judge:
     def __init__(self, profiles: dict[str, dict[str, int]], size: int) -> None:
         self.langs = sorted(profiles)
-        vocabulary = sorted(set().union(*profiles.values()))
-        self.index = {g: i for i, g in enumerate(vocabulary)}
+        ids = {g: xxhash.xxh64_intdigest(g) for p in profiles.values() for g in p}
+        self.known = np.array(sorted(set(ids.values())), dtype=np.uint64)
         self.missing = 2 * math.log1p(size)
-        self.ranks = np.full((len(vocabulary), len(self.langs)), np.nan)
+        self.ranks = np.full((len(self.known), len(self.langs)), np.nan)
         for j, name in enumerate(self.langs):
             for g, rank in profiles[name].items():
-                self.ranks[self.index[g], j] = math.log1p(rank)
+                self.ranks[np.searchsorted(self.known, np.uint64(ids[g])), j] = math.log1p(rank)
 
     def __call__(self, line: str) -> tuple[str, float]:
-        """The nearest language and the confidence: how much nearer it is than the next, from 0 to 1."""
-        found = sorted(grams(line).items(), key=lambda x: (-x[1], x[0]))
-        at = [(i, j) for i, (g, _) in enumerate(found) if (j := self.index.get(g)) is not None]
-        far = np.full(len(self.langs), self.missing * (len(found) - len(at)))
-        if at:
-            i, j = np.array(at).T
-            gap = np.abs(np.log1p(i)[:, None] - self.ranks[j])
-            far += np.where(np.isnan(gap), self.missing, gap).sum(axis=0)
+        """The nearest language and the confidence: how much nearer it is than the next, from 0 to 1.
+        n-grams of equal frequency rank by their hash."""
+        words = _WORD.findall(line.lower())
+        found, counts = np.unique(np.concatenate([_ids_of(w) for w in words]) if words else np.empty(0, np.uint64), return_counts=True)
+        found = found[np.argsort(-counts, kind="stable")]
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        hit = self.known[at] == found
+        gap = np.abs(np.log1p(np.flatnonzero(hit))[:, None] - self.ranks[at[hit]])
+        far = self.missing * (~hit).sum() + np.where(np.isnan(gap), self.missing, gap).sum(axis=0)
         order = np.argsort(far, kind="stable")
         if len(order) == 1:
             return self.langs[0], 1.0
