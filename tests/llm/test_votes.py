@@ -41,13 +41,13 @@ def test_ranking_against_newton(spark):
     rows += [(i + j, "u", i + j, LABELS[0], AT, "x") for j in range(3)] + [(i + 5, "w", 0, LABELS[2], AT, "x")]
     c = spark.createDataFrame(compared, CMP)
     w = win_counts(valid_votes(spark.createDataFrame(rows, ANN), c), systems(c, alias))
-    got = {r["model"]: r for r in rank_items(w, prior=0.5, tolerance=1e-6).collect()}
+    got = {r["model"]: r for r in rank_items(w, prior=0.5, tolerance=1e-4).collect()}
     x = np.zeros(k)
     for _ in range(4000):  # gradient ascent on the same regularised likelihood
         p = 1 / (1 + np.exp(x[None, :] - x[:, None]))
         s = 1 / (1 + np.exp(-x))
         x += 0.02 * ((wins * (1 - p)).sum(1) - (wins.T * p).sum(1) + 0.5 * (1 - s) - 0.5 * s)
-    assert [got[f"m{m}"]["strength"] for m in range(k)] == pytest.approx(list(x), abs=2e-3)
+    assert [got[f"m{m}"]["strength"] for m in range(k)] == pytest.approx(list(x), abs=5e-3)
     assert [r for r in sorted(got, key=lambda m: got[m]["rank"])] == [f"m{m}" for m in np.argsort(-x)]
     assert {r["component"] for r in got.values()} == {"m0"} and all(r["se"] > 0 for r in got.values())
     assert sum(r["wins"] for r in got.values()) == wins.sum()
@@ -77,13 +77,13 @@ def simulate(seed, items=300, annotators=12):
 def test_consensus_beats_majority(spark):
     truth, votes = simulate(8)
     df = spark.createDataFrame(votes, "instance_id long, annotator string, label int")
-    got = {r["instance_id"]: r for r in consensus(df).collect()}
+    got = {r["instance_id"]: r for r in consensus(df, rounds=3).collect()}
     right = np.mean([LABELS.index(got[i]["label"]) == truth[i] for i in range(len(truth))])
     count = np.zeros((len(truth), 3))
     for i, _, v in votes:
         count[i, v] += 1
     assert right > 0.9 and right >= np.mean(count.argmax(1) == truth)
-    rel = {r["annotator"]: r for r in reliability(df).collect()}
+    rel = {r["annotator"]: r for r in reliability(df, rounds=3).collect()}
     assert rel["u00"]["reliability"] > rel["u05"]["reliability"] > rel["u09"]["reliability"] > rel["u11"]["reliability"]
     assert all(r["low"] <= r["reliability"] <= r["high"] for r in rel.values())
 
@@ -128,6 +128,6 @@ def test_agreement(spark):
     r = krippendorff(mixed).first()
     assert (r["items"], r["votes"]) == (2, 4) and r["alpha"] == pytest.approx(1 - 2 / (2 * 3 * 1 / 3))
     assert krippendorff(mixed.limit(0)).first()["alpha"] is None
-    assert consensus(mixed.limit(0)).collect() == []
-    tie = consensus(spark.createDataFrame([(1, "a", 1), (1, "b", 0)], schema)).first()
+    assert consensus(mixed.limit(0), rounds=1).collect() == []
+    tie = consensus(spark.createDataFrame([(1, "a", 1), (1, "b", 0)], schema), rounds=1).first()
     assert tie["n"] == 2 and tie["agreement"] == 0
