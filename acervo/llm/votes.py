@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.clean import squeeze
+from acervo.operators.annotation import LABELS, vote_label  # noqa: F401
 from acervo.operators.latest import latest
 
-#: The three labels as they are spelled in the tables.
-LABELS = ("A es mejor", "B es mejor", "Ambos son malos")
-
 
 def valid_votes(annotations: DataFrame, comparisons: DataFrame) -> DataFrame:
     """(instance_id, annotator, label 0..2): of each annotator's valid votes on one comparison the latest.
@@ -19,9 +17,7 @@ def valid_votes(annotations: DataFrame, comparisons: DataFrame) -> DataFrame:
     case and spacing, on a comparison that exists. Votes without annotator are dropped; votes without
     time come before all others; of votes at the same time the larger id counts.
     """
-    said = F.lower(squeeze(F.col("selected_model")))
-    label = F.regexp_extract(said, r"""^(?:\{ ?["'] ?)?(a es mejor|b es mejor|ambos son malos)(?: ?["'] ?:[^:]*\})?$""", 1)
-    rows = annotations.select("annotator", "instance_id", "annotated_at", "annotation_id", (F.array_position(F.array(*[F.lit(x.lower()) for x in LABELS]), label) - 1).cast("int").alias("label"))
+    rows = annotations.select("annotator", "instance_id", "annotated_at", "annotation_id", vote_label(F.col("selected_model")).alias("label"))
     newest = latest(rows.where("label >= 0"), ["instance_id", "annotator"], ["annotated_at", "annotation_id"], ["label"])
     return newest.select("instance_id", "annotator", "label").join(comparisons.select(F.col("id").alias("instance_id")), "instance_id", "left_semi")
 

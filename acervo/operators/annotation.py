@@ -8,12 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acervo.functions.clean import squeeze
 from acervo.operators.latest import latest
 
+#: The three labels as they are spelled in the tables.
+LABELS = ("A es mejor", "B es mejor", "Ambos son malos")
 SPANS = "text string, spans array<struct<start: int, stop: int, label: string>>"
 _OPEN, _CLOSE = re.compile(r'<span\b[^>]*?schema_label="([^"]*)"[^>]*>|<span\b[^>]*>'), "</span>"
 
 
+def vote_label(c: Column) -> Column:
+    """Place 0..2 in LABELS of a vote, bare or as the only key of an object, whatever its case and
+    spacing; -1 for anything else, null for null."""
+    label = F.regexp_extract(F.lower(squeeze(c)), r"""^(?:\{ ?["'] ?)?(a es mejor|b es mejor|ambos son malos)(?: ?["'] ?:[^:]*\})?$""", 1)
+    return (F.array_position(F.array(*[F.lit(x.lower()) for x in LABELS]), label) - 1).cast("int")
+
+
 def current(events: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Votes as they stand: the newest value per key; an empty one deletes."""
     return latest(events, keys, [order], [value]).where(F.col(value).isNotNull() & (F.col(value) != "")).drop(order)

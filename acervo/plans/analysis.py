@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from acervo.functions import objective as O
 from acervo.functions import procurement as P
 from acervo.operators import evaluation as E
+from acervo.operators.annotation import LABELS, vote_label
+from acervo.operators.latest import latest
 from acervo.operators.retrieval import tokens
 from acervo.plans.registry import query
 from acervo.plans.relational import NEWEST, newest
@@ -91,17 +93,16 @@ def e2b(spark, d):
 _LAB = "vt AS (SELECT instance_id, annotator, selected_model, row_number() OVER (PARTITION BY instance_id, annotator ORDER BY annotated_at DESC, annotation_id DESC) AS rn FROM annotations WHERE selected_model IN ('A es mejor', 'B es mejor', 'Ambos son malos') AND annotator IS NOT NULL AND instance_id IS NOT NULL), v AS (SELECT * FROM vt WHERE rn = 1)"
 
 
-def _plain(spark, d):
-    """Bare votes: of each annotator's votes on a comparison the latest."""
-    from acervo.operators.latest import latest
-
-    rows = table(spark, d, "annotations").where(F.col("selected_model").isin("A es mejor", "B es mejor", "Ambos son malos"))
-    return latest(rows, ["instance_id", "annotator"], ["annotated_at", "annotation_id"], ["selected_model"]).select("instance_id", "annotator", "selected_model")
+def _votes(spark, d):
+    """Of each annotator's votes on a comparison the latest with a label, in whatever form it came."""
+    rows = table(spark, d, "annotations").select("instance_id", "annotator", "annotated_at", "annotation_id", vote_label(F.col("selected_model")).alias("label")).where("label >= 0")
+    newest = latest(rows, ["instance_id", "annotator"], ["annotated_at", "annotation_id"], ["label"])
+    return newest.select("instance_id", "annotator", F.array(*[F.lit(x) for x in LABELS])[F.col("label")].alias("selected_model"))
 
 
 def _two(spark, d):
     """The first two annotators of each comparison, by name."""
-    rows = _plain(spark, d).groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "selected_model"))).alias("v"))  # one vote per annotator
+    rows = _votes(spark, d).groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "selected_model"))).alias("v"))  # one vote per annotator
     return rows.where(F.size("v") > 1).select("instance_id", F.col("v")[0]["selected_model"].alias("a"), F.col("v")[1]["selected_model"].alias("b"))
 
 
@@ -141,7 +142,7 @@ def e7(spark, d):
     adjustment over the pairs. The p-value is a pandas function of the two counts."""
     import pandas as pd
 
-    votes = _plain(spark, d).join(table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), "item_a_model", "item_b_model").distinct(), "instance_id").where("selected_model <> 'Ambos son malos' AND item_a_model <> item_b_model")
+    votes = _votes(spark, d).join(table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), "item_a_model", "item_b_model").distinct(), "instance_id").where("selected_model <> 'Ambos son malos' AND item_a_model <> item_b_model")
     low = F.col("item_a_model") < F.col("item_b_model")
     rows = votes.select(F.least("item_a_model", "item_b_model").alias("a"), F.greatest("item_a_model", "item_b_model").alias("b"), (low == (F.col("selected_model") == "A es mejor")).alias("won"))
     counts = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins")).where("n >= 10")
@@ -160,7 +161,7 @@ _PTS = f"{_LAB}, pc AS (SELECT DISTINCT id, lower(trim(task_type)) AS task, item
 def _points(spark, d):
     c = table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), F.lower(F.trim("task_type")).alias("task"), "item_a_model", "item_b_model").distinct()
     label = F.array_position(F.array(F.lit("A es mejor"), F.lit("B es mejor"), F.lit("Ambos son malos")), F.col("selected_model")) - 1
-    rows = _plain(spark, d).select("instance_id", label.alias("label")).join(c, "instance_id")
+    rows = _votes(spark, d).select("instance_id", label.alias("label")).join(c, "instance_id")
     return E.league(rows, "item_a_model", "item_b_model", "label", ["task"])
 
 
@@ -176,7 +177,7 @@ def e12(spark, d):
 
 @query("e13_krippendorff", f"WITH {_LAB}, m AS (SELECT instance_id, selected_model, count(*) AS m FROM v GROUP BY ALL), u AS (SELECT instance_id, sum(m) AS n FROM m GROUP BY 1 HAVING sum(m) > 1), o AS (SELECT sum(m * (n - m) / (n - 1)::DOUBLE) AS d FROM m JOIN u USING (instance_id)), t AS (SELECT selected_model, sum(m)::DOUBLE AS t FROM m SEMI JOIN u USING (instance_id) GROUP BY 1), a AS (SELECT sum(t) AS n FROM t) SELECT round(1 - d / (SELECT sum(t * (n - t)) / (any_value(n) - 1) FROM t, a), 6) AS alpha FROM o")
 def e13(spark, d):
-    m = _plain(spark, d).groupBy("instance_id", "selected_model").agg(F.count(F.lit(1)).alias("m"))
+    m = _votes(spark, d).groupBy("instance_id", "selected_model").agg(F.count(F.lit(1)).alias("m"))
     u = m.groupBy("instance_id").agg(F.sum("m").alias("n")).where("n > 1")
     met = m.join(u, "instance_id")
     apart = met.agg(F.sum(F.col("m") * (F.col("n") - F.col("m")) / (F.col("n") - 1)).alias("d"))
@@ -201,7 +202,7 @@ def e4(spark, d):
 @query("a12_comparison_table", f"WITH {_PTS}, s AS (SELECT task, model, sum(points) AS points, median(points) AS med FROM pt WHERE model IS NOT NULL GROUP BY ALL) SELECT task, model, points::BIGINT AS points, med, rank() OVER (PARTITION BY task ORDER BY points DESC) AS place FROM s")
 def e14(spark, d):
     c = table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), F.lower(F.trim("task_type")).alias("task"), "item_a_model", "item_b_model").distinct()
-    v = _plain(spark, d).join(c, "instance_id")
+    v = _votes(spark, d).join(c, "instance_id")
     part = lambda win: F.when(F.col("selected_model") == win, 3).when(F.col("selected_model") == "Ambos son malos", 1).otherwise(0)
     sides = F.array(F.struct(F.col("item_a_model").alias("model"), part("A es mejor").alias("points")), F.struct(F.col("item_b_model").alias("model"), part("B es mejor").alias("points")))
     s = v.select("task", F.inline(sides)).where("model IS NOT NULL").groupBy("task", "model").agg(F.sum("points").cast("long").alias("points"), F.median("points").alias("med"))
