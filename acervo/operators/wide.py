@@ -44,21 +44,25 @@ def resolved_pairs(eav: DataFrame, attributes: list[tuple[str, str, str]], entit
 
 def widen(
     eav: DataFrame, keys: DataFrame, entities: DataFrame, entity: str = "document_id", key: str = "metadata_key",
-    value: str = "metadata_value", order: str = "id", entity_id: str = "id",
+    value: str = "metadata_value", order: str = "id", entity_id: str = "id", blank: bool = False,
 ) -> DataFrame:
-    """One row per entity of `entities` that has rows in `eav`: a typed column per attribute, and
-    `failures`, a map of attribute to the newest value that could not be cast.
+    """One row per entity of `entities` that has a countable row in `eav`, with `blank` one per entity
+    that has any: a typed column per attribute, and `failures`, a map of attribute to the newest value
+    that could not be cast.
 
     A key belongs to an attribute if it equals its name or label apart from case, accents,
     punctuation and spacing; rows with other keys, null keys, null entities or null values don't
-    count. The cell is the value of the largest `order` among those valid for the type (ties: the
-    larger value); placeholders are never valid. Repeated rows change nothing. An entity whose
-    values are all invalid has a row of nulls. Empty tables give no rows; extra columns are ignored.
+    count, nor do placeholders. The cell is the value of the largest `order` among those valid for the type (ties: the
+    larger value). Repeated rows change nothing. An entity whose values are all invalid has a row of
+    nulls; with `blank` so has one none of whose rows count, its failures empty. Empty tables give no rows; extra columns are ignored.
     """
     attributes = attributes_of(keys)
     pairs = resolved_pairs(eav, attributes, entity, key, value, order)
     some = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("attribute", c))))
     maps = pairs.groupBy("entity").agg(some("value").alias("cells"), some("failed").alias("failures"))  # at most one pair per attribute
+    if blank:
+        there = eav.select(F.col(f"`{entity}`").alias("entity")).where("entity IS NOT NULL").distinct()
+        maps = there.join(maps, "entity", "left").withColumn("failures", F.coalesce("failures", F.create_map().cast("map<string,string>")))
     known = entities.select(F.col(f"`{entity_id}`").alias("entity"))
     maps = maps.join(known, "entity", "left_semi")
     kinds = {a: TYPES[t][1] for a, _, t in attributes}

@@ -9,7 +9,11 @@ from acervo.runtime import table
 
 @query("p4_wide")
 def p4_wide(spark, d):
-    return widen(table(spark, d, "metadatos"), table(spark, d, "metadata_keys"), table(spark, d, "uploads"))
+    return _wide(spark, d, True)
+
+
+def _wide(spark, d, blank):
+    return widen(table(spark, d, "metadatos"), table(spark, d, "metadata_keys"), table(spark, d, "uploads"), blank=blank)
 
 
 _SQL = r"""
@@ -36,4 +40,4 @@ SELECT document_id, attribute, cell_value FROM (SELECT *, row_number() OVER (PAR
 
 @query("p4_found", _SQL)
 def p4_found(spark, d):
-    return cells(p4_wide(spark, d))
+    return cells(_wide(spark, d, False))  # a row of nulls has no cells
