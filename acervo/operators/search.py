@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a packed block.
-BLOCK = 4096
+#: Vectors in a packed block, and queries of a block that are ranked at once.
+BLOCK, STRIP = 4096, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,10 +45,11 @@ def block_search(queries: DataFrame, rows: DataFrame, k: int, dim: int) -> DataF
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, qd, r, rd in zip(*(c.to_pylist() for c in batch.columns)):
-                scores = np.frombuffer(qd).reshape(-1, dim) @ np.frombuffer(rd).reshape(-1, dim).T
-                ids = np.array(r)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query", "id", "score"])
+                x, y, ids = np.frombuffer(qd).reshape(-1, dim), np.frombuffer(rd).reshape(-1, dim), np.array(r)
+                for at in range(0, len(q), STRIP):
+                    scores = x[at : at + STRIP] @ y.T
+                    order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[at : at + STRIP], order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query", "id", "score"])
 
     pairs = left.crossJoin(right).mapInArrow(top, "query long, id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), F.asc("id"))

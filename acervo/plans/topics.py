@@ -13,6 +13,8 @@ from acervo.plans.registry import query
 from acervo.runtime import table
 
 K = 8
+#: Neighbours of a document that the export of similarities takes before the triangle.
+TOP_SIMILAR = 300
 _TH = """e AS (SELECT vec_id AS doc_id, unnest(range(0, 8)) AS topic, exp(2 * unnest(embedding[1:8])::DOUBLE) AS x FROM embeddings),
 th AS (SELECT doc_id, topic::INTEGER AS topic, x / sum(x) OVER (PARTITION BY doc_id) AS w FROM e),
 sp AS (SELECT doc_id, topic, w / sum(w) OVER (PARTITION BY doc_id) AS w FROM th WHERE w >= 0.003)"""
@@ -162,14 +164,15 @@ def t18(spark, d):
 
 @query("t19_similarity_export", f"WITH {_TH}, s AS (SELECT q.doc_id AS query, r.doc_id AS id, sum(sqrt(q.w * r.w)) AS score FROM sp q JOIN sp r ON q.topic = r.topic WHERE q.doc_id % 100 = 0 AND r.doc_id > q.doc_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s) SELECT query, string_agg(id::VARCHAR, ' ' ORDER BY rank) AS similar FROM k WHERE rank <= 20 GROUP BY query")
 def t19(spark, d):
-    """The upper triangle of the similarities as one string of neighbours per document."""
+    """The similarities as one line of 'id|score' per document: of its TOP_SIMILAR most similar documents,
+    itself among them, those of larger id by falling score, without the first of these (as the
+    reference has it). A document with none left has an empty line."""
     s = sparse(spark, d)
-    root = s.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", F.sqrt("w")))).alias("m"))
+    root = s.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", F.sqrt("w")))).alias("m"))  # at most K entries
     rows = root.select(F.col("doc_id").alias("id"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0.0)) for t in range(K)]).alias("v"))
-    n = rows.count()
-    near = block_search(rows.where("id % 100 = 0"), rows, n, K).where("id > query")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), F.asc("id")))).where("rank <= 20")
-    return ranked.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"].cast("string")), " ").alias("similar"))
+    near = block_search(rows, rows, TOP_SIMILAR, K)
+    later = F.array_sort(F.collect_list(F.when((F.col("id") > F.col("query")) & (F.col("score") > 0), F.struct("rank", "id", F.round("score", 12).cast("string").alias("s")))))  # at most TOP_SIMILAR
+    return near.groupBy("query").agg(later.alias("l")).select("query", F.array_join(F.transform(F.slice("l", 2, TOP_SIMILAR), lambda e: F.concat_ws("|", e["id"].cast("string"), e["s"])), " ").alias("similar"))
 
 
 _FULL = "f AS (SELECT doc_id, topic, w FROM sp), n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), mo AS (SELECT topic, sum(w) AS s, sum(w * w) AS ss FROM f GROUP BY topic)"
