@@ -45,6 +45,16 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return total.crossJoin(chance).select("n", p.alias("agreement"), F.when(e < 1, (p - e) / (1 - e)).when(F.col("n") > 0, 1.0).alias("kappa"))  # one row each
 
 
+def pair_kappa(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n, agreement, kappa) of pairs(group, a, b, m), m ordered pairs of label a and b, each pair of
+    raters in both orders; n counts a pair once. Few labels, so a group's margins are few. No pairs, no rows."""
+    cells = pairs.groupBy(*group, "a", "b").agg(F.sum("m").alias("m"))
+    margin = cells.groupBy(*group, "a").agg(F.sum("m").alias("t"), F.sum(F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(0)).alias("same"))
+    out = margin.groupBy(*group).agg(F.sum("t").alias("n2"), F.sum("same").alias("same"), F.sum(F.col("t").cast("double") * F.col("t")).alias("c")).where("n2 > 0")
+    p, e = F.col("same") / F.col("n2"), F.col("c") / (F.col("n2").cast("double") * F.col("n2"))
+    return out.select(*group, (F.col("n2") / 2).cast("long").alias("n"), p.alias("agreement"), F.when(e < 1, (p - e) / (1 - e)).otherwise(1.0).alias("kappa"))
+
+
 def friedman(df: DataFrame, block: str, item: str, value: str, items: int) -> DataFrame:
     """(blocks, chi2): Friedman's statistic with tie correction over blocks that have all items."""
     w = Window.partitionBy(block)

@@ -100,10 +100,19 @@ def _votes(spark, d):
     return newest.select("instance_id", "annotator", F.array(*[F.lit(x) for x in LABELS])[F.col("label")].alias("selected_model"))
 
 
-def _two(spark, d):
-    """The first two annotators of each comparison, by name."""
-    rows = _votes(spark, d).groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "selected_model"))).alias("v"))  # one vote per annotator
-    return rows.where(F.size("v") > 1).select("instance_id", F.col("v")[0]["selected_model"].alias("a"), F.col("v")[1]["selected_model"].alias("b"))
+def _tasks(spark, d):
+    """(instance_id, task, place_id, item_a_model, item_b_model): one row per comparison."""
+    c = table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), F.lower(F.trim("task_type")).alias("task"), "place_id", "item_a_model", "item_b_model")
+    return latest(c, ["instance_id"], [], ["task", "place_id", "item_a_model", "item_b_model"])
+
+
+def _pairs(spark, d):
+    """(instance_id, a, b, m): how often an annotator said a where another said b, over all ordered pairs of
+    a comparison's annotators, from its counts of labels."""
+    m = _votes(spark, d).groupBy("instance_id", "selected_model").agg(F.count(F.lit(1)).alias("m"))
+    x, y = m.withColumnsRenamed({"selected_model": "a", "m": "x"}), m.withColumnsRenamed({"selected_model": "b", "m": "y"})
+    pairs = x.join(y, "instance_id").select("instance_id", "a", "b", (F.col("x") * (F.col("y") - F.when(F.col("a") == F.col("b"), 1).otherwise(0))).alias("m"))
+    return pairs.where("m > 0")
 
 
 _TWO = f"{_LAB}, k AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY annotator) AS r FROM v), two AS (SELECT x.instance_id, x.selected_model AS a, y.selected_model AS b FROM k x JOIN k y ON x.instance_id = y.instance_id AND x.r = 1 AND y.r = 2)"
@@ -111,7 +120,15 @@ _TWO = f"{_LAB}, k AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORD
 
 @query("e8_cohen_kappa", f"WITH {_TWO}, n AS (SELECT count(*)::DOUBLE AS n, count_if(a = b) / count(*)::DOUBLE AS p FROM two), e AS (SELECT sum(x.m * y.m) AS c FROM (SELECT a AS l, count(*) AS m FROM two GROUP BY 1) x JOIN (SELECT b AS l, count(*) AS m FROM two GROUP BY 1) y USING (l)) SELECT n::BIGINT AS n, round(p, 6) AS agreement, round((p - c / (n * n)) / (1 - c / (n * n)), 6) AS kappa FROM n, e")
 def e8(spark, d):
-    return E.kappa(_two(spark, d), "a", "b").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+    """Over all pairs of annotators of a comparison, n pairs; an annotator is as often first as second."""
+    return E.pair_kappa(_pairs(spark, d), []).select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+
+
+@query("e8_kappa_by_task")
+def e8b(spark, d):
+    """As e8_cohen_kappa for every task with ten pairs or more."""
+    rows = _pairs(spark, d).join(_tasks(spark, d), "instance_id").select("task", "a", "b", "m")
+    return E.pair_kappa(rows, ["task"]).where("n >= 10").select("task", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
 _FR = "x AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WHERE l_linenumber <= 4), r AS (SELECT l_orderkey, l_linenumber, rank() OVER w + (count(*) OVER (PARTITION BY l_orderkey, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY l_orderkey, v) AS t FROM x WHERE c = 4 WINDOW w AS (PARTITION BY l_orderkey ORDER BY v))"
@@ -152,7 +169,8 @@ def e7(spark, d):
 
 @query("e9_pairwise_winners", f"WITH {_TWO} SELECT a, b, count(*) AS n FROM two GROUP BY ALL")
 def e9(spark, d):
-    return _two(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """Labels of all ordered pairs of annotators of a comparison."""
+    return _pairs(spark, d).groupBy("a", "b").agg(F.sum("m").alias("n"))
 
 
 _PTS = f"{_LAB}, pc AS (SELECT DISTINCT id, lower(trim(task_type)) AS task, item_a_model, item_b_model FROM pair_comparisons), pt AS (SELECT task, item_a_model AS model, CASE selected_model WHEN 'A es mejor' THEN 3 WHEN 'Ambos son malos' THEN 1 ELSE 0 END AS points FROM v JOIN pc ON pc.id = v.instance_id UNION ALL SELECT task, item_b_model, CASE selected_model WHEN 'B es mejor' THEN 3 WHEN 'Ambos son malos' THEN 1 ELSE 0 END FROM v JOIN pc ON pc.id = v.instance_id)"

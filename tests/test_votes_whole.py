@@ -40,3 +40,18 @@ def test_every_form_counts_and_the_latest_of_all_stays(spark, tables):
 def test_binomial_reads_objects(spark, tables):
     d = tables([(f"u{i}", 1, '{"A es mejor": "1"}' if i < 11 else "b es mejor") for i in range(12)])
     assert [(r["n"], r["wins"]) for r in QUERIES["e7_binomial_holm"](spark, d).collect()] == [(12, 11)]
+
+
+def test_agreement_over_all_pairs_of_annotators(spark, tables):
+    a, b, n = "A es mejor", "B es mejor", "Ambos son malos"
+    d = tables([("u", 1, a), ("v", 1, a), ("w", 1, b), ("z", 1, n), ("u", 2, b), ("z", 2, b), ("w", 3, a)])
+    ((pairs, agreement, kappa),) = rows(spark, d, "e8_cohen_kappa")
+    e = (6**2 + 5**2 + 3**2) / 14**2
+    assert (pairs, agreement, kappa) == (7, pytest.approx(2 / 7, abs=1e-6), pytest.approx((2 / 7 - e) / (1 - e), abs=1e-6))
+    assert rows(spark, d, "e9_pairwise_winners") == sorted([(a, a, 2), (a, b, 2), (a, n, 2), (b, a, 2), (b, b, 2), (b, n, 1), (n, a, 2), (n, b, 1)])
+
+
+def test_kappa_by_task(spark, tables):
+    votes = [(f"u{i}", c, "A es mejor" if i < 3 else "B es mejor") for c in (1, 2) for i in range(5)] + [("u0", 3, "A es mejor"), ("u1", 3, "A es mejor")]
+    d = tables(votes, [(1, "p", "T", "m", "n"), (1, "p", "T", "m", "n"), (2, "p", " t", "m", "n"), (3, "p", "few", "m", "n")])
+    assert rows(spark, d, "e8_kappa_by_task") == [("t", 20, 0.4, -0.25)]
