@@ -173,6 +173,17 @@ def e9(spark, d):
     return _pairs(spark, d).groupBy("a", "b").agg(F.sum("m").alias("n"))
 
 
+@query("e9_winner_agreement")
+def e9b(spark, d):
+    """(task, n, same_winner): the share of annotator pairs that chose the same side, over comparisons where
+    both chose A or B; task null is all tasks. Tasks of fewer than 20 pairs are left out, as in the reference."""
+    rows = _pairs(spark, d).where("a <> 'Ambos son malos' AND b <> 'Ambos son malos'").join(_tasks(spark, d), "instance_id")
+    same = (F.col("a") == F.col("b")) | (F.col("item_a_model") == F.col("item_b_model"))
+    by = rows.groupBy("task").agg(F.sum("m").alias("m"), F.sum(F.when(same, F.col("m")).otherwise(0)).alias("s"))
+    total = by.agg(F.lit(None).cast("string").alias("task"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > 0")
+    return by.where("m >= 40").unionByName(total).select("task", (F.col("m") / 2).cast("long").alias("n"), F.round(F.col("s") / F.col("m"), 6).alias("same_winner"))
+
+
 _PTS = f"{_LAB}, pc AS (SELECT DISTINCT id, lower(trim(task_type)) AS task, item_a_model, item_b_model FROM pair_comparisons), pt AS (SELECT task, item_a_model AS model, CASE selected_model WHEN 'A es mejor' THEN 3 WHEN 'Ambos son malos' THEN 1 ELSE 0 END AS points FROM v JOIN pc ON pc.id = v.instance_id UNION ALL SELECT task, item_b_model, CASE selected_model WHEN 'B es mejor' THEN 3 WHEN 'Ambos son malos' THEN 1 ELSE 0 END FROM v JOIN pc ON pc.id = v.instance_id)"
 
 
@@ -193,6 +204,15 @@ def e12(spark, d):
     return _points(spark, d).select("task", "model", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("points"), "model")).cast("long").alias("rank"))
 
 
+@query("e12_place_ranks")
+def e12b(spark, d):
+    """(task, model, rank, n): at how many places a model has this rank by points, ties by name."""
+    label = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("selected_model")) - 1
+    points = E.league(_votes(spark, d).select("instance_id", label.alias("label")).join(_tasks(spark, d), "instance_id"), "item_a_model", "item_b_model", "label", ["task", "place_id"])
+    ranks = points.withColumn("rank", F.row_number().over(Window.partitionBy("task", "place_id").orderBy(F.desc("points"), "model")).cast("long"))
+    return ranks.groupBy("task", "model", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("e13_krippendorff", f"WITH {_LAB}, m AS (SELECT instance_id, selected_model, count(*) AS m FROM v GROUP BY ALL), u AS (SELECT instance_id, sum(m) AS n FROM m GROUP BY 1 HAVING sum(m) > 1), o AS (SELECT sum(m * (n - m) / (n - 1)::DOUBLE) AS d FROM m JOIN u USING (instance_id)), t AS (SELECT selected_model, sum(m)::DOUBLE AS t FROM m SEMI JOIN u USING (instance_id) GROUP BY 1), a AS (SELECT sum(t) AS n FROM t) SELECT round(1 - d / (SELECT sum(t * (n - t)) / (any_value(n) - 1) FROM t, a), 6) AS alpha FROM o")
 def e13(spark, d):
     m = _votes(spark, d).groupBy("instance_id", "selected_model").agg(F.count(F.lit(1)).alias("m"))

@@ -55,3 +55,15 @@ def test_kappa_by_task(spark, tables):
     votes = [(f"u{i}", c, "A es mejor" if i < 3 else "B es mejor") for c in (1, 2) for i in range(5)] + [("u0", 3, "A es mejor"), ("u1", 3, "A es mejor")]
     d = tables(votes, [(1, "p", "T", "m", "n"), (1, "p", "T", "m", "n"), (2, "p", " t", "m", "n"), (3, "p", "few", "m", "n")])
     assert rows(spark, d, "e8_kappa_by_task") == [("t", 20, 0.4, -0.25)]
+
+
+def test_winner_agreement_leaves_out_neither(spark, tables):
+    a, b, n = "A es mejor", "B es mejor", "Ambos son malos"
+    votes = [(f"u{i}", 1, a if i < 5 else b) for i in range(7)] + [("w", 1, n), ("u0", 2, a), ("u1", 2, b), ("u2", 2, n)]
+    d = tables(votes, [(1, "p", "T", "m", "n"), (2, "p", "few", "m", "n")])
+    assert [tuple(r) for r in QUERIES["e9_winner_agreement"](spark, d).orderBy("task").collect()] == [(None, 22, 0.5), ("t", 21, pytest.approx(11 / 21, abs=1e-6))]
+
+
+def test_ranks_by_place(spark, tables):
+    d = tables([("u", 1, "A es mejor"), ("u", 2, "B es mejor"), ("u", 3, '{"A es mejor": 1}')], [(1, "p", "T", "m", "n"), (2, "q", "T", "m", "n"), (3, "r", "t", "m", "n")])
+    assert rows(spark, d, "e12_place_ranks") == [("t", "m", 1, 2), ("t", "m", 2, 1), ("t", "n", 1, 1), ("t", "n", 2, 2)]
