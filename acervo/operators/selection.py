@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a document that take part, best first; the retrievers hand on fewer.
-POOL = 64
-
 
 def greedy(nodes: DataFrame, key: str, budget: int, gap: int, drop: float, least: int, most: int) -> DataFrame:
     """nodes(key, idx, score, size) -> (key, order, idx): per document the nodes by falling score, ties by
     idx, while a node is at least `gap` places from those taken, its score at least `drop` times the one
     taken before (once `least` are taken), the sizes fit the budget and fewer than `most` are taken.
 
-    A fold over the document's best POOL candidates, inside the JVM; only those are gathered.
+    A fold over all candidates of the document, inside the JVM; they are gathered in one row, so
+    a document's candidates must fit a task's memory.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("idx"))
-    best = nodes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= POOL)
-    rows = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", F.col("idx").cast("int").alias("idx"), F.col("score").cast("double").alias("score"), F.col("size").cast("int").alias("size")))).alias("n"))
+    rows = nodes.withColumn("_r", F.row_number().over(w)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", F.col("idx").cast("int").alias("idx"), F.col("score").cast("double").alias("score"), F.col("size").cast("int").alias("size")))).alias("n"))
     start = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(0).alias("used"), F.lit(None).cast("double").alias("last"))
 
     def step(s, x):
