@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 def train_lda(docs: DataFrame, k: int, iterations: int = 50, min_df: float = 5, vocabulary: int = 100_000, seed: int = 42) -> tuple[CountVectorizerModel, LDAModel]:
     """docs(doc_id, tokens). The vocabulary is bounded by `vocabulary`; online variational inference, so
-    results differ in number from a Gibbs sampler's."""
+    results differ in number from a Gibbs sampler's. Every iteration draws as many documents as there are,
+    with replacement: `iterations` passes on average, and none is missed but by a chance of exp(-iterations)."""
     counter = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, vocabSize=vocabulary).fit(docs)
-    return counter, LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(counter.transform(docs))
+    return counter, LDA(k=k, maxIter=iterations, subsamplingRate=1.0, seed=seed, featuresCol="features").fit(counter.transform(docs))
 
 
 def infer(docs: DataFrame, counter: CountVectorizerModel, model: LDAModel, threshold: float = 3e-3) -> DataFrame:
