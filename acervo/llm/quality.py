@@ -1,35 +1,33 @@
 """Text quality statistics and an induced rule list that tells prose from lists, tables and junk.
 
 The statistics are native expressions over the whole text. The rules are induced by incremental
-reduced-error pruning on a bounded sample of labelled documents; the labels come from a slower
-reading of each sampled text that measures which part of it is complete, readable sentences. The
-learned thresholds become one CASE expression that runs on all documents without Python.
+reduced-error pruning on a bounded sample of documents, labelled by voters that read the sample
+without the statistics (`reading.py`); texts the voters disagree on aren't learned from. The learned
+thresholds become one CASE expression that runs on all documents without Python.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents sampled for the labels, at most; words taken from the table of common words, at most.
+from acervo.llm.reading import label
+from acervo.runtime import materialise
+
+#: Distinct documents sampled for the labels, at most; words taken from the table of common words, at most.
 SAMPLE, MAX_COMMON = 4000, 10_000
-#: A text is labelled prose from this part of its characters in sentences.
-PROSE = 0.65
 
-_END = r"(?<=[.!?])\s+"
-_TOKEN = r"(?:\p{L}[\p{L}'’·-]*+|\d[\d.,/%€]*+)[,;:)»\"]?+\s++"
-_SENTENCE = rf"(?<![^\s(«\"¿¡])(?:[(«\"¿¡]?+{_TOKEN}){{3,70}}+[(«\"]?(?:\p{{L}}[\p{{L}}'’·-]*|\d+(?:[.,]\d+)*)[)»\"]?[.!?](?=\s|$)"
-_ITEM = r"(?m)^[ \t]*(?:\d+(?:\.\d+)*[.)]|[a-z]\)|[-*•·–])[ \t]+"
+_ITEM = r"^[ \t]*(?:\d+(?:\.\d+)*[.)]|[a-z]\)|[-*•·–])[ \t]+"
+_STOP = r"(?m)(?<=\p{L}{2}|\p{L}[ \n]\d{1,4})[.!?…][)»\"”]?(?=\s+[(«\"“¿¡]?[\p{Lu}\d]|[ \t]*$)"
+_VOWELS = "[aeiouyàáâèéêëìíîïòóôöùúûüœæ]"
+_BROKEN = r"\p{L}[^\p{L}'’·,;:.\-()/]+\p{L}|[^\x{0}-\x{24F}\x{2010}-\x{2027}\x{20AC}]"
 
 STATISTICS = (
     "words", "mean_word_length", "letter_ratio", "digit_ratio", "symbol_ratio", "line_end_ratio", "common_ratio",
-    "distinct_ratio", "sentence_ratio", "vowel_ratio", "broken_ratio", "single_ratio", "item_ratio", "words_per_line",
+    "distinct_ratio", "words_per_stop", "vowel_ratio", "broken_ratio", "single_ratio", "item_ratio", "words_per_line",
 )
 
 
@@ -42,62 +40,48 @@ def common_list(common: DataFrame) -> list[str]:
 
 
 def statistics(df: DataFrame, common: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and STATISTICS of the whole text. A null, empty or blank text has 0 words and nulls."""
+    """`keep` and STATISTICS of the whole text. A null, empty or blank text has 0 words and nulls.
+
+    words_per_stop: tokens for each end of a sentence, a mark after two letters or a word and a number,
+    before a capital, a number or the end of a line (all tokens where there is none). A token is what
+    whitespace separates, a word what letters make.
+    """
     t = F.col("_text")
-    dense = F.regexp_replace(t, r"\s+", "")
     size = lambda c: F.length(c).cast("double")
-    without = lambda pattern: 1 - size(F.regexp_replace(dense, pattern, "")) / F.length(dense)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    rows = rows.withColumns({"_tokens": F.filter(F.split(t, r"\s+"), lambda x: x != ""), "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""), "_words": F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda x: x != "")})
-    n, m, lines = (F.size(c).cast("double") for c in ("_tokens", "_words", "_lines"))
+    rows = rows.withColumns(
+        {
+            "_tokens": F.filter(F.split(t, r"\s+"), lambda x: x != ""),
+            "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""),
+            "_words": F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda x: x != ""),
+            "_digits": size(F.regexp_replace(t, r"\P{Nd}+", "")),
+        }
+    )
+    sizes = lambda c: F.aggregate(F.transform(F.col(c), F.length), F.lit(0), lambda a, x: a + x).cast("double")
+    rows = rows.withColumns({"_chars": sizes("_tokens"), "_letters": sizes("_words")})
+    n, m, lines, chars = F.size("_tokens").cast("double"), F.size("_words").cast("double"), F.size("_lines").cast("double"), F.col("_chars")
     ratio = lambda c, of, test: F.when(of > 0, F.size(F.filter(c, test)) / of)
-    item = _ITEM.removeprefix("(?m)")
+    some = lambda value: F.when(n > 0, value)
+    stops = F.regexp_count(t, F.lit(_STOP))
     values = {
         "words": F.coalesce(F.size("_tokens"), F.lit(0)),
-        "mean_word_length": F.when(n > 0, F.length(dense) / n),
-        "letter_ratio": F.when(n > 0, without(r"\p{L}+")),
-        "digit_ratio": F.when(n > 0, without(r"\p{Nd}+")),
-        "symbol_ratio": F.when(n > 0, without(r"[^\p{L}\p{Nd}]+")),
+        "mean_word_length": some(chars / n),
+        "letter_ratio": some(F.col("_letters") / chars),
+        "digit_ratio": some(F.col("_digits") / chars),
+        "symbol_ratio": some((chars - F.col("_letters") - F.col("_digits")) / chars),
         "line_end_ratio": ratio("_lines", lines, lambda x: x.rlike(r"[.!?:]\s*$")),
         "common_ratio": ratio("_words", m, lambda x: x.isin(common)) if common else F.lit(0.0),
-        "distinct_ratio": F.when(n > 0, F.size(F.array_distinct("_tokens")) / n),
-        "sentence_ratio": F.when(n > 0, 1 - size(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _ITEM, ""), _SENTENCE, ""), r"\s+", "")) / size(F.regexp_replace(F.regexp_replace(t, _ITEM, ""), r"\s+", ""))),
-        "vowel_ratio": ratio("_words", m, lambda x: x.rlike("[aeiouyàáâèéêëìíîïòóôöùúûüœæ]")),
-        "broken_ratio": ratio("_tokens", n, lambda x: x.rlike(r"\p{L}[^\p{L}'’·,;:.\-()/]+\p{L}|[^\x{0}-\x{24F}\x{2010}-\x{2027}\x{20AC}]") | (F.length(x) > 30)),
+        "distinct_ratio": some(F.size(F.array_distinct("_tokens")) / n),
+        "words_per_stop": some(n / F.greatest(stops, F.lit(1))),
+        "vowel_ratio": ratio("_words", m, lambda x: x.rlike(_VOWELS)),
+        "broken_ratio": ratio("_tokens", n, lambda x: x.rlike(_BROKEN) | (F.length(x) > 30)),
         "single_ratio": ratio("_tokens", n, lambda x: F.length(x) == 1),
-        "item_ratio": ratio("_lines", lines, lambda x: x.rlike(item)),
+        "item_ratio": ratio("_lines", lines, lambda x: x.rlike(_ITEM)),
         "words_per_line": F.when(lines > 0, n / lines),
     }
     return rows.select(*keep, *[values[c].cast("double").alias(c) for c in STATISTICS])
 
 
-_NUMBER = re.compile(r"[\d.,:/%€()-]+")
-_CLEAN = re.compile(r"[(«\"“'¿¡]*([^\W\d_]+(?:['’·-][^\W\d_]+)*)[)»\"”'.,;:!?…]*")
-_VOWEL = re.compile("[aeiouyàáâèéêëìíîïòóôöùúûüœæ]")
-
-
-def sentence_share(text: str | None, common: frozenset[str]) -> float:
-    """The part of the characters that is in complete sentences of whole, readable words: 4 to 70
-    tokens up to a full stop, nearly all clean words or numbers, mostly different, of usual length,
-    with vowels; in a text that has common words at all."""
-    if not text or not text.strip():
-        return 0.0
-    text = re.sub(_ITEM, "", re.sub(r"(\w)-\n\s*(\w)", r"\1\2", text))
-    all_words = [w for token in text.lower().split() for w in re.split("[^\\w]+", token) if w]
-    usual = sum(w in common for w in all_words) >= 0.08 * len(all_words)
-    good, total = 0, sum(map(len, text.split()))
-    for sentence in re.split(_END, text):
-        tokens = sentence.split()
-        found = [m[1].lower() for x in tokens if (m := _CLEAN.fullmatch(x))]
-        numbers = sum(1 for x in tokens if _NUMBER.fullmatch(x))
-        if not sentence.endswith((".", "!", "?")) or not 4 <= len(tokens) <= 70 or len(found) + numbers < 0.8 * len(tokens) or numbers > 0.3 * len(tokens):
-            continue
-        readable = len(set(found)) >= 0.5 * len(found) and 2.5 <= sum(map(len, found)) / max(1, len(found)) <= 11.5 and sum(1 for w in found if _VOWEL.search(w)) >= 0.9 * len(found)
-        if readable and (usual or any(p in common for w in found for p in re.split("['’]", w))):
-            good += sum(map(len, tokens))
-    return good / max(1, total)
-
-
 @dataclass(frozen=True)
 class Condition:
     name: str
@@ -123,24 +107,29 @@ def _covers(rule: Rule, x: np.ndarray) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, y: np.ndarray) -> Rule:
-    """Conditions by information gain until no negative is covered."""
+    """Conditions by information gain until no negative is covered. All cuts between two values are
+    tried; of equal ones the one with most room to its neighbours is taken."""
     rule: Rule = ()
     inside = np.ones(len(x), dtype=bool)
     while len(rule) < 6 and (inside & ~y).any():
         p, n = (inside & y).sum(), (inside & ~y).sum()
-        best, gain = None, 1e-9
+        best = None
         for j, name in enumerate(STATISTICS):
-            values = np.unique(x[inside, j])
-            cuts = (values[:-1] + values[1:]) / 2
-            for value in cuts[:: max(1, len(cuts) // 64)]:
-                for above in (True, False):
-                    covered = inside & (x[:, j] > value if above else x[:, j] <= value)
-                    p1, n1 = (covered & y).sum(), (covered & ~y).sum()
-                    if p1 and (g := p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p / (p + n)))) > gain:
-                        best, gain = Condition(name, above, float(value)), g
+            values, at = np.unique(x[inside, j], return_inverse=True)
+            if len(values) < 2:
+                continue
+            below = np.stack([np.bincount(at, y[inside], len(values)), np.bincount(at, ~y[inside], len(values))]).cumsum(axis=1)[:, :-1]
+            room = np.diff(values) / (values[-1] - values[0])
+            for above in (True, False):
+                p1, n1 = (p - below[0], n - below[1]) if above else below
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = np.where(p1 > 0, p1 * (np.log2(p1 / (p1 + n1)) - np.log2(p / (p + n))), 0.0)
+                top = np.lexsort((-room, -np.round(gain, 9)))[0]
+                if gain[top] > 1e-9 and (best is None or (gain[top], room[top]) > best[0]):
+                    best = (gain[top], room[top]), Condition(name, above, float((values[top] + values[top + 1]) / 2))
         if best is None:
             break
-        rule, inside = (*rule, best), inside & best.holds(x)
+        rule, inside = (*rule, best[1]), inside & best[1].holds(x)
     return rule
 
 
@@ -152,46 +141,55 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
         p, n = (covered & y).sum(), (covered & ~y).sum()
         return (p - n) / (p + n) if p + n else -1.0
 
-    return max((rule[:i] for i in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
-
-
-def induce(x: np.ndarray, y: np.ndarray, seed: int = 3, most: int = 24) -> list[Rule]:
-    """An ordered list of rules for y, by incremental reduced-error pruning: grow on two thirds, prune
-    on one, remove what is covered, stop at a rule that errs on half of the pruning set."""
-    rng, rules = np.random.default_rng(seed), []
-    while y.any() and len(rules) < most:
-        mixed = rng.permutation(len(x))
-        grow, prune = mixed[: 2 * len(x) // 3], mixed[2 * len(x) // 3 :]
-        if not y[grow].any():
-            grow = mixed
-        rule = _grow(x[grow], y[grow])
-        rule = _prune(rule, x[prune], y[prune]) or rule
-        covered = _covers(rule, x[prune])
-        if not rule or (covered.any() and (covered & ~y[prune]).sum() > 0.5 * covered.sum()) or not (_covers(rule, x) & y).any():
-            break
+    best = max((rule[:i] for i in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
+    tight: dict = {}  # of conditions on one side of a statistic only the last one binds
+    for c in best:
+        tight[c.name, c.above] = c
+    return tuple(tight.values())
+
+
+def induce(x: np.ndarray, y: np.ndarray, seed: int = 3, most: int = 24, tries: int = 4) -> list[Rule]:
+    """An ordered list of rules for y, by incremental reduced-error pruning: grow on two thirds of each
+    class, prune on the rest, remove what is covered. A rule that errs on half of the pruning set or
+    covers nothing new is dropped; after `tries` such splits in a row the list is complete."""
+    rng, rules, failed = np.random.default_rng(seed), [], 0
+    while y.any() and len(rules) < most and failed < tries:
+        place = rng.permutation(len(x))
+        growing = np.zeros(len(x), dtype=bool)
+        for side in (y, ~y):
+            mine = place[side[place]]
+            growing[mine[: -(-2 * len(mine) // 3)]] = True
+        rule = _grow(x[growing], y[growing])
+        rule = _prune(rule, x[~growing], y[~growing]) or rule
+        covered = _covers(rule, x[~growing])
+        if not rule or (covered.any() and (covered & ~y[~growing]).sum() > 0.5 * covered.sum()) or not (_covers(rule, x) & y).any():
+            failed += 1
+            continue
         rules.append(rule)
+        failed = 0
         left = ~_covers(rule, x)
         x, y = x[left], y[left]
     return rules
 
 
-def fit_rules(df: DataFrame, common: list[str], key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """Rules for texts that aren't prose, from at most `sample` distinct texts chosen by hash."""
-    rows = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where("text IS NOT NULL AND trim(text) <> ''")
+def labelled_sample(df: DataFrame, common: list[str], text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics and the labels (true: not prose) of at most `sample` distinct texts chosen by
+    hash, without those the voters leave unlabelled; in the order of the hash."""
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")).where(F.col("text").rlike(r"\S"))
     last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
-        return []
-    some = rows.where(F.col("h") <= last).groupBy("h").agg(F.max("text").alias("text"))  # copies count once
-    known = frozenset(common)
+        return np.empty((0, len(STATISTICS))), np.empty(0, dtype=bool)
+    some = materialise(rows.where(F.col("h") <= last).groupBy("h").agg(F.max("text").alias("text")), "sample")  # copies count once
+    labels = label(some).where("prose IS NOT NULL").select("h", "prose")
+    found = statistics(some, common, "text", ("h",)).join(labels, "h").orderBy("h").collect()  # at most `sample` rows of numbers
+    x = np.array([[r[c] if r[c] is not None else 0.0 for c in STATISTICS] for r in found]).reshape(-1, len(STATISTICS))
+    return np.nan_to_num(x), np.array([not r["prose"] for r in found], dtype=bool)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sentence_share(t, known) for t in batch.column(1).to_pylist()])], names=["h", "text", "share"])
 
-    labelled = some.mapInArrow(label, "h long, text string, share double")
-    rows = sorted(statistics(labelled, common, "text", ("h", "share")).collect(), key=lambda r: r["h"])  # at most `sample` rows of numbers
-    x = np.nan_to_num(np.array([[r[c] if r[c] is not None else 0.0 for c in STATISTICS] for r in rows]))
-    return induce(x, np.array([r["share"] < PROSE for r in rows]))
+def fit_rules(df: DataFrame, common: list[str], text: str = "text", sample: int = SAMPLE) -> list[Rule]:
+    """Rules for texts that aren't prose, from a labelled sample."""
+    x, y = labelled_sample(df, common, text, sample)
+    return induce(x, y) if len(y) else []
 
 
 def case(rules: list[Rule]) -> Column:
@@ -205,6 +203,6 @@ def judge(df: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "te
     for prose, 0 for null, empty and blank texts. Repeated rows are judged each; other columns are
     ignored; no rows give no rows."""
     words = common_list(common)
-    rules = fit_rules(df, words, key, text, sample)
+    rules = fit_rules(df, words, text, sample)
     out = statistics(df, words, text, (key,)).withColumn("rule", case(rules))
     return out.withColumn("prose", F.col("rule").isNull())
