@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,22 +66,114 @@ def friedman(df: DataFrame, block: str, item: str, value: str, items: int) -> Da
     return out.select("blocks", ((12 * F.col("ss") / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - F.col("t") / (n * k * (k * k - 1)))).alias("chi2"))
 
 
+#: Items of a ranking that is compared in one task; a longer one is refused.
+MAX_RANKED = 5_000_000
+
+
+def discordant(x: np.ndarray) -> int:
+    """Pairs i < j with x[i] > x[j], by merging."""
+    total, width, x = 0, 1, x.copy()
+    while width < len(x):
+        for at in range(0, len(x), 2 * width):
+            left, right = x[at : at + width], x[at + width : at + 2 * width]
+            total += len(left) * len(right) - int(np.searchsorted(left, right, side="right").sum())
+            x[at : at + 2 * width] = np.sort(x[at : at + 2 * width], kind="stable")
+        width *= 2
+    return total
+
+
+def tau_b(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Kendall's tau-b; null where one side has no two different values."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    same = lambda *c: sum(n * (n - 1) // 2 for n in np.unique(np.stack(c), axis=1, return_counts=True)[1].tolist())
+    n = len(a) * (len(a) - 1) // 2
+    ta, tb, tab = (same(a), same(b), same(a, b)) if len(a) else (0, 0, 0)
+    if n in (ta, tb):
+        return None
+    return (n - ta - tb + tab - 2 * discordant(b)) / math.sqrt((n - ta) * (n - tb))
+
+
 def kendall(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """(tau): Kendall's tau-b over the rows of a ranking table (a row per ranked item)."""
-    x, y = df.select(F.col(key).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1")), df.select(F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = x.join(y, F.col("k1") < F.col("k2")).select(F.signum(F.col("a1") - F.col("a2")).alias("p"), F.signum(F.col("b1") - F.col("b2")).alias("q"))
-    out = pairs.agg(F.sum(F.col("p") * F.col("q")).alias("s"), F.sum(F.abs("p")).alias("x"), F.sum(F.abs("q")).alias("y"))
-    return out.select(F.when(F.col("x") * F.col("y") > 0, F.col("s") / F.sqrt(F.col("x") * F.col("y"))).alias("tau"))
+    """(tau): Kendall's tau-b over the rows of a ranking table (a row per ranked item, at most MAX_RANKED;
+    more are an error), by merging in one task. Rows with a null value are left out."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    rows = rows.select(F.assert_true(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) <= MAX_RANKED, F.lit("ranking too long")).alias("ok"), "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column(1).to_numpy(), x.column(2).to_numpy()) for x in batches]
+        x, y = (np.concatenate([p[i] for p in parts] or [np.empty(0)]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([tau_b(x, y)], pa.float64())], names=["tau"])
+
+    return rows.coalesce(1).mapInArrow(run, "tau double")
+
+
+def rank_agreement(ranks: DataFrame, group: list[str]) -> DataFrame:
+    """ranks(group, x, y), distinct ranks from 1 -> (group, models, tau, same_top). The ranks of a group
+    are gathered in one row, so they must be few (systems an annotator voted on)."""
+    rows = ranks.groupBy(*group).agg(F.count(F.lit(1)).alias("models"), F.transform(F.array_sort(F.collect_list(F.struct("x", "y"))), lambda e: e["y"]).alias("l"))
+    apart = F.aggregate(F.transform("l", lambda v, i: F.size(F.filter(F.slice("l", i + 2, F.size("l")), lambda z: z < v))), F.lit(0), lambda s, n: s + n)
+    n = F.col("models") * (F.col("models") - 1) / 2
+    return rows.select(*group, "models", F.when(F.col("models") >= 3, 1 - 2 * apart / n).alias("tau"), (F.col("l")[0] == 1).alias("same_top"))
 
 
 def binomial_p(wins: int, n: int) -> float:
-    """Two-sided exact test of one half: all outcomes no likelier than the one seen."""
+    """Two-sided exact test of one half: twice the smaller tail, at most 1."""
     if n == 0:
         return 1.0
-    logs = [0.0, *accumulate(math.log(i) for i in range(1, n + 1))]
-    mass = lambda k: math.exp(logs[n] - logs[k] - logs[n - k] - n * math.log(2))
-    seen = mass(wins)
-    return min(1.0, sum(m for k in range(n + 1) if (m := mass(k)) <= seen * (1 + 1e-7)))
+    k = min(wins, n - wins)
+    mass = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    tail = 0.0
+    while k >= 0 and mass > tail * 1e-18:
+        tail += mass
+        mass *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * tail)
+
+
+def quantile(df: DataFrame, group: list[str], value: str, q: float, buckets: int = 1024) -> DataFrame:
+    """(group, quantile) exact, interpolated between neighbours; nulls are left out. Equal values are counted
+    together in every task; the value range of a group is cut into buckets whose counts find the two
+    places, and only the values of their buckets are ordered, so no task holds a group."""
+    counts = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v")).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    bounds = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    on = [F.col(g).eqNullSafe(F.col(f"_b_{g}")) for g in group]
+    bounds = bounds.select(*[F.col(g).alias(f"_b_{g}") for g in group], "_lo", "_hi", "_n")
+    met = counts.join(bounds, on) if group else counts.crossJoin(F.broadcast(bounds))  # one row
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0).cast("long"))
+    met = met.select(*group, "_v", "_c", "_n", at.alias("_k"))
+    sizes = met.groupBy(*group, "_k").agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # at most buckets + 1 rows
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(ahead), F.lit(0)))
+    place = (F.col("_n") - 1) * F.lit(float(q))
+    holds = lambda p: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_s"))
+    needed = sizes.where(holds(F.floor(place)) | holds(F.ceil(place))).select(*[F.col(g).alias(f"_b_{g}") for g in group], F.col("_k").alias("_bk"), "_before")
+    inner = met.join(needed, [*on, F.col("_k") == F.col("_bk")])
+    upto = Window.partitionBy(*group, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = inner.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+    pick = lambda p: F.min(F.when((F.col("_end") > p) & (F.col("_end") - F.col("_c") <= p), F.col("_v")))
+    found = inner.groupBy(*group).agg(pick(F.floor(place)).alias("_x"), pick(F.ceil(place)).alias("_y"), F.max(place - F.floor(place)).alias("_f"))
+    return found.select(*group, (F.col("_x") + (F.col("_y") - F.col("_x")) * F.col("_f")).alias("quantile"))
+
+
+def nominal_alpha(votes: DataFrame, unit: str, label: str) -> DataFrame:
+    """(alpha): Krippendorff's alpha over units with two votes or more, from counts per unit and label."""
+    m = votes.groupBy(unit, label).agg(F.count(F.lit(1)).alias("m"))
+    u = m.groupBy(unit).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("n > 1")
+    t = m.join(u.select(unit), unit, "left_semi").groupBy(label).agg(F.sum("m").cast("double").alias("t"))
+    apart = u.agg(F.sum((F.col("n") * F.col("n") - F.col("mm")) / (F.col("n") - 1)).alias("d"))
+    total = t.agg(F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t")).alias("ss"))
+    expected = (F.col("n") * F.col("n") - F.col("ss")) / F.nullif(F.col("n") - 1, F.lit(0.0))
+    return apart.crossJoin(total).select(F.when(expected > 0, 1 - F.col("d") / expected).when(F.col("n") > 0, 1.0).alias("alpha"))  # one row each
+
+
+def interval_alpha(votes: DataFrame, unit: str, value: str) -> DataFrame:
+    """(alpha) with squared differences of a number, from sums per unit."""
+    y = F.col(value).cast("double")
+    u = votes.where(y.isNotNull()).groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss")).where("n > 1")
+    t = u.agg(F.sum(2 * (F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / (F.col("n") - 1)).alias("d"), F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    expected = 2 * (F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / F.nullif(F.col("n") - 1, F.lit(0.0))
+    return t.select(F.when(expected > 0, 1 - F.col("d") / expected).when(F.col("n") > 0, 1.0).alias("alpha"))
 
 
 def bootstrap_rate(df: DataFrame, won: str, samples: int = 5000, seed: int = 123) -> DataFrame:
@@ -107,10 +198,10 @@ def holm(df: DataFrame, p: str, group: list[str], tie: list[str]) -> DataFrame:
     return df.withColumn("_s", scaled).withColumn("p_holm", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def league(df: DataFrame, a: str, b: str, label: str, group: list[str]) -> DataFrame:
-    """(group, model, points): 3 for a win, 1 for both sides where neither is good."""
-    sides = F.array(
-        F.struct(F.col(a).alias("model"), F.when(F.col(label) == 0, 3).when(F.col(label) == 2, 1).otherwise(0).alias("points")),
-        F.struct(F.col(b).alias("model"), F.when(F.col(label) == 1, 3).when(F.col(label) == 2, 1).otherwise(0).alias("points")),
-    )
+def league(df: DataFrame, a: str, b: str, label: str, group: list[str], count: str | None = None) -> DataFrame:
+    """(group, model, points): 3 for a win, 1 for both sides where neither is good; a row stands for
+    `count` votes, for one if not given."""
+    n = F.col(count) if count else F.lit(1)
+    part = lambda win: (F.when(F.col(label) == win, 3).when(F.col(label) == 2, 1).otherwise(0) * n).alias("points")
+    sides = F.array(F.struct(F.col(a).alias("model"), part(0)), F.struct(F.col(b).alias("model"), part(1)))
     return df.select(*group, F.inline(sides)).where("model IS NOT NULL").groupBy(*group, "model").agg(F.sum("points").alias("points"))

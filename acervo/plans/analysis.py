@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from acervo.functions import objective as O
 from acervo.functions import procurement as P
 from acervo.operators import evaluation as E
-from acervo.operators.annotation import LABELS, vote_label
-from acervo.operators.latest import latest
 from acervo.operators.retrieval import tokens
 from acervo.plans.registry import query
 from acervo.plans.relational import NEWEST, newest
@@ -90,47 +88,6 @@ def e2b(spark, d):
     return _options(spark, d).select("id", F.round(E.rouge_n(tokens(F.col("text_option_a")), tokens(F.col("text_option_b")), 2), 6).alias("rouge2"))
 
 
-_LAB = "vt AS (SELECT instance_id, annotator, selected_model, row_number() OVER (PARTITION BY instance_id, annotator ORDER BY annotated_at DESC, annotation_id DESC) AS rn FROM annotations WHERE selected_model IN ('A es mejor', 'B es mejor', 'Ambos son malos') AND annotator IS NOT NULL AND instance_id IS NOT NULL), v AS (SELECT * FROM vt WHERE rn = 1)"
-
-
-def _votes(spark, d):
-    """Of each annotator's votes on a comparison the latest with a label, in whatever form it came."""
-    rows = table(spark, d, "annotations").select("instance_id", "annotator", "annotated_at", "annotation_id", vote_label(F.col("selected_model")).alias("label")).where("label >= 0")
-    newest = latest(rows, ["instance_id", "annotator"], ["annotated_at", "annotation_id"], ["label"])
-    return newest.select("instance_id", "annotator", F.array(*[F.lit(x) for x in LABELS])[F.col("label")].alias("selected_model"))
-
-
-def _tasks(spark, d):
-    """(instance_id, task, place_id, item_a_model, item_b_model): one row per comparison."""
-    c = table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), F.lower(F.trim("task_type")).alias("task"), "place_id", "item_a_model", "item_b_model")
-    return latest(c, ["instance_id"], [], ["task", "place_id", "item_a_model", "item_b_model"])
-
-
-def _pairs(spark, d):
-    """(instance_id, a, b, m): how often an annotator said a where another said b, over all ordered pairs of
-    a comparison's annotators, from its counts of labels."""
-    m = _votes(spark, d).groupBy("instance_id", "selected_model").agg(F.count(F.lit(1)).alias("m"))
-    x, y = m.withColumnsRenamed({"selected_model": "a", "m": "x"}), m.withColumnsRenamed({"selected_model": "b", "m": "y"})
-    pairs = x.join(y, "instance_id").select("instance_id", "a", "b", (F.col("x") * (F.col("y") - F.when(F.col("a") == F.col("b"), 1).otherwise(0))).alias("m"))
-    return pairs.where("m > 0")
-
-
-_TWO = f"{_LAB}, k AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY annotator) AS r FROM v), two AS (SELECT x.instance_id, x.selected_model AS a, y.selected_model AS b FROM k x JOIN k y ON x.instance_id = y.instance_id AND x.r = 1 AND y.r = 2)"
-
-
-@query("e8_cohen_kappa", f"WITH {_TWO}, n AS (SELECT count(*)::DOUBLE AS n, count_if(a = b) / count(*)::DOUBLE AS p FROM two), e AS (SELECT sum(x.m * y.m) AS c FROM (SELECT a AS l, count(*) AS m FROM two GROUP BY 1) x JOIN (SELECT b AS l, count(*) AS m FROM two GROUP BY 1) y USING (l)) SELECT n::BIGINT AS n, round(p, 6) AS agreement, round((p - c / (n * n)) / (1 - c / (n * n)), 6) AS kappa FROM n, e")
-def e8(spark, d):
-    """Over all pairs of annotators of a comparison, n pairs; an annotator is as often first as second."""
-    return E.pair_kappa(_pairs(spark, d), []).select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
-
-
-@query("e8_kappa_by_task")
-def e8b(spark, d):
-    """As e8_cohen_kappa for every task with ten pairs or more."""
-    rows = _pairs(spark, d).join(_tasks(spark, d), "instance_id").select("task", "a", "b", "m")
-    return E.pair_kappa(rows, ["task"]).where("n >= 10").select("task", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
-
-
 _FR = "x AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WHERE l_linenumber <= 4), r AS (SELECT l_orderkey, l_linenumber, rank() OVER w + (count(*) OVER (PARTITION BY l_orderkey, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY l_orderkey, v) AS t FROM x WHERE c = 4 WINDOW w AS (PARTITION BY l_orderkey ORDER BY v))"
 
 
@@ -153,77 +110,6 @@ def e6b(spark, d):
     return ranked.agg(F.round(F.corr("x", "y"), 6).alias("rho"))
 
 
-@query("e7_binomial_holm")
-def e7(spark, d):
-    """Exact two-sided test of wins of A against B per pair of systems with ten votes or more; Holm's
-    adjustment over the pairs. The p-value is a pandas function of the two counts."""
-    import pandas as pd
-
-    votes = _votes(spark, d).join(table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), "item_a_model", "item_b_model").distinct(), "instance_id").where("selected_model <> 'Ambos son malos' AND item_a_model <> item_b_model")
-    low = F.col("item_a_model") < F.col("item_b_model")
-    rows = votes.select(F.least("item_a_model", "item_b_model").alias("a"), F.greatest("item_a_model", "item_b_model").alias("b"), (low == (F.col("selected_model") == "A es mejor")).alias("won"))
-    counts = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins")).where("n >= 10")
-    test = F.pandas_udf(lambda w, n: pd.Series([E.binomial_p(int(x), int(y)) for x, y in zip(w, n)]), "double")
-    return E.holm(counts.withColumn("p", test("wins", "n")), "p", [], ["a", "b"])
-
-
-@query("e9_pairwise_winners", f"WITH {_TWO} SELECT a, b, count(*) AS n FROM two GROUP BY ALL")
-def e9(spark, d):
-    """Labels of all ordered pairs of annotators of a comparison."""
-    return _pairs(spark, d).groupBy("a", "b").agg(F.sum("m").alias("n"))
-
-
-@query("e9_winner_agreement")
-def e9b(spark, d):
-    """(task, n, same_winner): the share of annotator pairs that chose the same side, over comparisons where
-    both chose A or B; task null is all tasks. Tasks of fewer than 20 pairs are left out, as in the reference."""
-    rows = _pairs(spark, d).where("a <> 'Ambos son malos' AND b <> 'Ambos son malos'").join(_tasks(spark, d), "instance_id")
-    same = (F.col("a") == F.col("b")) | (F.col("item_a_model") == F.col("item_b_model"))
-    by = rows.groupBy("task").agg(F.sum("m").alias("m"), F.sum(F.when(same, F.col("m")).otherwise(0)).alias("s"))
-    total = by.agg(F.lit(None).cast("string").alias("task"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("m > 0")
-    return by.where("m >= 40").unionByName(total).select("task", (F.col("m") / 2).cast("long").alias("n"), F.round(F.col("s") / F.col("m"), 6).alias("same_winner"))
-
-
-_PTS = f"{_LAB}, pc AS (SELECT DISTINCT id, lower(trim(task_type)) AS task, item_a_model, item_b_model FROM pair_comparisons), pt AS (SELECT task, item_a_model AS model, CASE selected_model WHEN 'A es mejor' THEN 3 WHEN 'Ambos son malos' THEN 1 ELSE 0 END AS points FROM v JOIN pc ON pc.id = v.instance_id UNION ALL SELECT task, item_b_model, CASE selected_model WHEN 'B es mejor' THEN 3 WHEN 'Ambos son malos' THEN 1 ELSE 0 END FROM v JOIN pc ON pc.id = v.instance_id)"
-
-
-def _points(spark, d):
-    c = table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), F.lower(F.trim("task_type")).alias("task"), "item_a_model", "item_b_model").distinct()
-    label = F.array_position(F.array(F.lit("A es mejor"), F.lit("B es mejor"), F.lit("Ambos son malos")), F.col("selected_model")) - 1
-    rows = _votes(spark, d).select("instance_id", label.alias("label")).join(c, "instance_id")
-    return E.league(rows, "item_a_model", "item_b_model", "label", ["task"])
-
-
-@query("a12_league_points", f"WITH {_PTS} SELECT task, model, sum(points)::BIGINT AS points FROM pt WHERE model IS NOT NULL GROUP BY ALL")
-def a12(spark, d):
-    return _points(spark, d).select("task", "model", F.col("points").cast("long").alias("points"))
-
-
-@query("e12_rank_distribution", f"WITH {_PTS}, s AS (SELECT task, model, sum(points) AS points FROM pt WHERE model IS NOT NULL GROUP BY ALL) SELECT task, model, row_number() OVER (PARTITION BY task ORDER BY points DESC, model) AS rank FROM s")
-def e12(spark, d):
-    return _points(spark, d).select("task", "model", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("points"), "model")).cast("long").alias("rank"))
-
-
-@query("e12_place_ranks")
-def e12b(spark, d):
-    """(task, model, rank, n): at how many places a model has this rank by points, ties by name."""
-    label = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("selected_model")) - 1
-    points = E.league(_votes(spark, d).select("instance_id", label.alias("label")).join(_tasks(spark, d), "instance_id"), "item_a_model", "item_b_model", "label", ["task", "place_id"])
-    ranks = points.withColumn("rank", F.row_number().over(Window.partitionBy("task", "place_id").orderBy(F.desc("points"), "model")).cast("long"))
-    return ranks.groupBy("task", "model", "rank").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("e13_krippendorff", f"WITH {_LAB}, m AS (SELECT instance_id, selected_model, count(*) AS m FROM v GROUP BY ALL), u AS (SELECT instance_id, sum(m) AS n FROM m GROUP BY 1 HAVING sum(m) > 1), o AS (SELECT sum(m * (n - m) / (n - 1)::DOUBLE) AS d FROM m JOIN u USING (instance_id)), t AS (SELECT selected_model, sum(m)::DOUBLE AS t FROM m SEMI JOIN u USING (instance_id) GROUP BY 1), a AS (SELECT sum(t) AS n FROM t) SELECT round(1 - d / (SELECT sum(t * (n - t)) / (any_value(n) - 1) FROM t, a), 6) AS alpha FROM o")
-def e13(spark, d):
-    m = _votes(spark, d).groupBy("instance_id", "selected_model").agg(F.count(F.lit(1)).alias("m"))
-    u = m.groupBy("instance_id").agg(F.sum("m").alias("n")).where("n > 1")
-    met = m.join(u, "instance_id")
-    apart = met.agg(F.sum(F.col("m") * (F.col("n") - F.col("m")) / (F.col("n") - 1)).alias("d"))
-    t = met.groupBy("selected_model").agg(F.sum("m").alias("t"))
-    total = t.agg(F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t")).alias("ss"))
-    return apart.crossJoin(total).select(F.round(1 - F.col("d") / ((F.col("n") * F.col("n") - F.col("ss")) / (F.col("n") - 1)), 6).alias("alpha"))  # one row each
-
-
 @query("e10_paired_bootstrap")
 def e10(spark, d):
     """How often option A is the longer text, and the bootstrap interval of that rate."""
@@ -237,16 +123,6 @@ def e4(spark, d):
     return wide.na.drop("any").withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
 
 
-@query("a12_comparison_table", f"WITH {_PTS}, s AS (SELECT task, model, sum(points) AS points, median(points) AS med FROM pt WHERE model IS NOT NULL GROUP BY ALL) SELECT task, model, points::BIGINT AS points, med, rank() OVER (PARTITION BY task ORDER BY points DESC) AS place FROM s")
-def e14(spark, d):
-    c = table(spark, d, "pair_comparisons").select(F.col("id").alias("instance_id"), F.lower(F.trim("task_type")).alias("task"), "item_a_model", "item_b_model").distinct()
-    v = _votes(spark, d).join(c, "instance_id")
-    part = lambda win: F.when(F.col("selected_model") == win, 3).when(F.col("selected_model") == "Ambos son malos", 1).otherwise(0)
-    sides = F.array(F.struct(F.col("item_a_model").alias("model"), part("A es mejor").alias("points")), F.struct(F.col("item_b_model").alias("model"), part("B es mejor").alias("points")))
-    s = v.select("task", F.inline(sides)).where("model IS NOT NULL").groupBy("task", "model").agg(F.sum("points").cast("long").alias("points"), F.median("points").alias("med"))
-    return s.withColumn("place", F.rank().over(Window.partitionBy("task").orderBy(F.desc("points"))).cast("long"))
-
-
 # -- text functions -------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from acervo.operators.annotation import LABELS, vote_label
 from acervo.operators.selection import greedy
 from acervo.plans.catalog import Catalog, raw_query
 from acervo.plans.registry import query
@@ -84,14 +83,6 @@ def k6(spark, d):
     return readers.parquet(spark, out).select("c_custkey", "idx", "c_mktsegment")
 
 
-@query("k7_annotations_wide", "SELECT annotator, instance_id, max(CASE WHEN selected_model = 'A es mejor' THEN '1' END) AS a, max(CASE WHEN selected_model = 'B es mejor' THEN '1' END) AS b FROM annotations WHERE selected_model IN ('A es mejor', 'B es mejor') GROUP BY ALL")
-def k7(spark, d):
-    said = table(spark, d, "annotations").select("annotator", "instance_id", vote_label(F.col("selected_model")).alias("label")).where("label IN (0, 1)")
-    votes = said.select("annotator", "instance_id", F.lit("best").alias("schema"), F.array(*[F.lit(x) for x in LABELS])[F.col("label")].alias("label"), F.lit("1").alias("value"))
-    wide = sinks.annotations_wide(votes, "annotator", "instance_id", "schema", "label", "value", [("best", "A es mejor"), ("best", "B es mejor")])
-    return wide.withColumnsRenamed({"best:::A es mejor": "a", "best:::B es mejor": "b"})
-
-
 @query("k9_resumed_batch", "SELECT c_custkey, upper(c_name) AS name FROM customer")
 def k9(spark, d):
     """The second run does what the first left."""

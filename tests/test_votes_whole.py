@@ -19,6 +19,7 @@ def tables(spark, tmp_path):
         rows = [(i, u, c, v, datetime.datetime(2025, 1, 1) + datetime.timedelta(hours=i)) for i, (u, c, v) in enumerate(votes)]
         spark.createDataFrame(rows, ANN).write.parquet(f"{tmp_path}/annotations.parquet")
         spark.createDataFrame(list(comparisons), CMP).write.parquet(f"{tmp_path}/pair_comparisons.parquet")
+        spark.createDataFrame([("M", "m"), ("the n", "n")], "alias string, model string").write.parquet(f"{tmp_path}/model_alias.parquet")
         return str(tmp_path)
 
     return write
@@ -33,7 +34,7 @@ def test_every_form_counts_and_the_latest_of_all_stays(spark, tables):
     assert rows(spark, d, "a12_league_points") == [("t", "m", 7), ("t", "n", 7)]
     assert rows(spark, d, "a12_comparison_table") == [("t", "m", 7, 1.0, 1), ("t", "n", 7, 1.0, 1)]
     assert rows(spark, d, "e12_rank_distribution") == [("t", "m", 1), ("t", "n", 2)]
-    assert rows(spark, d, "k7_annotations_wide") == [("u", 1, "1", "1"), ("u", 2, None, "1"), ("v", 1, "1", None), ("v", 2, None, "1")]
+    assert rows(spark, d, "k7_annotations_wide") == [("u", 1, "1", None), ("u", 2, None, "1"), ("v", 1, "1", None), ("v", 2, None, "1")]
     assert rows(spark, d, "e13_krippendorff") == [(pytest.approx(1 - 2 / 4),)]
 
 
@@ -65,5 +66,5 @@ def test_winner_agreement_leaves_out_neither(spark, tables):
 
 
 def test_ranks_by_place(spark, tables):
-    d = tables([("u", 1, "A es mejor"), ("u", 2, "B es mejor"), ("u", 3, '{"A es mejor": 1}')], [(1, "p", "T", "m", "n"), (2, "q", "T", "m", "n"), (3, "r", "t", "m", "n")])
+    d = tables([("u", 1, "A es mejor"), ("u", 2, "B es mejor"), ("u", 3, '{"A es mejor": 1}')], [(1, "p", "T", "m", "n"), (2, "q", "T", " M", "The  N"), (3, "r", "t", "m", "n")])
     assert rows(spark, d, "e12_place_ranks") == [("t", "m", 1, 2), ("t", "m", 2, 1), ("t", "n", 1, 1), ("t", "n", 2, 2)]
