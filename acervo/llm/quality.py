@@ -21,13 +21,13 @@ from acervo.runtime import materialise
 SAMPLE, MAX_COMMON = 4000, 10_000
 
 _ITEM = r"^[ \t]*(?:\d+(?:\.\d+)*[.)]|[a-z]\)|[-*•·–])[ \t]+"
-_STOP = r"(?m)(?<=\p{L}{2}|\p{L}[ \n]\d{1,4})[.!?…][)»\"”]?(?=\s+[(«\"“¿¡]?[\p{Lu}\d]|[ \t]*$)"
-_VOWELS = "[aeiouyàáâèéêëìíîïòóôöùúûüœæ]"
-_BROKEN = r"\p{L}[^\p{L}'’·,;:.\-()/]+\p{L}|[^\x{0}-\x{24F}\x{2010}-\x{2027}\x{20AC}]"
+_STOP = r"(?m)[.!?…](?<=(?:\p{L}{2}|\p{L}[ \n]\d{1,4})[.!?…])[)»\"”]?(?=\s+[(«\"“¿¡]?[\p{Lu}\d]|[ \t]*$)"
+_NO_VOWEL = r"(?<!\p{L})[^\P{L}aeiouyàáâèéêëìíîïòóôöùúûüœæ]++(?!\p{L})"
+_USUAL = r"[\p{L}\p{Nd}\s.,;:()/%'’\"«»“”!?¿¡·€ºª–-]++"
 
 STATISTICS = (
     "words", "mean_word_length", "letter_ratio", "digit_ratio", "symbol_ratio", "line_end_ratio", "common_ratio",
-    "distinct_ratio", "words_per_stop", "vowel_ratio", "broken_ratio", "single_ratio", "item_ratio", "words_per_line",
+    "distinct_ratio", "words_per_stop", "vowel_ratio", "odd_ratio", "single_ratio", "item_ratio", "words_per_line",
 )
 
 
@@ -57,8 +57,8 @@ def statistics(df: DataFrame, common: list[str], text: str = "text", keep: tuple
             "_digits": size(F.regexp_replace(t, r"\P{Nd}+", "")),
         }
     )
-    sizes = lambda c: F.aggregate(F.transform(F.col(c), F.length), F.lit(0), lambda a, x: a + x).cast("double")
-    rows = rows.withColumns({"_chars": sizes("_tokens"), "_letters": sizes("_words")})
+    joined = lambda c: size(F.array_join(c, ""))
+    rows = rows.withColumns({"_chars": joined("_tokens"), "_letters": joined("_words")})
     n, m, lines, chars = F.size("_tokens").cast("double"), F.size("_words").cast("double"), F.size("_lines").cast("double"), F.col("_chars")
     ratio = lambda c, of, test: F.when(of > 0, F.size(F.filter(c, test)) / of)
     some = lambda value: F.when(n > 0, value)
@@ -73,8 +73,8 @@ def statistics(df: DataFrame, common: list[str], text: str = "text", keep: tuple
         "common_ratio": ratio("_words", m, lambda x: x.isin(common)) if common else F.lit(0.0),
         "distinct_ratio": some(F.size(F.array_distinct("_tokens")) / n),
         "words_per_stop": some(n / F.greatest(stops, F.lit(1))),
-        "vowel_ratio": ratio("_words", m, lambda x: x.rlike(_VOWELS)),
-        "broken_ratio": ratio("_tokens", n, lambda x: x.rlike(_BROKEN) | (F.length(x) > 30)),
+        "vowel_ratio": F.when(m > 0, F.greatest(F.lit(0.0), 1 - F.regexp_count(F.lower(t), F.lit(_NO_VOWEL)) / m)),
+        "odd_ratio": some(size(F.regexp_replace(t, _USUAL, "")) / chars),
         "single_ratio": ratio("_tokens", n, lambda x: F.length(x) == 1),
         "item_ratio": ratio("_lines", lines, lambda x: x.rlike(_ITEM)),
         "words_per_line": F.when(lines > 0, n / lines),
