@@ -1,11 +1,13 @@
 """Most similar vectors for every vector: block matrix join.
 
-The vectors are normalised, quantised to int8 and written in blocks to the shared folder. A task
-holds one block of query vectors and streams all blocks past it. An int8 product tile (its
-operands are small integers, so the float product of BLAS is exact) gives every cosine with a bound
-on its quantisation error; only pairs that can still enter a row's k best are recomputed in float
-and merged into the row's heap. Nothing is shuffled but the final lists, memory is a tile, and the
-result is exact up to float rounding. The work is quadratic in the number of vectors.
+The vectors are normalised, quantised to int8 with one scale a block and written in blocks to the
+shared folder. A task holds one block of query vectors and streams the codes of all blocks past it.
+A product tile of codes holds whole numbers below 2^24, which BLAS adds exactly in float32, so with
+the two scales it gives every cosine with a bound on its quantisation error; it is compared as it is
+with one whole-number threshold a query. Only pairs that can still enter a row's k best are recomputed in
+float and merged into the row's heap; the float vectors of a block are read if it has such a pair.
+Nothing is shuffled but the final lists, memory is a tile, and the result is exact up to float
+rounding. The work is quadratic in the number of vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from acervo.runtime import materialise, parallelism, write_shared
 BLOCK, QUERIES = 4096, 32768
 #: Query rows of a product tile (STRIP x BLOCK floats, 16 MB).
 STRIP = 1024
-_BLOCK = "block long, ids array<string>, codes binary, scales binary, exact binary"
+_BLOCK = "ids array<string>, codes binary, scale double, errors binary, exact binary"
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -36,20 +38,25 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("string").alias("id"), v.cast("array<float>").alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """int8 codes and scale per row of unit vectors."""
-    scale = np.abs(x).max(axis=1) / 127
-    return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
+def quantise(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """int8 codes of a block of vectors and their scale."""
+    scale = float(np.abs(x).max()) / 127
+    return np.rint(x / scale).astype(np.int8), scale
 
 
 def _pack(dim: int):
+    if dim * 127 * 127 >= 1 << 24:
+        raise ValueError(f"products of {dim} codes don't fit whole numbers of float32")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, n = [], [], 0
 
         def out() -> pa.RecordBatch:
             x = np.concatenate(held)
-            codes, scales = quantise(x)
-            return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([list(ids)], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()), pa.array([scales.tobytes()], pa.binary()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "ids", "codes", "scales", "exact"])
+            codes, scale = quantise(x)
+            errors = np.linalg.norm(x - codes * scale, axis=1).astype(np.float32)
+            cells = [pa.array([list(ids)], pa.list_(pa.string())), *[pa.array([v], t) for v, t in ((codes.tobytes(), pa.binary()), (scale, pa.float64()), (errors.tobytes(), pa.binary()), (x.astype(np.float32).tobytes(), pa.binary()))]]
+            return pa.RecordBatch.from_arrays(cells, names=["ids", "codes", "scale", "errors", "exact"])
 
         for batch in batches:
             at = 0
@@ -117,53 +124,56 @@ class Heaps:
 
 def _search(folder: str, k: int, dim: int, least: float):
     def blocks():
-        """All written blocks, one at a time."""
-        import pyarrow.dataset as ds
+        """(ids, codes, scale, errors, exact) of all written blocks, one at a time; exact reads when called."""
+        import pyarrow.parquet as pq
         from pyarrow import fs
 
         where, path = fs.FileSystem.from_uri(folder)
-        for batch in ds.dataset(path, filesystem=where, format="parquet").to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1, columns=["ids", "codes", "scales", "exact"]):
-            for i in range(batch.num_rows):
-                yield [batch.column(j)[i] for j in range(4)]
-
-    def read(codes, scales, exact):
-        y = np.frombuffer(exact.as_buffer(), dtype=np.float32).reshape(-1, dim)
-        s = np.frombuffer(scales.as_buffer(), dtype=np.float32)
-        approx = np.frombuffer(codes.as_buffer(), dtype=np.int8).reshape(-1, dim).astype(np.float32) * s[:, None]
-        return y, approx, np.linalg.norm(y - approx, axis=1)
+        for file in where.get_file_info(fs.FileSelector(path)):
+            if not file.base_name.startswith(("_", ".")) and file.is_file:
+                table = pq.ParquetFile(where.open_input_file(file.path))
+                for group in range(table.num_row_groups):
+                    rows = table.read_row_group(group, columns=["ids", "codes", "scale", "errors"]).combine_chunks()
+                    for i in range(len(rows)):
+                        cells = [rows.column(j)[i] for j in range(4)]
+                        yield *cells, lambda g=group, i=i, t=table: t.read_row_group(g, columns=["exact"]).column(0)[i]
+
+    def numbers(cell, kind) -> np.ndarray:
+        return np.frombuffer(cell.as_buffer(), dtype=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts = [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                ids += batch.column(1)[i].as_py()
-                parts.append(read(*(batch.column(j)[i] for j in (2, 3, 4))))
+                ids += batch.column(0)[i].as_py()
+                codes, errors = numbers(batch.column(1)[i], np.int8).reshape(-1, dim), numbers(batch.column(3)[i], np.float32)
+                parts.append((codes.astype(np.float32), np.full(len(codes), batch.column(2)[i].as_py()), errors, numbers(batch.column(4)[i], np.float32).reshape(-1, dim)))
         if not ids:
             return
-        x, approx, error = (np.concatenate([p[j] for p in parts]) for j in range(3))
+        codes, scale, error, x = (np.concatenate([p[j] for p in parts]) for j in range(4))
         heaps = Heaps(len(x), k)
         me = {name: i for i, name in enumerate(ids)}
         buffer, flags = np.empty((STRIP, BLOCK), dtype=np.float32), np.empty((STRIP, BLOCK), dtype=bool)
-        for other, codes, scales, exact in blocks():
-            y, z, e = read(codes, scales, exact)
-            names = other.as_py()
+        for other, coded, scaled, errors, exact in blocks():
+            z, step, e = numbers(coded, np.int8).reshape(-1, dim).astype(np.float32), scaled.as_py(), float(numbers(errors, np.float32).max())
+            names, y = other.as_py(), None
             mine = [(me[name], j) for j, name in enumerate(names) if name in me]
-            slack = 1e-5 + float(e.max())
             for at in range(0, len(x), STRIP):
                 part = slice(at, min(at + STRIP, len(x)))
-                tile = np.matmul(approx[part], z.T, out=buffer[: part.stop - at, : len(z)])
+                tile = np.matmul(codes[part], z.T, out=buffer[: part.stop - at, : len(z)])
                 for i, j in mine:
                     if at <= i < part.stop:
-                        tile[i - at, j] = -4
-                bound = (error[part] * (1 + e.max()) + slack).astype(np.float32)  # |x.y - x'.y'| <= |x-x'||y| + |x'||y-y'|
+                        tile[i - at, j] = -np.inf
+                unit = scale[part] * step
+                bound = error[part] * (1 + e) + e + 1e-6  # |x.y - x'.y'| <= |x-x'||y| + |x'||y-y'|
                 floor = heaps.floor()[part].copy()
                 if len(names) > k and len(unset := np.flatnonzero(~np.isfinite(floor))):  # the tile's own k-th best gives a floor
-                    floor[unset] = np.partition(tile[unset], -k, axis=1)[:, -k] - bound[unset]
-                floor = np.maximum(floor, least)
-                passed = np.greater_equal(tile, (floor - bound).astype(np.float32)[:, None], out=flags[: part.stop - at, : len(z)])
+                    floor[unset] = np.partition(tile[unset], -k, axis=1)[:, -k] * unit[unset] - bound[unset]
+                whole = np.floor((np.maximum(floor, least) - bound) / unit)
+                passed = np.greater_equal(tile, np.maximum(whole, -(2.0**24)).astype(np.float32)[:, None], out=flags[: part.stop - at, : len(z)])
                 rows, cols = np.divmod(np.flatnonzero(passed), len(z))
-                real = tile[rows, cols] > -3
-                rows, cols = rows[real], cols[real]
+                if len(rows) and y is None:
+                    y = numbers(exact(), np.float32).reshape(-1, dim)
                 for lot in range(0, len(rows), 200_000):
                     r, c = rows[lot : lot + 200_000], cols[lot : lot + 200_000]
                     cos = np.einsum("ij,ij->i", x[part][r].astype(np.float64), y[c].astype(np.float64))

@@ -47,6 +47,38 @@ def test_quantisation_bound():
     x = np.random.default_rng(0).normal(size=(200, 96))
     x /= np.linalg.norm(x, axis=1)[:, None]
     codes, scale = knn.quantise(x)
-    approx = codes * scale[:, None].astype(np.float64)
-    e = np.linalg.norm(x - approx, axis=1)
-    assert np.all(np.abs(x @ x.T - approx @ approx.T) <= e[:, None] * (1 + e.max()) + e.max() + 1e-9)
+    whole = codes.astype(np.float32) @ codes.astype(np.float32).T
+    assert np.array_equal(whole.astype(np.int64), codes.astype(np.int64) @ codes.astype(np.int64).T)  # tiles are exact
+    e = np.linalg.norm(x - codes * scale, axis=1)
+    assert np.all(np.abs(x @ x.T - whole * scale**2) <= e[:, None] * (1 + e.max()) + e.max() + 1e-9)
+
+
+def test_codes_too_long_for_exact_tiles():
+    with pytest.raises(ValueError):
+        knn._pack(2000)
+
+
+def test_few_pairs_are_recomputed(spark, monkeypatch):
+    """All pairs are seen as codes; survivors are a small part of them."""
+    seen = []
+    merge = knn.Heaps.merge
+    monkeypatch.setattr(knn.Heaps, "merge", lambda self, rows, *a: (seen.append(len(rows)), merge(self, rows, *a))[1])
+    monkeypatch.setattr(knn, "BLOCK", 256)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 96))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        batch = pa.RecordBatch.from_arrays([pa.array([f"{i:04d}" for i in range(2000)]), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["id", "v"])
+        packed = list(knn._pack(96)(iter([batch])))
+        for i, b in enumerate(packed):
+            pq.write_table(pa.Table.from_batches([b]), f"{folder}/part-{i}.parquet")
+        out = pa.Table.from_batches(list(knn._search(f"file://{folder}", 10, 96, -2.0)(iter(packed)))).to_pylist()
+    s = x.astype(np.float32).astype(np.float64) @ x.astype(np.float32).astype(np.float64).T
+    np.fill_diagonal(s, -9)
+    assert len(out) == 20_000 and sum(seen) < 0.05 * 2000 * 1999
+    for r in out[:500]:
+        assert abs(r["cosine"] - np.sort(s[int(r["id"])])[-r["rank"]]) < 1e-6
