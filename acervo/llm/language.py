@@ -2,13 +2,12 @@
 
 A profile is the ranking of a language's most frequent character n-grams (within words, word
 ends marked). A line's n-grams are ranked the same way, and its distance to a profile is how far
-out of place they are: the difference of the logarithms of the two ranks, as a short line has few
-ranks and a profile many, with a fixed penalty for n-grams the profile lacks.
+out of place they are: the sum of the differences of the two ranks, with the size of the profile for
+n-grams it lacks. n-grams a line has equally often share their mean rank.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -82,21 +81,21 @@ class Judge:
         self.langs = sorted(profiles)
         ids = {g: xxhash.xxh64_intdigest(g) for p in profiles.values() for g in p}
         self.known = np.array(sorted(set(ids.values())), dtype=np.uint64)
-        self.missing = 2 * math.log1p(size)
+        self.missing = float(size)
         self.ranks = np.full((len(self.known), len(self.langs)), np.nan)
         for j, name in enumerate(self.langs):
             for g, rank in profiles[name].items():
-                self.ranks[np.searchsorted(self.known, np.uint64(ids[g])), j] = math.log1p(rank)
+                self.ranks[np.searchsorted(self.known, np.uint64(ids[g])), j] = rank
 
     def __call__(self, line: str) -> tuple[str, float]:
-        """The nearest language and the confidence: how much nearer it is than the next, from 0 to 1.
-        n-grams of equal frequency rank by their hash."""
+        """The nearest language and the confidence: how much nearer it is than the next, from 0 to 1."""
         words = _WORD.findall(line.lower())
         found, counts = np.unique(np.concatenate([_ids_of(w) for w in words]) if words else np.empty(0, np.uint64), return_counts=True)
-        found = found[np.argsort(-counts, kind="stable")]
+        _, group, size = np.unique(-counts, return_inverse=True, return_counts=True)
+        ranks = (np.cumsum(size) - (size + 1) / 2)[group]
         at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
         hit = self.known[at] == found
-        gap = np.abs(np.log1p(np.flatnonzero(hit))[:, None] - self.ranks[at[hit]])
+        gap = np.abs(ranks[hit][:, None] - self.ranks[at[hit]])
         far = self.missing * (~hit).sum() + np.where(np.isnan(gap), self.missing, gap).sum(axis=0)
         order = np.argsort(far, kind="stable")
         if len(order) == 1:
