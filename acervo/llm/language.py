@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Two-letter code and its three-letter codes.
 CODES = {"es": ("spa",), "ca": ("cat",), "gl": ("glg",), "eu": ("eus", "baq"), "en": ("eng",), "fr": ("fra", "fre")}
 #: Length of the n-grams, size of a profile, labelled documents used per language at most.
-N, PROFILE, SAMPLE = 5, 3000, 400
+N, PROFILE, SAMPLE = 5, 6000, 400
 MIN_WORDS = 6
 
 _WORD = re.compile(r"[^\W\d_]+")
