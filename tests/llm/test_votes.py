@@ -41,15 +41,24 @@ def test_ranking_against_newton(spark):
     rows += [(i + j, "u", i + j, LABELS[0], AT, "x") for j in range(3)] + [(i + 5, "w", 0, LABELS[2], AT, "x")]
     c = spark.createDataFrame(compared, CMP)
     w = win_counts(valid_votes(spark.createDataFrame(rows, ANN), c), systems(c, alias))
-    got = {r["model"]: r for r in rank_items(w, prior=0.5, tolerance=1e-4).collect()}
+    got = {r["model"]: r for r in rank_items(w, prior=0.5, tolerance=1e-7).collect()}
     x = np.zeros(k)
     for _ in range(4000):  # gradient ascent on the same regularised likelihood
         p = 1 / (1 + np.exp(x[None, :] - x[:, None]))
         s = 1 / (1 + np.exp(-x))
         x += 0.02 * ((wins * (1 - p)).sum(1) - (wins.T * p).sum(1) + 0.5 * (1 - s) - 0.5 * s)
-    assert [got[f"m{m}"]["strength"] for m in range(k)] == pytest.approx(list(x), abs=5e-3)
+    assert [got[f"m{m}"]["strength"] for m in range(k)] == pytest.approx(list(x), abs=1e-4)
     assert [r for r in sorted(got, key=lambda m: got[m]["rank"])] == [f"m{m}" for m in np.argsort(-x)]
-    assert {r["component"] for r in got.values()} == {"m0"} and all(r["se"] > 0 for r in got.values())
+    assert {r["component"] for r in got.values()} == {"m0"} and all(r["converged"] for r in got.values())
+    n = wins + wins.T
+    p = 1 / (1 + np.exp(x[None, :] - x[:, None]))
+    info = -n * p * (1 - p)
+    np.fill_diagonal(info, (n * p * (1 - p)).sum(1) + s * (1 - s))
+    assert [got[f"m{m}"]["se"] for m in range(k)] == pytest.approx(list(np.sqrt(np.diag(np.linalg.inv(info)))), rel=1e-3)
+    rough = {r["model"]: r for r in rank_items(w, small=0, dense=2).collect()}  # joined, not broadcast; errors from the diagonal
+    assert all(not r["se_exact"] and r["se"] <= got[m]["se"] for m, r in rough.items())
+    assert all(abs(r["strength"] - got[m]["strength"]) < 1e-4 for m, r in rough.items())
+    assert not any(r["converged"] for r in rank_items(w, sweeps=1).collect())
     assert sum(r["wins"] for r in got.values()) == wins.sum()
 
 
