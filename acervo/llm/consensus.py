@@ -3,19 +3,27 @@
 Mean-field variational confusion model: every annotator has a row of label probabilities per true
 class with a Dirichlet prior, the classes have one too. Votes stay long; each iteration sums
 expected log probabilities by item and responsibilities by annotator, both as partial sums in
-every task, so a hot item or annotator doesn't gather in one.
+every task. Votes meet the table of items by item and salt: an item with more than its share of the
+votes, and there are few such, is spread over many tasks. The table of annotators is broadcast up to
+SMALL rows, counted first; beyond that votes meet it by annotator and salt in the same way.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.llm.votes import LABELS
-from acervo.runtime import cut, discard, materialise
+from acervo.runtime import cut, discard, materialise, parallelism
 
 K = len(LABELS)
 SWEEPS = 3
+#: Annotators whose table (some 150 bytes each) is broadcast at most.
+SMALL = 100_000
+#: Votes a key may have before it is looked at as hot, whatever the number of tasks.
+LEAST_HOT = 20_000
 
 
 def digamma(x: Column) -> Column:
@@ -27,61 +35,140 @@ def digamma(x: Column) -> Column:
     return series
 
 
-def fit(votes: DataFrame, right: float = 2.0, wrong: float = 1.0, classes: float = 1.0, tolerance: float = 1e-3, rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """votes(instance_id, annotator, label) -> the written votes, the posterior (instance_id, n, q0..)
-    and the annotators' pseudo-counts (annotator, votes, c0_0..c2_2), prior included: `right` for the
-    true label, `wrong` for another."""
-    votes = materialise(votes.repartition("instance_id"), "votes")
+class Salted:
+    """A key of the votes and its values that hold more than a quarter of a task's share of all rows: at most
+    four for each task, so their list is small. `votes` are given the salt as a column, `table` its rows
+    once per salt."""
+
+    def __init__(self, votes: DataFrame, key: str, by: str, least: int) -> None:
+        counts = votes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        self.key, self.by, self.tasks = key, by, max(parallelism(votes.sparkSession), int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        total = votes.count()
+        hot = counts.where(F.col("_n") > max(least, total / (4 * self.tasks))).select(key).collect()  # at most 4 a task
+        self.hot = [r[0] for r in hot]
+
+    def salt(self) -> Column:
+        return F.when(F.col(self.key).isin(self.hot), F.pmod(F.xxhash64(self.by), F.lit(self.tasks))).otherwise(0).cast("int") if self.hot else F.lit(0)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.hot:
+            return df.withColumn(name, F.lit(0))
+        salts = F.when(F.col(self.key).isin(self.hot), F.sequence(F.lit(0), F.lit(self.tasks - 1))).otherwise(F.array(F.lit(0)))
+        return df.withColumn(name, F.explode(salts))
+
+
+def fit(
+    votes: DataFrame, right: float = 2.0, wrong: float = 1.0, classes: float = 1.0, tolerance: float = 1e-3, rounds: int = 40, small: int = SMALL, least_hot: int = LEAST_HOT
+) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """votes(instance_id, annotator, label) -> the written votes, the posterior (instance_id, n, q0..), the
+    annotators' pseudo-counts (annotator, votes, c0_0..c2_2), prior included: `right` for the
+    true label, `wrong` for another; and whether no posterior moved by `tolerance` in the last of at
+    most `rounds` rounds of SWEEPS sweeps. The prior of the classes is taken anew every round."""
+    votes = materialise(votes.select("instance_id", "annotator", "label"), "given")
+    items, people = Salted(votes, "instance_id", "annotator", least_hot), Salted(votes, "annotator", "instance_id", least_hot)
+    votes = materialise(votes.select("*", items.salt().alias("_i"), people.salt().alias("_a")), "votes")
+    few = votes.select("annotator").distinct().count() <= small
     first = votes.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == k).alias(f"s{k}") for k in range(K)])
     post = cut(first.select("instance_id", "n", *[((F.col(f"s{k}") + 0.1) / (F.col("n") + 0.1 * K)).alias(f"q{k}") for k in range(K)]))
 
     def confusion(post: DataFrame) -> DataFrame:
-        held = votes.join(post, "instance_id")
+        held = votes.join(items.table(post, "_i"), ["instance_id", "_i"])
         cells = [F.sum(F.when(F.col("label") == j, F.col(f"q{k}")).otherwise(0.0)).alias(f"n{k}_{j}") for k in range(K) for j in range(K)]
-        return held.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), *cells).select("annotator", "votes", *[(F.col(f"n{k}_{j}") + (right if j == k else wrong)).alias(f"c{k}_{j}") for k in range(K) for j in range(K)])
-
+        counts = [(F.col(f"n{k}_{j}") + (right if j == k else wrong)).alias(f"c{k}_{j}") for k in range(K) for j in range(K)]
+        return held.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), *cells).select("annotator", "votes", *counts)
+
+    def expected(tables: DataFrame) -> DataFrame:
+        """(instance_id, e0.., n): a vote's expected log probabilities under every class."""
+        logs = [(digamma(F.col(f"c{k}_{j}")) - digamma(sum(F.col(f"c{k}_{i}") for i in range(K)))).alias(f"l{k}_{j}") for k in range(K) for j in range(K)]
+        logged = tables.select("annotator", *logs)
+        met = votes.join(F.broadcast(logged), "annotator") if few else votes.join(people.table(logged, "_a"), ["annotator", "_a"])
+        said = met.select("instance_id", *[F.coalesce(*[F.when(F.col("label") == j, F.col(f"l{k}_{j}")) for j in range(K)]).alias(f"e{k}") for k in range(K)])
+        return said.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"e{k}").alias(f"e{k}") for k in range(K)])
+
+    converged = False
     for _ in range(rounds):
         now = post
         held = now.agg(*[F.sum(f"q{k}") for k in range(K)]).first()
-        logged = [F.lit((x or 0.0) + classes) for x in held]
+        prior = [digamma(F.lit((x or 0.0) + classes)) for x in held]
         for _ in range(SWEEPS):
-            tables = confusion(now)
-            logs = tables.select("annotator", *[(digamma(F.col(f"c{k}_{j}")) - digamma(sum(F.col(f"c{k}_{i}") for i in range(K)))).alias(f"l{k}_{j}") for k in range(K) for j in range(K)])
-            said = votes.join(logs, "annotator").select("instance_id", *[F.coalesce(*[F.when(F.col("label") == j, F.col(f"l{k}_{j}")) for j in range(K)]).alias(f"e{k}") for k in range(K)])
-            sums = said.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"e{k}").alias(f"e{k}") for k in range(K)])
-            sums = sums.select("instance_id", "n", *[(F.col(f"e{k}") + digamma(logged[k])).alias(f"e{k}") for k in range(K)])
+            sums = expected(confusion(now)).select("instance_id", "n", *[(F.col(f"e{k}") + prior[k]).alias(f"e{k}") for k in range(K)])
             top = F.greatest(*[F.col(f"e{k}") for k in range(K)])
             weigh = sums.select("instance_id", "n", *[F.exp(F.col(f"e{k}") - top).alias(f"w{k}") for k in range(K)])
             now = weigh.select("instance_id", "n", *[(F.col(f"w{k}") / sum(F.col(f"w{i}") for i in range(K))).alias(f"q{k}") for k in range(K)])
         new = cut(now)
-        moved = new.join(post.select("instance_id", *[F.col(f"q{k}").alias(f"o{k}") for k in range(K)]), "instance_id").agg(F.max(F.greatest(*[F.abs(F.col(f"q{k}") - F.col(f"o{k}")) for k in range(K)]))).first()[0]
+        old = post.select("instance_id", *[F.col(f"q{k}").alias(f"o{k}") for k in range(K)])
+        moved = new.join(old, "instance_id").agg(F.max(F.greatest(*[F.abs(F.col(f"q{k}") - F.col(f"o{k}")) for k in range(K)]))).first()[0]
         discard(post)
         post = new
-        if moved is None or moved < tolerance:
+        if converged := moved is None or moved < tolerance:
             break
-    return votes, post, cut(confusion(post))
+    return votes, post, cut(confusion(post)), converged
 
 
 def consensus(votes: DataFrame, **options: float) -> DataFrame:
-    """(instance_id, n, label, confidence, agreement): the label to be believed, its probability and
-    the share of the annotators' pairs that agree (null for one annotator). Labels of equal
-    probability: the earlier in LABELS. Every item with a vote has a row; no votes, no rows."""
-    votes, post, _ = fit(votes, **options)
+    """(instance_id, n, label, confidence, agreement, converged): the label to be believed, its probability, the
+    share of the annotators' pairs that agree (null for one annotator) and whether the fit came to rest.
+    Labels of equal probability: the earlier in LABELS. Every item with a vote has a row; no votes, no rows."""
+    votes, post, _, converged = fit(votes, **options)
     same = votes.groupBy("instance_id", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("instance_id").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("pairs"))
     best = F.greatest(*[F.col(f"q{k}") for k in range(K)])
     label = F.coalesce(*[F.when(F.col(f"q{k}") == best, F.lit(LABELS[k])) for k in range(K)])
-    return post.join(same, "instance_id").select("instance_id", "n", label.alias("label"), best.alias("confidence"), F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
-
-
-def reliability(votes: DataFrame, z: float = 1.96, **options: float) -> DataFrame:
-    """(annotator, votes, reliability, low, high): the mean probability of the true label over the
-    classes, and its posterior interval from the Dirichlet variances."""
-    _, _, tables = fit(votes, **options)
+    agreement = F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1)))
+    return post.join(same, "instance_id").select("instance_id", "n", label.alias("label"), best.alias("confidence"), agreement.alias("agreement"), F.lit(converged).alias("converged"))
+
+
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 200) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction (Lentz)."""
+    from math import lgamma
+
+    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
+    flip = x > (a + 1) / (a + b + 2)
+    y, p, q = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    y = np.clip(y, 1e-300, 1 - 1e-16)
+    gamma = np.vectorize(lgamma)
+    front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    tiny = 1e-300
+    c, d = np.ones_like(y), 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, terms):
+        for part in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + part * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + part / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+    return np.where(flip, 1 - front * h, front * h)
+
+
+def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.zeros_like(a, dtype=float), np.ones_like(a, dtype=float)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = beta_cdf(mid, a, b) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+def reliability(votes: DataFrame, level: float = 0.95, **options: float) -> DataFrame:
+    """(annotator, votes, reliability, low, high, converged): the mean probability of the true label over the
+    classes, and its posterior interval: the quantiles of the Beta distribution of the same mean and
+    variance, these from the Dirichlet rows."""
+    _, _, tables, converged = fit(votes, **options)
     total = [sum(F.col(f"c{k}_{i}") for i in range(K)) for k in range(K)]
     mean = sum(F.col(f"c{k}_{k}") / total[k] for k in range(K)) / K
     var = sum(F.col(f"c{k}_{k}") * (total[k] - F.col(f"c{k}_{k}")) / (total[k] ** 2 * (total[k] + 1)) for k in range(K)) / K**2
-    out = tables.select("annotator", "votes", mean.alias("reliability"), F.sqrt(var).alias("sd"))
-    return out.select("annotator", "votes", "reliability", F.greatest(F.lit(0.0), F.col("reliability") - z * F.col("sd")).alias("low"), F.least(F.lit(1.0), F.col("reliability") + z * F.col("sd")).alias("high"))
+
+    def bound(p: float):
+        def at(m: pd.Series, v: pd.Series) -> pd.Series:
+            size = m * (1 - m) / v - 1
+            return pd.Series(beta_quantile(p, (m * size).to_numpy(), ((1 - m) * size).to_numpy()))
+
+        return F.pandas_udf(at, "double")
+
+    out = tables.select("annotator", "votes", mean.alias("reliability"), var.alias("_v"))
+    ends = [bound((1 - level) / 2)("reliability", "_v").alias("low"), bound((1 + level) / 2)("reliability", "_v").alias("high")]
+    return out.select("annotator", "votes", "reliability", *ends, F.lit(converged).alias("converged"))
 
 
 def krippendorff(votes: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 import pytest
 
-from acervo.llm.consensus import consensus, fit, krippendorff, reliability
+from acervo.llm.consensus import Salted, beta_cdf, beta_quantile, consensus, fit, krippendorff, reliability
 from acervo.llm.paired import components, rank_items, win_counts
 from acervo.llm.votes import LABELS, systems, valid_votes
 
@@ -86,13 +86,13 @@ def simulate(seed, items=300, annotators=12):
 def test_consensus_beats_majority(spark):
     truth, votes = simulate(8)
     df = spark.createDataFrame(votes, "instance_id long, annotator string, label int")
-    got = {r["instance_id"]: r for r in consensus(df, rounds=3).collect()}
+    got = {r["instance_id"]: r for r in consensus(df).collect()}
     right = np.mean([LABELS.index(got[i]["label"]) == truth[i] for i in range(len(truth))])
     count = np.zeros((len(truth), 3))
     for i, _, v in votes:
         count[i, v] += 1
     assert right > 0.9 and right >= np.mean(count.argmax(1) == truth)
-    rel = {r["annotator"]: r for r in reliability(df, rounds=3).collect()}
+    rel = {r["annotator"]: r for r in reliability(df).collect()}
     assert rel["u00"]["reliability"] > rel["u05"]["reliability"] > rel["u09"]["reliability"] > rel["u11"]["reliability"]
     assert all(r["low"] <= r["reliability"] <= r["high"] for r in rel.values())
 
@@ -108,7 +108,8 @@ def test_variational_step_against_numpy(spark):
 
     _, votes = simulate(3, 40)
     df = spark.createDataFrame(votes, "instance_id long, annotator string, label int")
-    _, post, _ = fit(df, tolerance=0, rounds=1)
+    _, post, _, converged = fit(df, tolerance=0, rounds=1)
+    assert not converged
     got = {r["instance_id"]: [r["q0"], r["q1"], r["q2"]] for r in post.collect()}
     names = sorted({a for _, a, _ in votes})
     q = np.full((40, 3), 0.1)
@@ -140,3 +141,32 @@ def test_agreement(spark):
     assert consensus(mixed.limit(0), rounds=1).collect() == []
     tie = consensus(spark.createDataFrame([(1, "a", 1), (1, "b", 0)], schema), rounds=1).first()
     assert tie["n"] == 2 and tie["agreement"] == 0
+
+
+def test_hot_item_and_hot_annotator(spark):
+    """A third of all votes on one item, a third by one annotator: same result, and no task holds them."""
+    rng = np.random.default_rng(7)
+    votes = [(0, f"u{a:03d}", int(rng.random() < 0.3)) for a in range(400)]
+    votes += [(i, "u000", int(rng.integers(0, 3))) for i in range(1, 401)]
+    votes += [(int(i), f"u{a:03d}", int(rng.integers(0, 3))) for i, a in {(rng.integers(1, 401), rng.integers(1, 400)) for _ in range(400)}]
+    df = spark.createDataFrame(votes, "instance_id long, annotator string, label int")
+    plain = {r["instance_id"]: r["confidence"] for r in consensus(df, rounds=2).collect()}
+    for small in (0, 10_000):
+        salted = {r["instance_id"]: r["confidence"] for r in consensus(df, rounds=2, small=small, least_hot=50).collect()}
+        assert salted.keys() == plain.keys() and max(abs(salted[i] - plain[i]) for i in plain) < 1e-9
+    item = Salted(df, "instance_id", "annotator", 50)
+    assert item.hot == [0]
+    placed = df.withColumn("_i", item.salt()).groupBy("instance_id", "_i").count()
+    assert placed.agg({"count": "max"}).first()[0] < 400 / item.tasks * 2
+    assert item.table(df.limit(0), "_i").columns == [*df.columns, "_i"]
+
+
+def test_beta_quantiles():
+    a, b = np.array([2.0, 30.0, 1.0]), np.array([5.0, 3.0, 1.0])
+    grid = np.linspace(0, 1, 200_001)[1:-1]
+    for i in range(3):
+        density = grid ** (a[i] - 1) * (1 - grid) ** (b[i] - 1)
+        total = np.cumsum(density) / density.sum()
+        for p in (0.025, 0.5, 0.975):
+            assert abs(beta_quantile(p, a[i : i + 1], b[i : i + 1])[0] - grid[np.searchsorted(total, p)]) < 1e-4
+    assert abs(beta_cdf(0.3, 1.0, 1.0) - 0.3) < 1e-12
