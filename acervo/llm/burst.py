@@ -4,8 +4,8 @@ Each task counts its records in a burst trie: inner nodes branch on one characte
 small containers {suffix: [occurrences, records]} that burst into a node when they grow. The
 containers are written as compact rows (prefix, suffixes, counts). From their sizes the heavy
 prefixes are found - those holding more than 1/ROUTES of all entries, so at most ROUTES of each
-length - and every term is routed by its shortest prefix that isn't heavy. Subtrees of one route
-meet in one task and are merged there.
+length - and every term is routed by its shortest prefix that isn't heavy, however long it is.
+Subtrees of one route meet in one task and are merged there.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from acervo.runtime import materialise
 
 #: Entries a container holds before it bursts; entries a task holds before it writes its trie.
 BURST, FLUSH = 512, 1_000_000
-#: A prefix with more than this share of all entries is split further, to PREFIX characters.
-ROUTES, PREFIX = 256, 12
+#: A prefix with more than one in ROUTES of all entries is split further; STEP characters are looked at first.
+ROUTES, STEP = 256, 12
 #: Entries in one row of a written container.
 ROW = 2048
 
@@ -153,6 +153,23 @@ def route_of(term: str, heavy: frozenset[str]) -> str:
     return term
 
 
+def heavy_prefixes(sizes: DataFrame, most: float, step: int = STEP) -> frozenset[str]:
+    """The prefixes of sizes(prefix, n) whose rows have more than `most` in all, of every length: `step`
+    characters at first, and twice as many again below those of them that are heavy to the end."""
+    found: set[str] = set()
+    done, upto, roots = 0, step, None
+    while True:
+        rows = sizes if roots is None else sizes.join(F.broadcast(roots), F.substring("prefix", 1, done) == F.col("root")).drop("root")  # at most total / most rows
+        cut = rows.where(F.length("prefix") > done).groupBy(F.substring("prefix", 1, upto).alias("prefix")).agg(F.sum("n").alias("n"))
+        parts = F.transform(F.sequence(F.lit(done + 1), F.length("prefix")), lambda i: F.substring(F.col("prefix"), F.lit(1), i))
+        heavy = [r.p for r in cut.select(F.explode(parts).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("p").collect()]  # at most total / most of each length
+        found.update(heavy)
+        ends = [p for p in heavy if len(p) == upto]
+        if not ends:
+            return frozenset(found)
+        roots, done, upto = sizes.sparkSession.createDataFrame([(p,) for p in ends], "root string"), upto, 2 * upto
+
+
 _ROUTED = "route string, prefix string, suffixes array<string>, occurrences array<long>, records array<long>"
 
 
@@ -226,10 +243,7 @@ def term_frequencies(
     sizes = parts.select("prefix", F.size("suffixes").alias("n"), "n_records")
     total = sizes.agg(F.sum("n"), F.sum("n_records")).first()
     entries, n_records = total[0] or 0, total[1] or 0
-    by_prefix = sizes.where("n > 0").groupBy(F.substring("prefix", 1, PREFIX).alias("prefix")).agg(F.sum("n").alias("n"))
-    heavy = frozenset(
-        x.p for x in by_prefix.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda i: F.substring(F.col("prefix"), F.lit(1), i))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > entries / routes).select("p").collect()
-    )  # at most `routes` of each length up to PREFIX
+    heavy = heavy_prefixes(sizes.where("n > 0").select("prefix", "n"), entries / routes)
     routed = parts.where(F.size("suffixes") > 0).drop("n_records").mapInArrow(_split(heavy), _ROUTED)
     merged = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_merge(burst), "term string, occurrences long, records long")
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * n_records, "common")

@@ -59,3 +59,19 @@ def test_against_brute_force(spark):
     assert got["común"][2] == "common" and got["zz"][0] == 4
     assert unicodedata.is_normalized("NFC", "".join(got))
     assert term_frequencies(df.limit(0)).collect() == []
+
+
+def test_long_common_beginnings_are_split(spark):
+    """A third of the vocabulary shares 70 characters: routes go on below them."""
+    from acervo.llm.burst import heavy_prefixes
+
+    base = "https://contratos.example.org/expedientes/documentos/anexos/version/a/"
+    terms = [f"{base}{i:05d}" for i in range(1500)] + [f"{chr(97 + i % 26)}{i}" for i in range(3000)]
+    sizes = spark.createDataFrame([(t[:-2], 1) for t in terms], "prefix string, n long")
+    heavy = heavy_prefixes(sizes, len(terms) / 64)
+    assert base in heavy and max(map(len, heavy)) > len(base)
+    size = Counter(route_of(t, heavy) for t in terms)
+    assert max(size.values()) <= len(terms) / 64
+    rows = [(f"p{i}", 1, " ".join(terms[3 * i : 3 * i + 3]), None) for i in range(1500)]
+    got = {r["term"]: r["occurrences"] for r in term_frequencies(spark.createDataFrame(rows, "place_id string, indexed_at int, lemmas string, bow string"), routes=64).collect()}
+    assert got == {t: 1 for t in terms}
