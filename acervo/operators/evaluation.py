@@ -10,6 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acervo.operators.retrieval import tokens
+
+
+#: Words of the domain that say nothing of an objective.
+DOMAIN = ("objeto", "contrato", "contratación", "objetivo", "pliego", "licitación")
+
+
+def content(c: Column) -> Column:
+    """Word tokens without those of the domain."""
+    return F.filter(tokens(c), lambda w: ~w.isin(*DOMAIN))
+
 
 def overlap(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 of two token arrays as sets; both empty 1, one empty 0."""

@@ -65,7 +65,8 @@ def i5(spark, d):
 
 # -- evaluation -----------------------------------------------------------------------------------------
 
-_SETS = f"s AS (SELECT id, list_distinct({_TOKENS('text_option_a')}) AS a, list_distinct({_TOKENS('text_option_b')}) AS b FROM (SELECT DISTINCT id, text_option_a, text_option_b FROM pair_comparisons))"
+_CONTENT = lambda c: f"list_filter({_TOKENS(c)}, lambda x: x NOT IN ('objeto', 'contrato', 'contratación', 'objetivo', 'pliego', 'licitación'))"
+_SETS = f"s AS (SELECT id, list_distinct({_CONTENT('text_option_a')}) AS a, list_distinct({_CONTENT('text_option_b')}) AS b FROM (SELECT DISTINCT id, text_option_a, text_option_b FROM pair_comparisons))"
 
 
 def _options(spark, d):
@@ -74,7 +75,7 @@ def _options(spark, d):
 
 @query("e1_token_overlap", f"WITH {_SETS}, m AS (SELECT id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b))::DOUBLE AS h FROM s), pr AS (SELECT id, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE h / na END AS p, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE h / nb END AS r FROM m) SELECT id, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr")
 def e1(spark, d):
-    p, r, f1 = E.overlap(tokens(F.col("text_option_a")), tokens(F.col("text_option_b")))
+    p, r, f1 = E.overlap(E.content(F.col("text_option_a")), E.content(F.col("text_option_b")))
     return _options(spark, d).select("id", F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f1, 6).alias("f1"))
 
 
@@ -152,26 +153,6 @@ def f16(spark, d):
     return rows.where("l.ItemClassificationCode IS NOT NULL").select("place_id", "indexed_at", F.col("l.ItemClassificationCode").alias("code"), F.col("l.TaxExclusiveAmount").try_cast("double").alias("amount"), F.col("l.numLotes").try_cast("int").alias("lots"))
 
 
-@query("f17_anchors", r"SELECT place_id, regexp_matches(lower(raw_text), 'tiene\s+por\s+objeto|té\s+per\s+objecte|ten\s+por\s+obxecto|helburu\s+gisa\s+hartzen|has\s+as\s+its\s+purpose|a\s+pour\s+objet|es\s+objeto\s+d(el|e\s+este)\s+contrato|el\s+objeto\s+del\s+(presente\s+)?contrato\s+es|l[’'']objecte\s+del\s+contracte\s+és|o\s+obxecto\s+do\s+contrato\s+é|kontratuaren\s+xedea') AS found FROM (SELECT DISTINCT place_id, raw_text FROM pliegos WHERE raw_text IS NOT NULL)")
-def f17(spark, d):
-    return table(spark, d, "pliegos").where("raw_text IS NOT NULL").select("place_id", "raw_text").distinct().select("place_id", O.has_anchor(F.col("raw_text")).alias("found"))
-
-
-@query("f18_objective_snippets")
-def f18(spark, d):
-    return table(spark, d, "pliegos").select("place_id", O.snippet(F.col("raw_text")).alias("objective"), F.round(O.noise(F.col("raw_text")), 6).alias("noise"), F.round(O.purpose(F.col("raw_text")), 6).alias("purpose"))
-
-
-@query("f21_stripped_layout")
-def f21(spark, d):
-    return table(spark, d, "documents").select("doc_id", O.strip_layout(F.col("text")).alias("text"))
-
-
-@query("f23_clipped", r"WITH h AS (SELECT doc_id, text, left(text, 300) AS h FROM documents), w AS (SELECT *, regexp_extract(h, '(?s)^(.*[.!?…])(\s|$)', 1) AS w FROM h) SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN length(w) >= 180 THEN w ELSE rtrim(h) END AS clipped FROM w")
-def f23(spark, d):
-    return table(spark, d, "documents").select("doc_id", O.clip(F.col("text"), 300).alias("clipped"))
-
-
 @query("f24_context_window", "SELECT doc_id, CASE WHEN position('plazo' IN text) > 0 THEN substring(text, greatest(1, position('plazo' IN text) - 300), position('plazo' IN text) - greatest(1, position('plazo' IN text) - 300) + 505) END AS around FROM documents")
 def f24(spark, d):
     return table(spark, d, "documents").select("doc_id", O.window(F.col("text"), F.lit("plazo")).alias("around"))
