@@ -26,13 +26,11 @@ SMALL = 100_000
 LEAST_HOT = 20_000
 
 
-def digamma(x: Column) -> Column:
-    """Of positive x: six steps of the recurrence, then the asymptotic series."""
-    y = x + 6
-    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
-    for i in range(6):
-        series = series - 1 / (x + i)
-    return series
+def digamma(x: str) -> str:
+    """Of a positive SQL expression: six steps of the recurrence, then the asymptotic series."""
+    y = f"({x} + 6)"
+    steps = "".join(f" - 1D / ({x} + {i})" for i in range(6))
+    return f"(ln{y} - 1D / (2 * {y}) - 1D / (12 * pow{y[:-1]}, 2)) + 1D / (120 * pow{y[:-1]}, 4)) - 1D / (252 * pow{y[:-1]}, 6)){steps})"
 
 
 class Salted:
@@ -40,12 +38,11 @@ class Salted:
     four for each task, so their list is small. `votes` are given the salt as a column, `table` its rows
     once per salt."""
 
-    def __init__(self, votes: DataFrame, key: str, by: str, least: int) -> None:
-        counts = votes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    def __init__(self, votes: DataFrame, key: str, by: str, least: int, total: int | None = None) -> None:
         self.key, self.by, self.tasks = key, by, max(parallelism(votes.sparkSession), int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        total = votes.count()
-        hot = counts.where(F.col("_n") > max(least, total / (4 * self.tasks))).select(key).collect()  # at most 4 a task
-        self.hot = [r[0] for r in hot]
+        most = max(least, (votes.count() if total is None else total) / (4 * self.tasks))
+        counts = votes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        self.keys, self.hot = counts.agg(F.count(F.lit(1)), F.collect_list(F.when(F.col("_n") > most, F.col(key)))).first()  # hot: at most 4 a task
 
     def salt(self) -> Column:
         return F.when(F.col(self.key).isin(self.hot), F.pmod(F.xxhash64(self.by), F.lit(self.tasks))).otherwise(0).cast("int") if self.hot else F.lit(0)
@@ -64,40 +61,50 @@ def fit(
     annotators' pseudo-counts (annotator, votes, c0_0..c2_2), prior included: `right` for the
     true label, `wrong` for another; and whether no posterior moved by `tolerance` in the last of at
     most `rounds` rounds of SWEEPS sweeps. The prior of the classes is taken anew every round."""
+    spark = votes.sparkSession
     votes = materialise(votes.select("instance_id", "annotator", "label"), "given")
-    items, people = Salted(votes, "instance_id", "annotator", least_hot), Salted(votes, "annotator", "instance_id", least_hot)
-    votes = materialise(votes.select("*", items.salt().alias("_i"), people.salt().alias("_a")), "votes")
-    few = votes.select("annotator").distinct().count() <= small
+    total = votes.count()
+    items, people = Salted(votes, "instance_id", "annotator", least_hot, total), Salted(votes, "annotator", "instance_id", least_hot, total)
+    few = people.keys <= small
+    if items.hot or (people.hot and not few):
+        votes = materialise(votes.select("*", items.salt().alias("_i"), people.salt().alias("_a")), "votes")
+    else:
+        votes = votes.select("*", F.lit(0).alias("_i"), F.lit(0).alias("_a"))
     first = votes.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == k).alias(f"s{k}") for k in range(K)])
     post = cut(first.select("instance_id", "n", *[((F.col(f"s{k}") + 0.1) / (F.col("n") + 0.1 * K)).alias(f"q{k}") for k in range(K)]))
 
+    pairs = [(k, j) for k in range(K) for j in range(K)]
+    row = lambda k: "(" + " + ".join(f"c{k}_{i}" for i in range(K)) + ")"
+    cells = [F.expr(f"sum(if(label = {j}, q{k}, 0D)) AS n{k}_{j}") for k, j in pairs]
+    counts = [f"n{k}_{j} + {right if j == k else wrong}D AS c{k}_{j}" for k, j in pairs]
+    logs = [f"{digamma(f'c{k}_{j}')} - {digamma(row(k))} AS l{k}_{j}" for k, j in pairs]
+    said = [f"CASE label {' '.join(f'WHEN {j} THEN l{k}_{j}' for j in range(K))} END AS e{k}" for k in range(K)]
+    sums_of = [F.expr("count(1) AS n"), *[F.expr(f"sum(e{k}) AS e{k}") for k in range(K)]]
+    weights = [f"exp(e{k} - greatest({', '.join(f'e{i}' for i in range(K))})) AS w{k}" for k in range(K)]
+    shares = [f"w{k} / ({' + '.join(f'w{i}' for i in range(K))}) AS q{k}" for k in range(K)]
+
     def confusion(post: DataFrame) -> DataFrame:
         held = votes.join(items.table(post, "_i"), ["instance_id", "_i"])
-        cells = [F.sum(F.when(F.col("label") == j, F.col(f"q{k}")).otherwise(0.0)).alias(f"n{k}_{j}") for k in range(K) for j in range(K)]
-        counts = [(F.col(f"n{k}_{j}") + (right if j == k else wrong)).alias(f"c{k}_{j}") for k in range(K) for j in range(K)]
-        return held.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"), *cells).select("annotator", "votes", *counts)
+        return held.groupBy("annotator").agg(F.expr("count(1) AS votes"), *cells).selectExpr("annotator", "votes", *counts)
 
     def expected(tables: DataFrame) -> DataFrame:
-        """(instance_id, e0.., n): a vote's expected log probabilities under every class."""
-        logs = [(digamma(F.col(f"c{k}_{j}")) - digamma(sum(F.col(f"c{k}_{i}") for i in range(K)))).alias(f"l{k}_{j}") for k in range(K) for j in range(K)]
-        logged = tables.select("annotator", *logs)
+        """(instance_id, n, e0..): the sums of the votes' expected log probabilities under every class."""
+        logged = tables.selectExpr("annotator", *logs)
         met = votes.join(F.broadcast(logged), "annotator") if few else votes.join(people.table(logged, "_a"), ["annotator", "_a"])
-        said = met.select("instance_id", *[F.coalesce(*[F.when(F.col("label") == j, F.col(f"l{k}_{j}")) for j in range(K)]).alias(f"e{k}") for k in range(K)])
-        return said.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"e{k}").alias(f"e{k}") for k in range(K)])
+        return met.selectExpr("instance_id", *said).groupBy("instance_id").agg(*sums_of)
 
     converged = False
     for _ in range(rounds):
         now = post
         held = now.agg(*[F.sum(f"q{k}") for k in range(K)]).first()
-        prior = [digamma(F.lit((x or 0.0) + classes)) for x in held]
+        prior = spark.createDataFrame([tuple((x or 0.0) + classes for x in held)], ", ".join(f"a{k} double" for k in range(K)))
+        prior = F.broadcast(prior.selectExpr(*[f"{digamma(f'a{k}')} AS d{k}" for k in range(K)]))  # one row; a table, so that the code stays the same
         for _ in range(SWEEPS):
-            sums = expected(confusion(now)).select("instance_id", "n", *[(F.col(f"e{k}") + prior[k]).alias(f"e{k}") for k in range(K)])
-            top = F.greatest(*[F.col(f"e{k}") for k in range(K)])
-            weigh = sums.select("instance_id", "n", *[F.exp(F.col(f"e{k}") - top).alias(f"w{k}") for k in range(K)])
-            now = weigh.select("instance_id", "n", *[(F.col(f"w{k}") / sum(F.col(f"w{i}") for i in range(K))).alias(f"q{k}") for k in range(K)])
+            sums = expected(confusion(now)).crossJoin(prior).selectExpr("instance_id", "n", *[f"e{k} + d{k} AS e{k}" for k in range(K)])
+            now = sums.selectExpr("instance_id", "n", *weights).selectExpr("instance_id", "n", *shares)
         new = cut(now)
-        old = post.select("instance_id", *[F.col(f"q{k}").alias(f"o{k}") for k in range(K)])
-        moved = new.join(old, "instance_id").agg(F.max(F.greatest(*[F.abs(F.col(f"q{k}") - F.col(f"o{k}")) for k in range(K)]))).first()[0]
+        old = post.selectExpr("instance_id", *[f"q{k} AS o{k}" for k in range(K)])
+        moved = new.join(old, "instance_id").agg(F.expr(f"max(greatest({', '.join(f'abs(q{k} - o{k})' for k in range(K))}))")).first()[0]
         discard(post)
         post = new
         if converged := moved is None or moved < tolerance:
