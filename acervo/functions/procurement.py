@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings of a missing date.
@@ -38,9 +38,17 @@ def word_count(c: Column) -> Column:
 
 
 def bag(c: Column) -> Column:
-    """`term|count term|count` of whitespace tokens, terms in order."""
-    words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
-    return F.array_join(F.transform(F.array_sort(F.array_distinct(words)), lambda w: F.concat(w, F.lit("|"), F.size(F.filter(words, lambda x: x == w)).cast("string"))), " ")
+    """`term|count term|count` of whitespace tokens, terms in order: sorted, and the runs of equal ones measured
+    by where the next begins."""
+    words = F.array_sort(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != ""))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+        return F.aggregate(F.array(first), F.array().cast("array<string>"), lambda _, s: F.transform(s, lambda i, k: F.concat(F.element_at(w, i), F.lit("|"), (F.when(k + 2 <= F.size(s), F.get(s, k + 1)).otherwise(n + 1) - i).cast("string"))))
+
+    held = F.aggregate(F.array(words), F.array().cast("array<string>"), lambda _, w: F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<string>")))
+    return F.array_join(held, " ")
 
 
 def searchable(*fields: Column) -> Column:
@@ -76,3 +84,37 @@ def garbage(c: Column) -> Column:
 def normalise_layout(c: Column) -> Column:
     """CR removed, bullets removed, blanks within lines squeezed."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\r", ""), "[•·▪]", ""), r"[ \t]+", " ")
+
+
+def unwrapped(c: Column) -> Column:
+    """The trimmed, non-empty items of a list written as text, however deep its brackets; null stays null."""
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]'\"]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def finite(c: Column) -> Column:
+    """A number as JSON can hold it: null if it isn't one."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def iso(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def to_record(df: DataFrame, *fields: str) -> Column:
+    """A record of these fields as JSON, without those that are null, empty lists or empty maps."""
+    kinds = dict(df.dtypes)
+    some = lambda f: F.when(F.size(f) > 0, F.col(f)) if kinds[f].startswith(("array", "map")) else F.col(f)
+    return F.to_json(F.struct(*[some(f).alias(f) for f in fields]))
+
+
+_LOT = "ItemClassificationCode string, TaxExclusiveAmount string, numLotes string, name string"
+
+
+def lots(c: Column) -> Column:
+    """The lots of a text: one object or an object with a list `lotes`, as JSON or as a Python literal. Lots
+    without any field are left out; other texts give none."""
+    text = F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.replace(F.replace(c, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null")))
+    good = F.when(F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{"), text)
+    flat, many = F.from_json(good, _LOT), F.from_json(good, f"lotes array<struct<{', '.join(f.replace(' ', ': ') for f in _LOT.split(', '))}>>")["lotes"]
+    found = F.coalesce(many, F.when(flat.isNotNull(), F.array(flat)), F.array().cast(f"array<struct<{', '.join(f.replace(' ', ': ') for f in _LOT.split(', '))}>>"))
+    return F.filter(found, lambda x: x["ItemClassificationCode"].isNotNull() | x["TaxExclusiveAmount"].isNotNull() | x["numLotes"].isNotNull())

@@ -38,9 +38,19 @@ def ngrams(a: Column, n: int) -> Column:
 
 
 def rouge_n(a: Column, b: Column, n: int) -> Column:
-    """F1 of clipped n-gram counts of two token arrays (no stemming)."""
+    """F1 of clipped n-gram counts of two token arrays (no stemming): both sides' n-grams are sorted together
+    and the runs of equal ones counted in one pass."""
     x, y = ngrams(a, n), ngrams(b, n)
-    hits = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(x, lambda w: w == g)), F.size(F.filter(y, lambda w: w == g))))
+    both = F.array_sort(F.concat(F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(0).alias("s"))), F.transform(y, lambda g: F.struct(g.alias("g"), F.lit(1).alias("s")))))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("hits"))
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["g"] == e["g"]
+        left, right = F.when(same, s["l"]).otherwise(0) + (1 - e["s"]), F.when(same, s["r"]).otherwise(0) + e["s"]
+        hits = s["hits"] + F.when(same, 0).otherwise(F.least(s["l"], s["r"]))
+        return F.struct(e["g"].alias("g"), left.alias("l"), right.alias("r"), hits.alias("hits"))
+
+    hits = F.aggregate(both, start, step, lambda s: s["hits"] + F.least(s["l"], s["r"]))
     total = F.size(x) + F.size(y)
     return F.when(total > 0, 2.0 * hits / total).otherwise(0.0)
 
@@ -216,3 +226,87 @@ def league(df: DataFrame, a: str, b: str, label: str, group: list[str], count: s
     part = lambda win: (F.when(F.col(label) == win, 3).when(F.col(label) == 2, 1).otherwise(0) * n).alias("points")
     sides = F.array(F.struct(F.col(a).alias("model"), part(0)), F.struct(F.col(b).alias("model"), part(1)))
     return df.select(*group, F.inline(sides)).where("model IS NOT NULL").groupBy(*group, "model").agg(F.sum("points").alias("points"))
+
+
+_ROUGE = "p1 double, r1 double, f1 double, p2 double, r2 double, f2 double, pl double, rl double, fl double"
+
+
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by bit rows: one pass of big whole numbers per token."""
+    at: dict = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+    for w in b:
+        met = row & at.get(w, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
+
+def rouge(df: DataFrame, a: str, b: str, stem: bool = True) -> DataFrame:
+    """df with precision, recall and F1 of ROUGE-1, -2 and -L of text b against text a. Tokens are runs of
+    a-z and 0-9 in lower case, stemmed from four letters on if wanted. Null texts count as empty."""
+    import re
+    from collections import Counter
+
+    from acervo.functions.stemming import stem as stemmed
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + _ROUGE
+    token = re.compile("[a-z0-9]+")
+
+    def words(text: str | None) -> list[str]:
+        found = token.findall((text or "").lower())
+        return [stemmed(w) if len(w) > 3 else w for w in found] if stem else found
+
+    def scores(hits: int, said: int, wanted: int) -> tuple[float, float, float]:
+        p, r = hits / max(1, said), hits / max(1, wanted)
+        return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = (batch.schema.get_field_index(c) for c in (a, b))
+            rows = []
+            for x, y in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist()):
+                u, v, row = words(x), words(y), []
+                for n in (1, 2):
+                    want, said = (Counter(zip(*[t[k:] for k in range(n)])) for t in (u, v))
+                    row += scores((want & said).total(), said.total(), want.total())
+                rows.append(row + list(scores(common_length(u, v), len(v), len(u))))
+            cells = [pa.array([r[k] for r in rows], pa.float64()) for k in range(9)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=[*batch.schema.names, *[f.split()[0] for f in _ROUGE.split(", ")]])
+
+    return df.mapInArrow(run, fields)
+
+
+def greedy_match(df: DataFrame, a: str, b: str, encoder, out: str = "bert") -> DataFrame:
+    """df with precision, recall and F1 of text b against text a by token vectors: every token of one side takes
+    its best cosine on the other. The encoder gives unit vectors for a list of tokens; a model's can be
+    injected. Texts without tokens score 0."""
+    import re
+
+    token = re.compile(r"[^\W]+")
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {out}_p double, {out}_r double, {out}_f1 double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = (batch.schema.get_field_index(c) for c in (a, b))
+            rows = []
+            for x, y in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist()):
+                u, v = (token.findall((t or "").lower()) for t in (x, y))
+                if not u or not v:
+                    rows.append((0.0, 0.0, 0.0))
+                    continue
+                cos = np.asarray(encoder(v)) @ np.asarray(encoder(u)).T
+                p, r = float(cos.max(axis=1).mean()), float(cos.max(axis=0).mean())
+                rows.append((p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]], names=[*batch.schema.names, f"{out}_p", f"{out}_r", f"{out}_f1"])
+
+    return df.mapInArrow(run, fields)
+
+
+def promoters(df: DataFrame, group: list[str], rating: str) -> DataFrame:
+    """(group, n, mean, score): number and mean of the ratings, and the percentage of 9 and 10 less that of 0
+    to 6. Nulls are left out."""
+    rows = df.where(F.col(rating).isNotNull())
+    share = 100.0 * (F.count_if(F.col(rating) >= 9) - F.count_if(F.col(rating) <= 6)) / F.count(F.lit(1))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(rating).alias("mean"), share.alias("score"))

@@ -73,12 +73,11 @@ def bm25(docs: DataFrame, query: list[str], key: str = "id", text: str = "text",
     """(key, score) of documents with a query term. Counts per document stay in its row (a query has few
     terms), so the corpus isn't exploded; document frequencies are one aggregate."""
     terms = sorted({t.lower() for t in query})
-    words = tokens(F.col(text))
 
     def times(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == F.lit(term)))
+        return F.size(F.filter("_w", lambda w: w == F.lit(term)))
 
-    rows = docs.select(key, F.size(words).alias("_n"), *[times(t).alias(f"_t{i}") for i, t in enumerate(terms)])
+    rows = docs.select(key, tokens(F.col(text)).alias("_w")).select(key, F.size("_w").alias("_n"), *[times(t).alias(f"_t{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("_n").alias("avg"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
     met = rows.where(" OR ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = sum(F.log(1 + (F.col("N") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)) * F.col(f"_t{i}") * (k1 + 1) / (F.col(f"_t{i}") + k1 * (1 - b + b * F.col("_n") / F.col("avg"))) for i in range(len(terms)))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a packed block, and queries of a block that are ranked at once.
+from acervo.runtime import materialise
+
+#: Rows of a product tile, and queries that are ranked at once.
 BLOCK, STRIP = 4096, 256
 
 
@@ -23,37 +26,59 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            x = np.array(part.column(1).to_pylist(), dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["ids", "data"])
+#: Bytes of query vectors that every task holds at most; more are searched in as many passes over the rows.
+HELD = 64 << 20
 
 
-def block_search(queries: DataFrame, rows: DataFrame, k: int, dim: int) -> DataFrame:
+def block_search(queries: DataFrame, rows: DataFrame, k: int, dim: int, held: int = HELD) -> DataFrame:
     """(query, id, score, rank 1..k): for every query the k rows of largest dot product, ties by id.
 
-    Both inputs have (id long, v array<double>). Query blocks meet row blocks, a block pair is one
-    matrix product and gives k candidates a query; only those are shuffled. Rows with a null id,
-    null elements or another length are left out.
+    Both inputs have (id long, v array<double>). A pass broadcasts at most `held` bytes of queries and streams
+    the rows past them once; a task keeps the k best of its rows for every query, so only those lists are
+    shuffled. Queries beyond that are split by hash into more passes. Rows with a null id, null elements or
+    another length are left out.
     """
+    spark = rows.sparkSession
     good = lambda df: df.where((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull()) & F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>"))
-    left = good(queries).mapInArrow(_pack, "ids array<long>, data binary").select(F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    right = good(rows).mapInArrow(_pack, "ids array<long>, data binary")
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, qd, r, rd in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y, ids = np.frombuffer(qd).reshape(-1, dim), np.frombuffer(rd).reshape(-1, dim), np.array(r)
-                for at in range(0, len(q), STRIP):
-                    scores = x[at : at + STRIP] @ y.T
-                    order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[at : at + STRIP], order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query", "id", "score"])
-
-    pairs = left.crossJoin(right).mapInArrow(top, "query long, id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    left = good(queries)
+    passes = max(1, -(-left.count() * dim * 8 // held))
+    if passes > 1:
+        left, rows = materialise(left, "queries"), materialise(good(rows), "rows")
+
+    def matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate([b.column(0).to_numpy() for b in batches] or [np.empty(0, np.int64)])
+        flat = [b.column(1).flatten().to_numpy(zero_copy_only=False) for b in batches]
+        return ids, np.concatenate(flat or [np.empty(0)]).reshape(-1, dim)
+
+    def search(n: int) -> DataFrame:
+        part = left.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == n) if passes > 1 else left
+        shared = spark.sparkContext.broadcast(matrix(part.toArrow().to_batches()))  # at most `held` bytes, give or take the hash
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, x = shared.value
+            if not len(asked):
+                return
+            best = np.full((len(asked), k), -np.inf)
+            who = np.full((len(asked), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                ids, y = matrix([batch])
+                for at in range(0, len(y), BLOCK):
+                    names, z = ids[at : at + BLOCK], y[at : at + BLOCK]
+                    for q in range(0, len(asked), STRIP):
+                        part = slice(q, q + STRIP)
+                        scores = np.concatenate([best[part], np.round(x[part] @ z.T, 12)], axis=1)
+                        ahead = np.concatenate([who[part], np.broadcast_to(names, (len(scores), len(names)))], axis=1)
+                        order = np.lexsort((ahead, -scores), axis=1)[:, :k]
+                        best[part], who[part] = np.take_along_axis(scores, order, 1), np.take_along_axis(ahead, order, 1)
+            for q in range(0, len(asked), STRIP):
+                row, col = np.nonzero(np.isfinite(best[q : q + STRIP]))
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q + row], pa.int64()), pa.array(who[q + row, col], pa.int64()), pa.array(best[q + row, col])], names=["query", "id", "score"])
+
+        return (good(rows) if passes == 1 else rows).mapInArrow(run, "query long, id long, score double")
+
+    found = reduce(DataFrame.unionByName, [search(n) for n in range(passes)])
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def unit(v: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from acervo.operators.skew import Salted
+from acervo.runtime import materialise
+
 #: Weights of a document sum to MAX_SUM; similarity scores are scaled by 100 / SCALE.
 MAX_SUM, SCALE, THRESHOLD = 1000, 1002, 3e-3
 
@@ -83,11 +86,30 @@ def relative_weights(top: DataFrame) -> DataFrame:
     return top.select("topic", "rank", "term", F.round(100 * F.col("w") / first, 3).alias("relative"))
 
 
-def s3(tokens: DataFrame, b: DataFrame) -> DataFrame:
+#: Terms whose betas are broadcast at most (8 k bytes each, so some 100 MB for 64 topics).
+SMALL = 200_000
+
+
+def s3(tokens: DataFrame, b: DataFrame, k: int, small: int = SMALL) -> DataFrame:
     """(doc_id, topic, score): sum of betas over a document's tokens, repeated ones counting each time,
-    unknown ones not. Tokens are counted per document first."""
+    unknown ones not; topics a document has no term of are left out.
+
+    Tokens are counted per document first and meet one row per term, an array over the k topics. Those
+    rows are broadcast up to `small` terms, counted first; beyond that terms that are in a large part of the
+    documents are spread by a salt.
+    """
     counts = tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(b, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("n") * F.col("w")).alias("score"))
+    cells = F.map_from_entries(F.collect_list(F.struct("topic", "w")))  # at most k
+    rows = b.groupBy("term").agg(cells.alias("m")).select("term", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.try_element_at("m", t)).alias("v"))
+    rows = materialise(rows, "betas")
+    if rows.count() <= small:
+        met = counts.join(F.broadcast(rows), "term")
+    else:
+        counts = materialise(counts, "counts")
+        hot = Salted(counts, "term", "doc_id", 100_000)
+        met = counts.withColumn("_s", hot.salt()).join(hot.table(rows, "_s"), ["term", "_s"])
+    sums = met.groupBy("doc_id").agg(F.array(*[F.sum(F.col("n") * F.col("v")[t]) for t in range(k)]).alias("s"))
+    return sums.select("doc_id", F.posexplode("s").alias("topic", "score")).where("score IS NOT NULL")
 
 
 def top_docs(scores: DataFrame, n: int = 3, by: str = "score") -> DataFrame:
@@ -147,3 +169,67 @@ def jensen_shannon(b: DataFrame, above: float = 1e-6) -> DataFrame:
     pairs = topics.select(F.col("topic").alias("i")).join(topics.select(F.col("topic").alias("j")), F.col("i") < F.col("j"))  # topics only
     far = F.coalesce("d", F.lit(0.0)) + F.log(F.lit(2.0)) / 2 * (2 - F.coalesce("sp", F.lit(0.0)) - F.coalesce("sq", F.lit(0.0)))
     return pairs.join(both, ["i", "j"], "left").select("i", "j", (1 - F.sqrt(F.greatest(far, F.lit(0.0)))).alias("similarity"))
+
+
+def reindex(df: DataFrame, order: DataFrame) -> DataFrame:
+    """A table with a topic column under the topics' new numbers. order(topic, new_topic) has a row per topic."""
+    return df.join(F.broadcast(order), "topic").withColumn("topic", F.col("new_topic")).drop("new_topic")
+
+
+def largest(pairs: DataFrame, n: int) -> DataFrame:
+    """(i, j, similarity), i < j: of the n largest cells of the whole symmetric matrix (ones on the diagonal), ties
+    by i and j, those above the diagonal. pairs(i, j, similarity), i < j."""
+    topics = pairs.select("i").union(pairs.select("j")).distinct()
+    whole = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "similarity")).unionByName(topics.select("i", F.col("i").alias("j"), F.lit(1.0).alias("similarity")))
+    return whole.orderBy(F.desc("similarity"), "i", "j").limit(n).where("i < j")
+
+
+def model_rows(a: DataFrame, b: DataFrame, vocabulary: int, digits: int = 6) -> DataFrame:
+    """A row per topic as it is exported: id, size, documents, entropy, label (the three best terms), description,
+    relative and plain weights of the best terms, and the number of its terms."""
+    top = top_terms(b)
+    relative = F.round(100 * F.col("w") / F.max("w").over(Window.partitionBy("topic")), 3)
+    entries = F.array_sort(F.collect_list(F.struct("rank", "term", "relative", "w")))
+    join = lambda f, sep: F.array_join(F.transform("_e", f), sep)
+    words = top.withColumn("relative", relative).groupBy("topic").agg(entries.alias("_e")).select(
+        "topic", F.array_join(F.transform(F.slice("_e", 1, 3), lambda e: e["term"]), ", ").alias("tpc_labels"), join(lambda e: e["term"], ", ").alias("tpc_descriptions"),
+        join(lambda e: F.concat(e["term"], F.lit("|"), F.format_string("%.3f", e["relative"])), " ").alias("top_words_betas"), join(lambda e: F.concat(e["term"], F.lit("|"), F.format_string("%.6f", e["w"])), " ").alias("betas"),
+    )
+    sizes = b.groupBy("topic").agg(F.count(F.lit(1)).alias("vocab"))
+    rows = a.join(entropy(b, vocabulary), "topic", "left").join(words, "topic", "left").join(sizes, "topic", "left")
+    return rows.select(F.concat(F.lit("t"), F.col("topic").cast("string")).alias("id"), F.round("alpha", digits).alias("alphas"), "ndocs_active", F.round("entropy", digits).alias("topic_entropy"), "tpc_labels", "tpc_descriptions", "top_words_betas", "betas", "vocab")
+
+
+def set_labels(topics: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """topics with the labels of a table of as many rows, trimmed; another number of labels is an error."""
+    if (n := labels.count()) != (m := topics.count()):
+        raise ValueError(f"{n} labels for {m} topics")
+    return topics.drop(label).join(labels.select(key, F.trim(label).alias(label)), key, "left")
+
+
+def save(path: str, **parts: DataFrame) -> str:
+    """The tables of a model below a folder. The first time a part is saved it is also kept as the original."""
+    for name, df in parts.items():
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/original/{name}")
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        new = f"{path}/next/{name}"
+        df.write.mode("overwrite").parquet(new)
+        if not fs.exists(at):
+            spark.read.parquet(new).write.parquet(f"{path}/original/{name}")
+        now = jvm.org.apache.hadoop.fs.Path(f"{path}/now/{name}")
+        fs.mkdirs(now.getParent())
+        fs.delete(now, True)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(new), now)
+    return path
+
+
+def load(spark: SparkSession, path: str, part: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/now/{part}")
+
+
+def reset(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The original of a part, put back as what it is now."""
+    save(path, **{part: spark.read.parquet(f"{path}/original/{part}")})
+    return load(spark, path, part)

@@ -213,7 +213,7 @@ def raw_query(df: DataFrame, q: str = "*:*", fq: str | None = None, sort: str |
             if way not in ("asc", "desc") or name not in types:
                 raise ValueError(f"wrong sort: {part!r}")
             order.append(F.col(name).asc_nulls_last() if way == "asc" else F.col(name).desc_nulls_last())
-        out = page(out, order, start, rows)
+        out = page(out, [*order, *([F.col("id").asc()] if "id" in types else [])], start, rows)  # id breaks ties, so pages don't overlap
     elif start or rows is not None:
         out = page(out, [F.col("id")] if "id" in types else [], start, rows)
     return out.select(*[c.strip() for c in fl.split(",") if c.strip() in types]) if fl else out

@@ -11,7 +11,7 @@ from acervo.plans.catalog import Catalog, raw_query
 from acervo.plans.registry import query
 from acervo.runtime import shared_dir, table
 from acervo.sources import readers, sinks
-from acervo.streaming.upserts import ingest, windowed_counts
+from acervo.streaming.upserts import Buckets, ingest, run_windows
 
 
 def _folder(spark, name):
@@ -49,11 +49,12 @@ def s11(spark, d):
     return readers.line_corpus(spark, out)
 
 
-@query("k1_upsert", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey >= 5 UNION ALL SELECT c_custkey, upper(c_name), NULL FROM customer WHERE c_nationkey < 5")
+@query("k1_upsert", "SELECT c_custkey, c_name, c_acctbal, NULL::INTEGER AS version FROM customer WHERE c_nationkey >= 5 UNION ALL SELECT c_custkey, upper(c_name), NULL, 2 FROM customer WHERE c_nationkey < 5")
 def k1(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
-    changes = base.where("c_nationkey < 5").select("c_custkey", F.upper("c_name").alias("c_name"))
-    return sinks.upsert(base.drop("c_nationkey"), changes, "c_custkey")
+    few = base.where("c_nationkey < 5")
+    changes = few.select("c_custkey", F.lower("c_name").alias("c_name"), F.lit(1).alias("version")).unionByName(few.select("c_custkey", F.upper("c_name").alias("c_name"), F.lit(2).alias("version")))
+    return sinks.upsert(base.drop("c_nationkey"), changes, "c_custkey", "version")
 
 
 @query("k2_delete", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -93,6 +94,17 @@ def k9(spark, d):
     return sinks.run_batch(work, ledger, "c_custkey", step)
 
 
+@query("k10_ledger", "SELECT count(*) AS done, true AS skipped FROM customer")
+def k10(spark, d):
+    """A job whose ledger has a row for each row of the work is skipped."""
+    ledger = _folder(spark, "ledger")
+    work = table(spark, d, "customer").select("c_custkey")
+    if not sinks.same_rows(spark, ledger, work):
+        sinks.run_batch(work, ledger, "c_custkey", lambda df: df)
+    skipped = sinks.same_rows(spark, ledger, work)
+    return spark.read.parquet(ledger).agg(F.count(F.lit(1)).alias("done")).withColumn("skipped", F.lit(skipped))
+
+
 @query("q3_ndocs_of_collection", "SELECT count(DISTINCT place_id) AS ndocs FROM corpus")
 def q3(spark, d):
     catalog = Catalog(spark, _folder(spark, "catalog"))
@@ -121,7 +133,13 @@ def d9(spark, d):
     return raw_query(rows, '(status:F OR priority:"1 URGENT") AND NOT cust:7', fq="o_totalprice:[100000 TO 200000}", fl="id,o_totalprice")
 
 
-@query("r10_greedy_selection")
+@query("r10_greedy_selection", """WITH RECURSIVE c AS (SELECT l_orderkey AS doc_id, l_linenumber AS idx, l_extendedprice / 1e5 AS score, l_quantity::INT AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice / 1e5 DESC, l_linenumber) AS r FROM lineitem),
+s AS (SELECT doc_id, 0::BIGINT AS r, []::INTEGER[] AS taken, 0 AS used, NULL::DOUBLE AS last FROM (SELECT DISTINCT doc_id FROM c)
+  UNION ALL SELECT doc_id, r, CASE WHEN ok THEN list_append(taken, idx) ELSE taken END, CASE WHEN ok THEN used + size ELSE used END, CASE WHEN ok THEN score ELSE last END FROM (
+    SELECT s.doc_id, c.r, s.taken, s.used, s.last, c.idx::INTEGER AS idx, c.size, c.score,
+      len(list_filter(s.taken, lambda t: abs(t - c.idx) < 2)) = 0 AND (s.last IS NULL OR len(s.taken) < 1 OR c.score >= 0.6 * s.last) AND s.used + c.size <= 90 AND len(s.taken) < 4 AS ok
+    FROM s JOIN c ON c.doc_id = s.doc_id AND c.r = s.r + 1))
+SELECT doc_id, unnest(range(0, len(taken)))::INTEGER AS "order", unnest(taken) AS idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) AS z FROM s) WHERE z = 1""")
 def r10(spark, d):
     """Lines of an order as chunks: a diverse selection under a budget."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx"), (F.col("l_extendedprice") / 1e5).alias("score"), F.col("l_quantity").cast("int").alias("size"))
@@ -130,17 +148,23 @@ def r10(spark, d):
 
 @query("stream_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_counts(spark, d):
-    """A finite stream run to its end; complete mode, so no row is late."""
-    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"counts_{uuid.uuid4().hex}"
-    run = windowed_counts(rows, "ts", "event_type", "value").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """A finite stream run to its end in append mode, into a folder: a window is written when the watermark has
+    passed it, the last ones because a closing row of no type, two days later, comes after the rest."""
+    source, out = _folder(spark, "stream-in"), _folder(spark, "stream-out")
+    events = table(spark, d, "events").select("ts", "event_type", "value")
+    events.write.parquet(source)
+    stamps = _folder(spark, "stream")
+    run_windows(spark, source, out, stamps, "60 days")  # rows come in any order, so none is late
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 62 DAYS")).alias("ts")).select("ts", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    end.write.mode("append").parquet(source)
+    run_windows(spark, source, out, stamps, "60 days")
+    rows = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out)
+    return rows.where("event_type IS NOT NULL").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL) WHERE rn = 1")
 def stream_upsert(spark, d):
     rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "ts", "event_id", "event_type")
-    catalog = Catalog(spark, _folder(spark, "catalog"))
-    ingest(rows, catalog, "last_events", "user_id", "ts", _folder(spark, "stream")).awaitTermination()
-    return catalog.read("last_events").select("user_id", "event_id", "event_type")
+    out = Buckets(spark, _folder(spark, "buckets"), "user_id", "ts")
+    ingest(rows.where("user_id IS NOT NULL"), out, _folder(spark, "stream")).awaitTermination()
+    return out.read().select("user_id", "event_id", "event_type")

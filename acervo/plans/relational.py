@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from acervo.functions.procurement import comma_list, cpv_depth, cpv_list, cpv_prefixes, null_like, searchable, word_count
+from acervo.functions.procurement import comma_list, cpv_depth, cpv_list, cpv_prefixes, finite, iso, null_like, searchable, to_record, unwrapped, word_count
+from acervo.operators.evaluation import quantile
 from acervo.operators.latest import latest
 from acervo.operators.retrieval import keyword, year_range
+from acervo.plans.catalog import raw_query
 from acervo.plans.registry import query
 from acervo.runtime import table
 
@@ -22,15 +24,20 @@ def newest(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     return latest(table(spark, d, "corpus"), ["place_id"], ["indexed_at"], fixed + [c for c in keep if c not in fixed])
 
 
+def years_to_now(spark, first):
+    """(year) from the first to the present one."""
+    return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("long"), F.year(F.current_date()).cast("long"))).alias("year"))
+
+
 @query("a1_count_corpus", "SELECT count(*) AS ndocs FROM corpus")
 def a1(spark, d):
     return table(spark, d, "corpus").agg(F.count(F.lit(1)).alias("ndocs"))
 
 
-@query("a2_year_facet", "SELECT y AS year, count(o_orderkey) AS n FROM range(1992, 2000) t(y) LEFT JOIN orders ON year(o_orderdate) = y GROUP BY y")
+@query("a2_year_facet", "SELECT y AS year, count(o_orderkey) AS n FROM range(1992, year(current_date) + 1) t(y) LEFT JOIN orders ON year(o_orderdate) = y AND o_orderdate < current_timestamp::TIMESTAMP GROUP BY y")
 def a2(spark, d):
-    years = spark.range(1992, 2000).select(F.col("id").alias("year"))
-    counts = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    years = years_to_now(spark, 1992)
+    counts = table(spark, d, "orders").where(F.col("o_orderdate") < F.current_timestamp().cast("timestamp_ntz")).groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     return years.join(counts, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -59,7 +66,7 @@ def a6(spark, d):
 
 @query("a7_quantile", "SELECT round(quantile_cont(o_totalprice, 0.05), 4) AS p5 FROM orders")
 def a7(spark, d):
-    return table(spark, d, "orders").agg(F.round(F.percentile("o_totalprice", 0.05), 4).alias("p5"))
+    return quantile(table(spark, d, "orders"), [], "o_totalprice", 0.05).select(F.round("quantile", 4).alias("p5"))
 
 
 @query("a10_describe", "SELECT count(seconds_spent) AS n, round(avg(seconds_spent), 4) AS mean, round(stddev_samp(seconds_spent), 4) AS sd, round(min(seconds_spent), 4) AS low, round(max(seconds_spent), 4) AS high FROM annotations WHERE isfinite(seconds_spent)")
@@ -71,7 +78,8 @@ def a10(spark, d):
 
 @query("a11_median_by_group", "SELECT c_mktsegment AS segment, round(median(c_acctbal), 4) AS median_balance FROM customer GROUP BY c_mktsegment")
 def a11(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(F.median("c_acctbal"), 4).alias("median_balance"))
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    return quantile(rows, ["segment"], "c_acctbal", 0.5).select("segment", F.round("quantile", 4).alias("median_balance"))
 
 
 @query("a13_distinct_and_duplicates", "SELECT count(DISTINCT place_id) AS tenders, count(*) - count(DISTINCT place_id) AS repeats FROM corpus")
@@ -87,14 +95,14 @@ def a14(spark, d):
 @query("a15_vocabulary", """
 WITH t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term FROM documents),
 f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
-SELECT term, df FROM f WHERE df >= 5 AND df <= 0.4 * (SELECT count(DISTINCT doc_id) FROM documents)""")
+SELECT term, df FROM f WHERE df >= 5 AND df <= 0.4 * (SELECT count(DISTINCT doc_id) FROM documents) ORDER BY df DESC, term LIMIT 500""")
 def a15(spark, d):
     from acervo.operators.retrieval import tokens
 
     docs = table(spark, d, "documents")
     total = docs.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("total"))
     df = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    return df.where("df >= 5").join(F.broadcast(total), F.col("df") <= 0.4 * F.col("total")).select("term", "df")  # one row
+    return df.where("df >= 5").join(F.broadcast(total), F.col("df") <= 0.4 * F.col("total")).select("term", "df").orderBy(F.desc("df"), "term").limit(500)  # one row; the 500 most frequent are kept
 
 
 @query("a16_granularity", "SELECT p_brand AS grp, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY p_brand")
@@ -166,6 +174,29 @@ def usable(spark, d):
     return rows.where(t.isNotNull() & ~t.startswith("[ERROR:") & ~t.rlike(r"^[\x00-\x1F\x7F\s]+$") & (F.trim("title") != "")).select("place_id")
 
 
+@query("filter_no_slash", "SELECT place_id, indexed_at FROM corpus WHERE origin IS NOT NULL AND NOT contains(generated_objective, '/')")
+def no_slash(spark, d):
+    """Objectives without any slash; null ones drop out."""
+    return table(spark, d, "corpus").where(F.col("origin").isNotNull() & ~F.col("generated_objective").contains("/")).select("place_id", "indexed_at")
+
+
+@query("filter_exists", "SELECT DISTINCT place_id FROM corpus WHERE lemmas IS NOT NULL AND bow IS NOT NULL")
+def exists(spark, d):
+    """`field:[* TO *]` and `field:*` of the raw query."""
+    return raw_query(table(spark, d, "corpus"), "lemmas:[* TO *] AND bow:*", fl="place_id").distinct()
+
+
+@query("filter_match_all", "SELECT doc_id FROM documents")
+def match_all(spark, d):
+    return raw_query(table(spark, d, "documents").where(keyword(F.col("text"), "*")), "*:*", fl="doc_id")
+
+
+@query("filter_any_field", r"SELECT DISTINCT place_id FROM corpus WHERE list_has_any(string_split_regex(lower(coalesce(title, '')), '[^\p{L}\p{N}_]+'), ['limpieza', 'archivo']) OR list_has_any(string_split_regex(lower(coalesce(generated_objective, '')), '[^\p{L}\p{N}_]+'), ['limpieza', 'archivo'])")
+def any_field(spark, d):
+    """A keyword over several fields: any of its words in any of them."""
+    return table(spark, d, "corpus").where(keyword(F.col("title"), "limpieza archivo", (F.col("generated_objective"),))).select("place_id").distinct()
+
+
 @query("filter_depth", "SELECT place_id, indexed_at FROM corpus WHERE list_has_any(list_transform(string_split(replace(cpv, ' ', ''), ','), lambda x: length(rtrim(x, '0'))), [4, 6])")
 def depth(spark, d):
     codes = F.split(F.replace(F.col("cpv"), F.lit(" "), F.lit("")), ",")
@@ -185,9 +216,12 @@ def renamed(spark, d):
     return table(spark, d, "corpus").select("place_id", "title").withColumnsRenamed({"place_id": "id"}).withColumns({"title": F.lower("title"), "kind": F.lit("tender"), "tagged": F.concat(F.lit("I"), F.col("id"))})
 
 
-@query("project_cast_coerce", "SELECT id, TRY_CAST(metadata_value AS BIGINT) AS whole, TRY_CAST(strptime(NULL, '%Y') AS DATE) IS NULL AS nothing FROM metadatos WHERE regexp_matches(metadata_value, '^[0-9]{1,9}$')")
+@query("project_cast_coerce", r"SELECT id, CASE WHEN regexp_full_match(metadata_value, '[+-]?[0-9]+') THEN TRY_CAST(metadata_value AS BIGINT) END AS whole, CASE WHEN regexp_full_match(metadata_value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(metadata_value AS DATE) END AS day, CASE WHEN regexp_full_match(metadata_value, '[0-9]{2}/[0-9]{2}/[0-9]{4}') THEN try_strptime(metadata_value, '%d/%m/%Y')::DATE END AS local_day FROM metadatos")
 def coerced(spark, d):
-    return table(spark, d, "metadatos").where(F.col("metadata_value").rlike(r"^[0-9]{1,9}\z")).select("id", F.col("metadata_value").try_cast("long").alias("whole"), F.lit(True).alias("nothing"))
+    """Whole numbers and dates of every value; what isn't one becomes null."""
+    v = F.col("metadata_value")
+    local = F.to_date(F.try_to_timestamp(v, F.lit("dd/MM/yyyy")))
+    return table(spark, d, "metadatos").select("id", F.when(v.rlike(r"^[+-]?[0-9]+\z"), v.try_cast("long")).alias("whole"), F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), v.try_cast("date")).alias("day"), F.when(v.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z"), local).alias("local_day"))
 
 
 @query("project_drop_null_defaults", "SELECT doc_id, coalesce(lang, 'NA') AS lang, coalesce(source, 'NA') AS source FROM documents WHERE text IS NOT NULL")
@@ -195,6 +229,22 @@ def defaults(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").drop("missing_column").select("doc_id", F.coalesce("lang", F.lit("NA")).alias("lang"), F.coalesce("source", F.lit("NA")).alias("source"))
 
 
+@query("project_record_json", "SELECT doc_id, lang, source, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') END AS words FROM (SELECT doc_id, lang, source, list_filter(string_split(coalesce(lang, '') || ' ' || coalesce(source, ''), ' '), lambda x: x <> '') AS w FROM documents)")
+def record(spark, d):
+    """A record as JSON without its null and empty fields, read back: what was left out is null."""
+    words = F.filter(F.split(F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))), " "), lambda x: x != "")
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", words.alias("words"))
+    back = F.from_json(to_record(rows, "lang", "source", "words"), "lang string, source string, words array<string>")
+    return rows.select("doc_id", back.alias("r")).select("doc_id", "r.lang", "r.source", F.array_join("r.words", " ").alias("words"))
+
+
+@query("project_serialisable", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CASE WHEN isfinite(value) THEN round(value, 6) END AS value FROM events")
+def serialisable(spark, d):
+    """Values as JSON holds them: times as ISO text, what isn't a number as null."""
+    rows = table(spark, d, "events").select("event_id", F.to_json(F.struct(iso(F.col("ts")).alias("ts"), finite(F.round("value", 6)).alias("value"))).alias("j"))
+    return rows.select("event_id", F.from_json("j", "ts string, value double").alias("r")).select("event_id", "r.ts", "r.value")
+
+
 @query("project_json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL")
 def json_fields(spark, d):
     return table(spark, d, "events").where("props IS NOT NULL").select("event_id", F.get_json_object("props", "$.k").alias("k"))
@@ -223,6 +273,14 @@ def cpvs(spark, d):
     return table(spark, d, "corpus").where("cpv IS NOT NULL").select("place_id", "indexed_at", F.array_join(cpv_list(F.col("cpv")), ",").alias("codes"))
 
 
+@query("project_nested_codes", "SELECT place_id, indexed_at, array_to_string(list_filter(list_transform(string_split(cpv, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS codes FROM corpus WHERE cpv IS NOT NULL")
+def nested_codes(spark, d):
+    """Codes wrapped in a list of lists and in text come out flat."""
+    rows = table(spark, d, "corpus").where("cpv IS NOT NULL").select("place_id", "indexed_at", comma_list(F.col("cpv")).alias("l"))
+    wrapped = rows.withColumn("s", F.concat(F.lit("[['"), F.array_join("l", "'], ['"), F.lit("']]")))
+    return wrapped.select("place_id", "indexed_at", F.array_join(unwrapped(F.col("s")), "|").alias("codes"))
+
+
 @query("project_cpv_prefix", f"SELECT place_id, indexed_at, array_to_string(list_sort(list_distinct(list_transform({_CPV}, lambda x: x[1:2]))), ',') AS two FROM corpus WHERE cpv IS NOT NULL")
 def cpv_twos(spark, d):
     return table(spark, d, "corpus").where("cpv IS NOT NULL").select("place_id", "indexed_at", F.array_join(cpv_prefixes(F.col("cpv")), ",").alias("two"))
@@ -311,17 +369,32 @@ def top_k(spark, d):
     return table(spark, d, "orders").withColumn("rn", F.row_number().over(w).cast("long")).where("rn <= 2").select("o_custkey", "o_orderkey", "rn")
 
 
-@query("sample_split")
+@query("sample_split", "SELECT doc_id, ('0x' || substr(md5('42|' || doc_id), 1, 7))::BIGINT % 100 < 80 AS train FROM documents")
 def split(spark, d):
-    """Deterministic 80/20 split by hash; the complement is what the sample leaves."""
-    return table(spark, d, "documents").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(100)) < 80).alias("train"))
+    """Deterministic 80/20 split by digest; the complement is what the sample leaves."""
+    return table(spark, d, "documents").select("doc_id", (F.conv(F.substring(drawn(42, "doc_id"), 1, 7), 16, 10).cast("long") % 100 < 80).alias("train"))
+
+
+def drawn(seed, *columns):
+    """A text that orders rows at random, the same in every run."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
+@query("sample_pairs", "WITH p AS (SELECT a.model AS a, b.model AS b FROM (SELECT DISTINCT model FROM model_alias) a JOIN (SELECT DISTINCT model FROM model_alias) b ON a.model < b.model) SELECT a, b FROM (SELECT *, row_number() OVER (ORDER BY md5('7|' || a || '|' || b)) AS r, count(*) OVER () AS n FROM p) WHERE r <= greatest(1, n // 3)")
+def pair_sample(spark, d):
+    """A third of the pairs of systems, one at least, drawn by digest. The systems are a fixed list."""
+    m = table(spark, d, "model_alias").select("model").distinct()
+    p = m.select(F.col("model").alias("a")).join(m.select(F.col("model").alias("b")), F.col("a") < F.col("b"))
+    n = p.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 3)).alias("n"))
+    ranked = p.withColumn("r", F.row_number().over(Window.orderBy(drawn(7, "a", "b"))))
+    return ranked.join(F.broadcast(n), F.col("r") <= F.col("n")).select("a", "b")  # one row
 
 
-@query("sample_stratified")
+@query("sample_stratified", "WITH d AS (SELECT doc_id, lang FROM documents WHERE lang IN ('es', 'ca')), s AS (SELECT lang, least(count(*), 500) AS n FROM d GROUP BY 1), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS rn FROM d) SELECT doc_id, lang FROM r JOIN s USING (lang) WHERE rn <= n + 1000 - (SELECT sum(n) FROM s)")
 def stratified(spark, d):
     """500 a stratum, what one lacks taken from the other: ranks per stratum, then arithmetic on counts."""
     rows = table(spark, d, "documents").where("lang IN ('es', 'ca')").select("doc_id", "lang")
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id"))).where("rn <= 1000")
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(drawn(42, "doc_id"), "doc_id"))).where("rn <= 1000")
     sizes = rows.groupBy("lang").agg(F.least(F.count(F.lit(1)), F.lit(500)).alias("n"))
     short = sizes.agg((F.lit(1000) - F.sum("n")).alias("short"))
     return ranked.join(F.broadcast(sizes), "lang").crossJoin(F.broadcast(short)).where("rn <= n + short").select("doc_id", "lang")  # two rows and one

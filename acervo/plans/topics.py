@@ -1,28 +1,32 @@
-"""Topic, vector and retrieval queries. Thetas are the softmax of twice the first eight components of
-the vectors; betas come from words of documents spread over eight topics by id."""
+"""Topic, vector and retrieval queries. Thetas are the softmax of twice the components of the
+vectors; betas come from words of documents spread over as many topics by id."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acervo.operators import retrieval as R
 from acervo.operators import topics as T
+from acervo.operators.encoders import complete
 from acervo.operators.search import block_search, cosine, unit
+from acervo.functions.procurement import word_count
 from acervo.plans.registry import query
-from acervo.runtime import table
+from acervo.runtime import shared_dir, table
 
-K = 8
+K = 64
 #: Neighbours of a document that the export of similarities takes before the triangle.
 TOP_SIMILAR = 300
-_TH = """e AS (SELECT vec_id AS doc_id, unnest(range(0, 8)) AS topic, exp(2 * unnest(embedding[1:8])::DOUBLE) AS x FROM embeddings),
+_TH = """e AS (SELECT vec_id AS doc_id, unnest(range(0, 64)) AS topic, exp(2 * unnest(embedding[1:64])::DOUBLE) AS x FROM embeddings),
 th AS (SELECT doc_id, topic::INTEGER AS topic, x / sum(x) OVER (PARTITION BY doc_id) AS w FROM e),
 sp AS (SELECT doc_id, topic, w / sum(w) OVER (PARTITION BY doc_id) AS w FROM th WHERE w >= 0.003)"""
 _INT = f"""{_TH},
 sc AS (SELECT doc_id, topic, round(w * 1000, 9) AS x, floor(round(w * 1000, 9)) AS n FROM sp),
 rk AS (SELECT doc_id, topic, n, 1000 - sum(n) OVER (PARTITION BY doc_id) AS short, row_number() OVER (PARTITION BY doc_id ORDER BY round(x - n, 9) DESC, topic) AS r FROM sc),
 iw AS (SELECT doc_id, topic, (n + CASE WHEN r <= short THEN 1 ELSE 0 END)::BIGINT AS n FROM rk)"""
-_TOK = r"tok AS (SELECT doc_id, (doc_id % 8)::INTEGER AS topic, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS term FROM documents)"
+_TOK = r"tok AS (SELECT doc_id, (doc_id % 64)::INTEGER AS topic, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS term FROM documents)"
 _BETA = f"{_TOK}, cn AS (SELECT topic, term, count(*) AS n FROM tok GROUP BY ALL), b AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS w FROM cn)"
 
 
@@ -60,9 +64,12 @@ def decoded(spark, d):
     return encoded(spark, d).select("doc_id", F.size(m).cast("long").alias("topics"), F.aggregate(F.map_values(m), F.lit(0), lambda s, x: s + x).cast("long").alias("total"))
 
 
-@query("q1_thetas_by_doc", f"WITH {_INT} SELECT string_agg('t' || topic || '|' || n, ' ' ORDER BY topic) AS thetas FROM iw WHERE n > 0 AND doc_id = 7")
+@query("q1_thetas_by_doc", f"WITH {_INT}, en AS (SELECT doc_id, string_agg('t' || topic || '|' || n, ' ' ORDER BY topic) AS thetas FROM iw WHERE n > 0 GROUP BY 1) SELECT id, coalesce(thetas, '-1') AS thetas FROM (VALUES (7), (-5)) t(id) LEFT JOIN en ON doc_id = id")
 def q1(spark, d):
-    return encoded(spark, d).where("doc_id = 7").select("thetas")
+    """A document without weights has -1."""
+    asked = spark.createDataFrame([(7,), (-5,)], "id int")
+    met = asked.join(encoded(spark, d), F.col("doc_id") == F.col("id"), "left")
+    return met.select("id", F.coalesce("thetas", F.lit("-1")).alias("thetas"))
 
 
 @query("q5_similar_to_doc", f"WITH {_TH} SELECT a.doc_id, round(sum(sqrt(a.w * b.w)) * 100 / 1002, 6) AS score FROM sp a JOIN sp b ON a.topic = b.topic AND b.doc_id = 7 GROUP BY a.doc_id")
@@ -77,9 +84,12 @@ def q14(spark, d):
     return T.bhattacharyya(sparse(spark, d), q).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("q9_topic_top_docs", f"WITH {_INT} SELECT doc_id, n AS weight FROM iw WHERE topic = 2 AND n > 0 ORDER BY n DESC, doc_id LIMIT 100")
+@query("q9_topic_top_docs", f"WITH {_INT}, w AS (SELECT doc_id, max(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))) AS nwords FROM documents GROUP BY 1) SELECT doc_id, n AS weight, round(n * 0.1, 6) AS relevance, nwords FROM iw LEFT JOIN w USING (doc_id) WHERE topic = 2 AND n > 0 ORDER BY n DESC, nwords DESC NULLS LAST, doc_id LIMIT 100")
 def q9(spark, d):
-    return R.page(T.to_integers(sparse(spark, d)).where("topic = 2 AND n > 0").select("doc_id", F.col("n").alias("weight")), [F.desc("weight"), F.asc("doc_id")], 0, 100)
+    """By weight, then by number of words; relevance is a tenth of the weight. At most 100, as the page has."""
+    sizes = table(spark, d, "documents").groupBy("doc_id").agg(F.max(word_count(F.col("text"))).cast("long").alias("nwords"))
+    rows = T.to_integers(sparse(spark, d)).where("topic = 2 AND n > 0").join(sizes, "doc_id", "left").select("doc_id", F.col("n").alias("weight"), F.round(F.col("n") * 0.1, 6).alias("relevance"), "nwords")
+    return R.page(rows, [F.desc("weight"), F.desc_nulls_last("nwords"), F.asc("doc_id")], 0, 100)
 
 
 @query("t9_betas", f"WITH {_BETA} SELECT topic, term, round(w, 9) AS w FROM b")
@@ -102,7 +112,21 @@ def t10(spark, d):
     return T.reorder(alphas(spark, d)).withColumn("new_topic", F.col("new_topic").cast("long"))
 
 
-@query("t11_downscored_betas", f"WITH {_BETA}, m AS (SELECT term, (sum(ln(w + 1e-12)) + (8 - count(*)) * ln(1e-12)) / 8 AS mean FROM b GROUP BY term) SELECT topic, term, round(w * (ln(w + 1e-12) - mean), 7) AS score FROM b JOIN m USING (term)")
+_SORT = "so AS (SELECT topic, row_number() OVER (ORDER BY round(sum(w) / (SELECT count(*) FROM embeddings), 12) DESC, topic) - 1 AS new_topic FROM sp GROUP BY topic)"
+
+
+@query("t10_reindexed_thetas", f"WITH {_TH}, {_SORT} SELECT doc_id, new_topic AS topic, round(w, 9) AS w FROM sp JOIN so USING (topic)")
+def t10b(spark, d):
+    s = sparse(spark, d)
+    return T.reindex(s, T.reorder(alphas(spark, d))).select("doc_id", F.col("topic").cast("long").alias("topic"), F.round("w", 9).alias("w"))
+
+
+@query("t10_reindexed_betas", f"WITH {_TH}, {_SORT}, {_BETA} SELECT new_topic AS topic, term, round(b.w, 9) AS w FROM b JOIN so USING (topic)")
+def t10c(spark, d):
+    return T.reindex(betas(spark, d), T.reorder(alphas(spark, d))).select(F.col("topic").cast("long").alias("topic"), "term", F.round("w", 9).alias("w"))
+
+
+@query("t11_downscored_betas", f"WITH {_BETA}, m AS (SELECT term, (sum(ln(w + 1e-12)) + (64 - count(*)) * ln(1e-12)) / 64 AS mean FROM b GROUP BY term) SELECT topic, term, round(w * (ln(w + 1e-12) - mean), 7) AS score FROM b JOIN m USING (term)")
 def t11(spark, d):
     return T.downscore(betas(spark, d), K).select("topic", "term", F.round("score", 7).alias("score"))
 
@@ -132,10 +156,53 @@ def t14(spark, d):
     return T.relative_weights(T.top_terms(betas(spark, d))).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("q10_model_info", f"WITH {_TOP}, {_TH}, a AS (SELECT topic, sum(w) / (SELECT count(*) FROM embeddings) AS alpha, count_if(w <> 0) AS n FROM sp GROUP BY topic) SELECT 't' || a.topic AS id, round(alpha, 6) AS alphas, n AS ndocs_active, (SELECT string_agg(term, ', ' ORDER BY rank) FROM tp WHERE tp.topic = a.topic) AS tpc_descriptions FROM a")
+_INFO = f"""{_TOP}, {_TH}, a AS (SELECT topic, sum(w) / (SELECT count(*) FROM embeddings) AS alpha, count_if(w <> 0) AS n FROM sp GROUP BY topic),
+en AS (SELECT topic, -sum(w * ln(w)) / ln((SELECT count(DISTINCT term) FROM b)) AS entropy FROM b GROUP BY topic),
+ds AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS description, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 3) AS label, string_agg(term || '|' || printf('%.3f', relative), ' ' ORDER BY rank) AS top_words, string_agg(term || '|' || printf('%.6f', w), ' ' ORDER BY rank) AS word_betas FROM (SELECT *, round(100 * w / max(w) OVER (PARTITION BY topic), 3) AS relative FROM tp) GROUP BY topic),
+vo AS (SELECT topic, count(*) AS vocabulary FROM b GROUP BY topic)"""
+
+
+@query("q10_model_info", f"WITH {_INFO} SELECT 't' || topic AS id, round(alpha, 6) AS alphas, n AS ndocs_active, round(entropy, 6) AS topic_entropy, label AS tpc_labels, description AS tpc_descriptions, top_words AS top_words_betas, word_betas AS betas, vocabulary AS vocab FROM a LEFT JOIN en USING (topic) LEFT JOIN ds USING (topic) LEFT JOIN vo USING (topic)")
 def q10(spark, d):
-    info = alphas(spark, d).join(T.describe(T.top_terms(betas(spark, d))), "topic", "left")
-    return info.select(F.concat(F.lit("t"), F.col("topic").cast("string")).alias("id"), F.round("alpha", 6).alias("alphas"), "ndocs_active", F.col("description").alias("tpc_descriptions"))
+    """A row of nine attributes for every topic."""
+    b = betas(spark, d)
+    return T.model_rows(alphas(spark, d), b, b.agg(F.countDistinct("term")).first()[0])
+
+
+@query("t31_theta_updates", f"WITH {_INT} SELECT doc_id, '{{\"set\":\"' || string_agg('t' || topic || '|' || n, ' ' ORDER BY topic) || '\"}}' AS update FROM iw WHERE n > 0 GROUP BY doc_id")
+def t31(spark, d):
+    """The records that set the weights of documents in a corpus."""
+    return encoded(spark, d).select("doc_id", F.to_json(F.struct(F.col("thetas").alias("set"))).alias("update"))
+
+
+@query("t25_topics_table", f"WITH {_INFO} SELECT printf('%.4f', alpha) AS size, upper(label) AS label, description, n::VARCHAR AS ndocs_active, printf('%.4f', entropy) AS entropy FROM a LEFT JOIN en USING (topic) LEFT JOIN ds USING (topic)")
+def t25(spark, d):
+    """The table of topics as it is shown, with labels that were set."""
+    b, a = betas(spark, d), alphas(spark, d)
+    rows = T.model_rows(a, b, b.agg(F.countDistinct("term")).first()[0], 12)
+    labelled = T.set_labels(rows.withColumnRenamed("tpc_labels", "label"), rows.select("id", F.upper("tpc_labels").alias("label")), "id", "label")
+    return labelled.select(F.format_string("%.4f", "alphas").alias("size"), "label", F.col("tpc_descriptions").alias("description"), F.col("ndocs_active").cast("string").alias("ndocs_active"), F.format_string("%.4f", "topic_entropy").alias("entropy"))
+
+
+@query("t25_reset_model", f"WITH {_TH} SELECT doc_id, topic, round(w, 9) AS w FROM sp")
+def t25b(spark, d):
+    """A model changed and set back to what was saved."""
+    model = T.save(f"{shared_dir(spark)}/acervo-model-{uuid.uuid4().hex}", thetas=sparse(spark, d), alphas=alphas(spark, d))
+    T.save(model, thetas=T.drop_topics(T.load(spark, model, "thetas"), [1, 4]))
+    return T.reset(spark, model, "thetas").select("doc_id", "topic", F.round("w", 9).alias("w"))
+
+
+@query("t35_saved_model", f"WITH {_TH}, {_BETA} SELECT 'betas' AS part, count(*) AS n FROM b UNION ALL SELECT 'thetas', count(*) FROM sp UNION ALL SELECT 'alphas', count(DISTINCT topic) FROM sp")
+def t35(spark, d):
+    model = T.save(f"{shared_dir(spark)}/acervo-model-{uuid.uuid4().hex}", thetas=sparse(spark, d), betas=betas(spark, d), alphas=alphas(spark, d))
+    counts = [T.load(spark, model, p).agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n")) for p in ("betas", "thetas", "alphas")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("t28_labelled_topics", f"WITH {_TOP}, ds AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS d FROM tp GROUP BY topic) SELECT topic, d AS description, upper(string_split(d, ', ')[1]) AS label FROM ds")
+def t28(spark, d):
+    """Labels by a model, here a callable that gives the first word in capitals."""
+    return complete(T.describe(T.top_terms(betas(spark, d))), "description", lambda prompts: [p.split(", ")[0].upper() for p in prompts], out="label")
 
 
 @query("q22_infer_topic_info", f"WITH {_TOP}, {_INT} SELECT 't' || iw.topic AS id, n AS weight, (SELECT string_agg(term, ', ' ORDER BY rank) FROM tp WHERE tp.topic = iw.topic) AS description FROM iw WHERE doc_id = 11 AND n > 0")
@@ -146,12 +213,12 @@ def q22(spark, d):
 
 @query("t16_s3_scores", f"WITH {_BETA} SELECT t.doc_id, b.topic, round(sum(b.w) + 1e-10, 6) AS score FROM (SELECT doc_id, term FROM tok) t JOIN b USING (term) GROUP BY ALL")
 def t16(spark, d):
-    return T.s3(words(spark, d).select("doc_id", "term"), betas(spark, d)).select("doc_id", "topic", F.round(F.col("score") + 1e-10, 6).alias("score"))
+    return T.s3(words(spark, d).select("doc_id", "term"), betas(spark, d), K).select("doc_id", "topic", F.round(F.col("score") + 1e-10, 6).alias("score"))
 
 
 @query("t17_top_docs_per_topic", f"WITH {_BETA}, s AS (SELECT t.doc_id, b.topic, sum(b.w) AS score FROM (SELECT doc_id, term FROM tok) t JOIN b USING (term) GROUP BY ALL), r AS (SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT topic, rank, doc_id FROM r WHERE rank <= 3")
 def t17(spark, d):
-    return T.top_docs(T.s3(words(spark, d).select("doc_id", "term"), betas(spark, d))).select("topic", F.col("rank").cast("long").alias("rank"), "doc_id")
+    return T.top_docs(T.s3(words(spark, d).select("doc_id", "term"), betas(spark, d), K)).select("topic", F.col("rank").cast("long").alias("rank"), "doc_id")
 
 
 @query("t18_similar_documents", f"WITH {_TH}, s AS (SELECT q.doc_id AS query, r.doc_id AS id, sum(sqrt(q.w * r.w)) AS score FROM sp q JOIN sp r ON q.topic = r.topic WHERE q.doc_id % 100 = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s) SELECT query, id, round(score, 6) AS score, rank FROM k WHERE rank <= 50")
@@ -162,7 +229,7 @@ def t18(spark, d):
     return block_search(rows.where("id % 100 = 0"), rows, 50, K).select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("t19_similarity_export", f"WITH {_TH}, s AS (SELECT q.doc_id AS query, r.doc_id AS id, sum(sqrt(q.w * r.w)) AS score FROM sp q JOIN sp r ON q.topic = r.topic WHERE q.doc_id % 100 = 0 AND r.doc_id > q.doc_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s) SELECT query, string_agg(id::VARCHAR, ' ' ORDER BY rank) AS similar FROM k WHERE rank <= 20 GROUP BY query")
+@query("t19_similarity_export", f"WITH {_TH}, s AS (SELECT q.doc_id AS query, r.doc_id AS id, sum(sqrt(q.w * r.w)) AS score FROM sp q JOIN sp r ON q.topic = r.topic GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s), l AS (SELECT query, list(id || '|' || printf('%.6f', score) ORDER BY rank) FILTER (id > query AND score > 0) AS l FROM k WHERE rank <= {TOP_SIMILAR} GROUP BY query) SELECT query, array_to_string(coalesce(l, [])[2:], ' ') AS similar FROM l")
 def t19(spark, d):
     """The similarities as one line of 'id|score' per document: of its TOP_SIMILAR most similar documents,
     itself among them, those of larger id by falling score, without the first of these (as the
@@ -171,7 +238,7 @@ def t19(spark, d):
     root = s.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", F.sqrt("w")))).alias("m"))  # at most K entries
     rows = root.select(F.col("doc_id").alias("id"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0.0)) for t in range(K)]).alias("v"))
     near = block_search(rows, rows, TOP_SIMILAR, K)
-    later = F.array_sort(F.collect_list(F.when((F.col("id") > F.col("query")) & (F.col("score") > 0), F.struct("rank", "id", F.round("score", 12).cast("string").alias("s")))))  # at most TOP_SIMILAR
+    later = F.array_sort(F.collect_list(F.when((F.col("id") > F.col("query")) & (F.col("score") > 0), F.struct("rank", "id", F.format_string("%.6f", "score").alias("s")))))  # at most TOP_SIMILAR
     return near.groupBy("query").agg(later.alias("l")).select("query", F.array_join(F.transform(F.slice("l", 2, TOP_SIMILAR), lambda e: F.concat_ws("|", e["id"].cast("string"), e["s"])), " ").alias("similar"))
 
 
@@ -183,11 +250,21 @@ def t20(spark, d):
     return T.correlation(sparse(spark, d), table(spark, d, "embeddings").count()).select("i", "j", F.round("r", 6).alias("r"))
 
 
-@query("t21_topic_similarity", f"WITH {_BETA}, u AS (SELECT term FROM b GROUP BY term HAVING max(w) > 1e-6), kp AS (SELECT topic, term, w / sum(w) OVER (PARTITION BY topic) AS p FROM b SEMI JOIN u USING (term)), g AS (SELECT t.topic, x.term, coalesce(kp.p, 0) AS p FROM (SELECT DISTINCT topic FROM kp) t CROSS JOIN (SELECT DISTINCT term FROM kp) x LEFT JOIN kp ON kp.topic = t.topic AND kp.term = x.term) SELECT x.topic AS i, y.topic AS j, round(1 - sqrt(greatest(sum(CASE WHEN x.p > 0 THEN x.p * ln(2 * x.p / (x.p + y.p)) ELSE 0 END + CASE WHEN y.p > 0 THEN y.p * ln(2 * y.p / (x.p + y.p)) ELSE 0 END) / 2, 0)), 6) AS similarity FROM g x JOIN g y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL")
+_JS = f"WITH {_BETA}, u AS (SELECT term FROM b GROUP BY term HAVING max(w) > 1e-6), kp AS (SELECT topic, term, w / sum(w) OVER (PARTITION BY topic) AS p FROM b SEMI JOIN u USING (term)), g AS (SELECT t.topic, x.term, coalesce(kp.p, 0) AS p FROM (SELECT DISTINCT topic FROM kp) t CROSS JOIN (SELECT DISTINCT term FROM kp) x LEFT JOIN kp ON kp.topic = t.topic AND kp.term = x.term) SELECT x.topic AS i, y.topic AS j, round(1 - sqrt(greatest(sum(CASE WHEN x.p > 0 THEN x.p * ln(2 * x.p / (x.p + y.p)) ELSE 0 END + CASE WHEN y.p > 0 THEN y.p * ln(2 * y.p / (x.p + y.p)) ELSE 0 END) / 2, 0)), 6) AS similarity FROM g x JOIN g y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL"
+
+
+@query("t21_topic_similarity", _JS)
 def t21(spark, d):
     return T.jensen_shannon(betas(spark, d)).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+@query("t22_largest_pairs", f"WITH js AS ({_JS}), m AS (SELECT i, j, similarity AS s FROM js UNION ALL SELECT j, i, similarity FROM js UNION ALL SELECT DISTINCT i, i, 1.0 FROM (SELECT i FROM js UNION SELECT j FROM js)), t AS (SELECT * FROM m ORDER BY s DESC, i, j LIMIT 100) SELECT i, j, s AS similarity FROM t WHERE i < j")
+def t22(spark, d):
+    """Of the hundred largest cells of the whole matrix those above the diagonal."""
+    js = T.jensen_shannon(betas(spark, d)).select("i", "j", F.round("similarity", 6).alias("similarity"))
+    return T.largest(js, 100)
+
+
 @query("t23_deleted_topics", f"WITH {_TH} SELECT doc_id, topic, round(w / sum(w) OVER (PARTITION BY doc_id), 9) AS w FROM sp WHERE topic NOT IN (1, 4)")
 def t23(spark, d):
     return T.drop_topics(sparse(spark, d), [1, 4]).select("doc_id", "topic", F.round("w", 9).alias("w"))
@@ -233,7 +310,7 @@ def q21e(spark, d):
     return block_search(rows.where("id % 100 = 0"), rows.where("label = 3"), 20, 64).select("query", "id", F.round("score", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("q20_docs_related_to_word", f"WITH {_INT}, {_U}, p AS (SELECT unnest(range(0, 8))::INTEGER AS topic), c AS (SELECT topic, i, sum(sp.w * v[i]) AS x FROM sp JOIN u ON u.id = sp.doc_id, range(1, 65) r(i) GROUP BY ALL), q AS (SELECT i, v[i] AS y FROM u, range(1, 65) r(i) WHERE id = 3), best AS (SELECT topic FROM c JOIN q USING (i) GROUP BY topic ORDER BY round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 12) DESC, topic LIMIT 1) SELECT iw.topic, doc_id, n AS weight FROM iw JOIN best USING (topic) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 100")
+@query("q20_docs_related_to_word", f"WITH {_INT}, {_U}, c AS (SELECT topic, i, sum(sp.w * v[i]) AS x FROM sp JOIN u ON u.id = sp.doc_id, range(1, 65) r(i) GROUP BY ALL), q AS (SELECT i, v[i] AS y FROM u, range(1, 65) r(i) WHERE id = 3), best AS (SELECT topic FROM c JOIN q USING (i) GROUP BY topic ORDER BY round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 12) DESC, topic LIMIT 1) SELECT iw.topic, doc_id, n AS weight FROM iw JOIN best USING (topic) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 100")
 def q20(spark, d):
     """The topic whose mean vector is nearest to the word's vector (here that of document 3), and the documents of most weight."""
     s, v = sparse(spark, d), _vectors(spark, d)

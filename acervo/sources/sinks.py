@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from acervo.operators.latest import latest
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """base with rows of equal key replaced by those of changes; columns missing on a side are null."""
-    return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
+
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """base with rows of equal key replaced by those of changes; columns missing on a side are null. Of changes
+    with one key the one of largest `order` counts, then (and without an order) the largest in its
+    columns; null keys are dropped. Rows of base are as given."""
+    newest = latest(changes, [key], [order] if order else [], [c for c in changes.columns if c not in (key, order)])
+    return base.join(newest.select(key), key, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
 def delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -71,6 +76,14 @@ def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key), key, "left_anti")
 
 
+def same_rows(spark: SparkSession, ledger: str, work: DataFrame) -> bool:
+    """Whether the ledger at this path is there with as many rows as the work, so that the job may be skipped."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(ledger + "/_SUCCESS")
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return there and spark.read.parquet(ledger).count() == work.count()
+
+
 def run_batch(work: DataFrame, ledger: str, key: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """step over what the ledger at this path lacks, appended to it; the whole ledger is returned."""
     spark = work.sparkSession
@@ -79,7 +92,10 @@ def run_batch(work: DataFrame, ledger: str, key: str, step: Callable[[DataFrame]
     exists = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
     todo = pending(work, spark.read.parquet(ledger), key) if exists else work
     step(todo).write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger)
+    done = spark.read.parquet(ledger)
+    if (missing := pending(work, done, key).count()) != 0:
+        raise RuntimeError(f"{missing} rows are missing in {ledger}")
+    return done
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
