@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acervo.plans import analysis, attributes, extraction, maintenance, relational, topics, votes  # noqa: F401
+from acervo.plans import analysis, attributes, extraction, files, maintenance, modelling, projects, relational, topics, votes  # noqa: F401
 from acervo.plans.registry import QUERIES, SQL, Query
 
 

@@ -141,9 +141,16 @@ def page_similarity(a: Column, b: Column) -> Column:
     return same / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0))
 
 
-def sections(c: Column, headers: list[str]) -> dict[str, Column]:
-    """The text under each `### header`, trimmed; null if the header is missing."""
-    return {h: F.nullif(F.trim(F.regexp_extract(c, rf"(?s)###\s*{h}\s*\n(.*?)(?=\n###|$)", 1)), F.lit("")) for h in headers}
+def sections(c: Column, headers: dict[str, str]) -> dict[str, Column]:
+    """The text under each `### header` (patterns, case doesn't matter) up to the next of them, trimmed; empty if
+    the header is missing or the text null."""
+    stop = "|".join(headers.values())
+
+    def one(pattern: str) -> Column:
+        found = F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?isu)###\s+(?:{pattern})\s*(.*?)(?=###\s+(?:{stop})|\z)", 1)
+        return F.regexp_replace(found, r"^\s+|\s+$", "")
+
+    return {name: one(pattern) for name, pattern in headers.items()}
 
 
 def refused(c: Column) -> Column:

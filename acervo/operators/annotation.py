@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acervo.functions.clean import squeeze
 from acervo.operators.latest import latest
+from acervo.operators.ranking import bucket_rank
+from acervo.runtime import materialise
 
 #: The three labels as they are spelled in the tables.
 LABELS = ("A es mejor", "B es mejor", "Ambos son malos")
@@ -29,10 +31,16 @@ def current(events: DataFrame, keys: list[str], order: str, value: str) -> DataF
     return latest(events, keys, [order], [value]).where(F.col(value).isNotNull() & (F.col(value) != "")).drop(order)
 
 
+def drawn(seed: int, *columns: str) -> Column:
+    """A text that orders rows at random, the same in every run."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
+
+
 def assign(instances: DataFrame, user: str, n: int, seed: int = 42) -> DataFrame:
-    """n instances with quota left: most quota first, then by a hash of user and instance. instances(id,
+    """n instances with quota left: most quota first, then drawn by user and instance. instances(id,
     quota) -> (id, user)."""
-    return instances.where("quota > 0").orderBy(F.desc("quota"), F.xxhash64(F.lit(seed), F.lit(user), "id"), "id").limit(n).select("id", F.lit(user).alias("user"))
+    rows = instances.where("quota > 0").withColumn("user", F.lit(user))
+    return rows.orderBy(F.desc("quota"), drawn(seed, "user", "id"), "id").limit(n).select("id", "user")
 
 
 def take_quota(instances: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -47,14 +55,51 @@ def remove_users(votes: DataFrame, instances: DataFrame, users: list[str], user:
 
 
 def interleave(scored: DataFrame, every: int = 2, seed: int = 42) -> DataFrame:
-    """scored(id, confidence) -> (id, place): each `every`-th place is random by hash, the others take the
-    least certain first; nothing comes twice. Two ranks and arithmetic; the final order is one sort."""
-    one = Window.partitionBy(F.lit(0))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(every)) == 0
-    rows = scored.withColumn("_p", pick)
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(F.when(F.col("_p"), F.xxhash64(F.lit(seed + 1), "id").cast("double")).otherwise(F.col("confidence")), "id"))
-    place = F.when(F.col("_p"), F.col("_r") * every).otherwise(F.col("_r") + F.floor((F.col("_r") - 1) / max(1, every - 1)))
-    return rows.withColumn("_r", rank).withColumn("_o", place).withColumn("place", F.row_number().over(one.orderBy("_o", "_p", "id"))).select("id", "place")
+    """scored(id, confidence) -> (id, place): each `every`-th place is drawn, the others take the least certain
+    first; nothing comes twice. Two ranks over buckets and arithmetic on the two counts: no task holds a list."""
+    at = F.conv(F.substring(drawn(seed, "id"), 1, 7), 16, 10).cast("long") % every == 0
+    rows = scored.select("id", "confidence", at.alias("_p"), drawn(seed + 1, "id").alias("_h"))
+    bucket = F.when(F.col("_p"), F.conv(F.substring("_h", 1, 3), 16, 10).cast("long")).otherwise(F.floor(F.coalesce("confidence", F.lit(-1.0)) * 4096))
+    held = materialise(rows.withColumn("_b", bucket), "scored")
+    order = [F.when(F.col("_p"), F.col("_h")), F.when(~F.col("_p"), F.col("confidence")), F.asc("id")]
+    ranked = bucket_rank(held, ["_p"], "_b", order, "_r")
+    sizes = held.agg(F.count_if("_p").alias("_np"), F.count_if(~F.col("_p")).alias("_no"))
+    others = F.least("_no", F.col("_r") * (every - 1))
+    picks = F.least("_np", F.floor((F.col("_r") - 1) / max(1, every - 1)))
+    return ranked.crossJoin(F.broadcast(sizes)).select("id", (F.col("_r") + F.when(F.col("_p"), others).otherwise(picks)).cast("long").alias("place"))  # one row
+
+
+def pipeline(vectoriser: str, classifier: str, text: str, label: str, options: dict | None = None):
+    """An estimator of pyspark.ml from the dotted names of a vectoriser of tokens and a classifier; the predicted
+    label is in `predicted`, its probabilities in `probability`. Rows with a null label aren't fitted."""
+    from importlib import import_module
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString, RegexTokenizer, SQLTransformer, StringIndexer
+
+    def made(name: str, **arguments):
+        module, _, cls = name.rpartition(".")
+        return getattr(import_module(module), cls)(**arguments)
+
+    class Named:
+        def fit(self, rows: DataFrame):
+            known = rows.where(F.col(label).isNotNull())
+            names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(known)
+            words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}_]+")
+            stages = [words, made(vectoriser, inputCol="_w", outputCol="_x", **(options or {})), made(classifier, featuresCol="_x", labelCol="_y")]
+            fitted = Pipeline(stages=stages).fit(names.transform(known))
+            back = IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels)
+            return Pipeline(stages=[*fitted.stages, back, SQLTransformer(statement="SELECT * FROM __THIS__")]).fit(known)
+
+    return Named()
+
+
+def confidence(rows: DataFrame, text: str, label: str) -> DataFrame:
+    """(id, confidence): the largest probability a classifier fitted on the labelled rows gives each row."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = pipeline("pyspark.ml.feature.HashingTF", "pyspark.ml.classification.LogisticRegression", text, label, {"numFeatures": 1024}).fit(rows)
+    return model.transform(rows).select("id", F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
 def parse_spans(c: Column) -> Column:

@@ -153,7 +153,8 @@ def binomial_p(wins: int, n: int) -> float:
 
 
 def quantile(df: DataFrame, group: list[str], value: str, q: float, buckets: int = 1024) -> DataFrame:
-    """(group, quantile) exact, interpolated between neighbours; nulls are left out. Equal values are counted
+    """(group, quantile) exact, interpolated between neighbours; nulls are left out, and so are groups without
+    values; without a group there is always one row. Equal values are counted
     together in every task; the value range of a group is cut into buckets whose counts find the two
     places, and only the values of their buckets are ordered, so no task holds a group."""
     counts = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v")).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def train_lda(docs: DataFrame, k: int, iterations: int = 50, min_df: float = 5, vocabulary: int = 100_000, seed: int = 42) -> tuple[CountVectorizerModel, LDAModel]:
-    """docs(doc_id, tokens). The vocabulary is bounded by `vocabulary`; online variational inference, so
-    results differ in number from a Gibbs sampler's. Every iteration draws as many documents as there are,
+def train_lda(docs: DataFrame, k: int, iterations: int = 50, min_df: float = 5, vocabulary: int = 1 << 18, seed: int = 42) -> tuple[CountVectorizerModel, LDAModel]:
+    """docs(doc_id, tokens). A model has at most `vocabulary` words, those in most documents: a topic is a dense row
+    of them, so this bounds the model and is a parameter. Online variational inference, so results differ in number from a Gibbs sampler's. Every iteration draws as many documents as there are,
     with replacement: `iterations` passes on average, and none is missed but by a chance of exp(-iterations)."""
     counter = CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, vocabSize=vocabulary).fit(docs)
     return counter, LDA(k=k, maxIter=iterations, subsamplingRate=1.0, seed=seed, featuresCol="features").fit(counter.transform(docs))
@@ -28,11 +28,7 @@ def infer(docs: DataFrame, counter: CountVectorizerModel, model: LDAModel, thres
 def topic_terms(counter: CountVectorizerModel, model: LDAModel, n: int = 15) -> DataFrame:
     """(topic, rank, term, w) of the n best terms of every topic."""
     rows = model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    names = F.array(*[F.lit(w) for w in counter.vocabulary]) if len(counter.vocabulary) < 2000 else None
-    if names is not None:
-        return rows.select("topic", (F.col("rank") + 1).alias("rank"), names[F.col("t.termIndices")].alias("term"), F.col("t.termWeights").alias("w"))
-    spark = model.describeTopics(1).sparkSession
-    words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "i int, term string")
+    words = rows.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "i int, term string")
     return rows.join(words, F.col("t.termIndices") == F.col("i")).select("topic", (F.col("rank") + 1).alias("rank"), "term", F.col("t.termWeights").alias("w"))
 
 
@@ -57,6 +53,66 @@ def coherence(tokens: DataFrame, top: DataFrame, measure: str = "npmi", eps: flo
     return met.groupBy("topic").agg(F.avg(score).alias("coherence"))
 
 
+def window_coherence(docs: DataFrame, top: DataFrame, measure: str = "c_v", window: int | None = None, eps: float = 1e-12) -> DataFrame:
+    """(topic, coherence) from sliding windows over docs(doc_id, tokens): c_v (window 110: every word's vector of
+    npmi with the topic's words against their sum, mean cosine), c_npmi or c_uci (window 10: mean over
+    pairs). A document shorter than the window is one window.
+
+    Windows that hold a word, and those that hold two, are counted in every document from the places of the top
+    terms alone, a bounded set; only counts are shuffled.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    size = window or (110 if measure == "c_v" else 10)
+    topics: dict[int, list[str]] = {}
+    for r in top.orderBy("topic", "rank").collect():  # topics x top terms
+        topics.setdefault(r["topic"], []).append(r["term"])
+    used = {w for words in topics.values() for w in words}
+    wanted = {(a, b) for words in topics.values() for a in words for b in words if a < b}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                n = max(1, len(tokens) - size + 1)
+                sums["", ""] = sums.get(("", ""), 0) + n
+                held: dict[str, np.ndarray] = {}
+                for i, w in enumerate(tokens):
+                    if w in used:
+                        marks = held.setdefault(w, np.zeros(n, dtype=bool))
+                        marks[max(0, i - size + 1) : min(n, i + 1)] = True
+                for w, marks in held.items():
+                    sums[w, w] = sums.get((w, w), 0) + int(marks.sum())
+                for a, b in wanted:
+                    if a in held and b in held:
+                        sums[a, b] = sums.get((a, b), 0) + int((held[a] & held[b]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], names=["a", "b", "n"])
+
+    found = {(r["a"], r["b"]): r["n"] for r in docs.select("tokens").where("tokens IS NOT NULL").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}  # pairs of top terms
+    total = max(1, found.get(("", ""), 0))
+    share = lambda a, b: found.get((min(a, b), max(a, b)), 0) / total
+
+    def pmi(a: str, b: str) -> float:
+        pa_, pb = share(a, a), share(b, b)
+        return float(np.log((share(a, b) + eps) / (pa_ * pb))) if pa_ and pb else 0.0
+
+    def npmi(a: str, b: str) -> float:
+        return pmi(a, b) / -float(np.log(share(a, b) + eps)) if share(a, a) and share(b, b) else 0.0
+
+    def score(words: list[str]) -> float:
+        if measure == "c_v":
+            grid = np.array([[npmi(a, b) for b in words] for a in words])
+            whole = grid.sum(axis=0)
+            sizes = np.linalg.norm(grid, axis=1) * np.linalg.norm(whole)
+            return float(np.mean(np.divide(grid @ whole, sizes, out=np.zeros(len(words)), where=sizes > 0)))
+        pairs = [(npmi if measure == "c_npmi" else pmi)(a, b) for i, a in enumerate(words) for b in words[:i]]
+        return float(np.mean(pairs)) if pairs else 0.0
+
+    return docs.sparkSession.createDataFrame([(t, score(words)) for t, words in topics.items()], "topic int, coherence double")
+
+
 def sweep(docs: DataFrame, sizes: list[int], iterations: int = 20, top: int = 10) -> DataFrame:
     """(k, coherence): mean npmi of models of each size; the caller takes the best."""
     tokens = docs.select("doc_id", F.explode("tokens").alias("term"))
@@ -73,7 +129,9 @@ def sweep(docs: DataFrame, sizes: list[int], iterations: int = 20, top: int = 10
 def coordinates(similarity: DataFrame, k: int) -> DataFrame:
     """(topic, x, y): classical scaling of topic distances. similarity(i, j, similarity), i < j, has
     k (k - 1) / 2 rows, so the eigenvectors are found on the driver."""
-    rows = similarity.select("i", "j", "similarity").limit(k * k).collect()
+    if (n := similarity.count()) > k * (k - 1) // 2:
+        raise ValueError(f"{n} similarities of {k} topics")
+    rows = similarity.select("i", "j", "similarity").collect()
     far = np.zeros((k, k))
     for r in rows:
         far[r[0], r[1]] = far[r[1], r[0]] = 1 - r[2]

@@ -45,17 +45,31 @@ def i2(spark, d):
     )
 
 
-@query("i3_published_share", "SELECT year(pub_date) AS y, quarter(pub_date) AS q, origin, round(100.0 * count_if(url IS NOT NULL) / count(*), 4) AS pct FROM corpus WHERE origin IN ('insiders', 'outsiders') GROUP BY ALL")
+_ORIGIN = "lower(trim(origin))"
+_AMOUNT = "TRY_CAST(json_extract_string(CASE WHEN json_valid(lotes) THEN lotes ELSE replace(replace(lotes, chr(39), chr(34)), 'None', 'null') END, '$.TaxExclusiveAmount') AS DOUBLE)"
+
+
+@query("i3_published_share", f"WITH x AS (SELECT year(pub_date) AS y, quarter(pub_date) AS q, {_ORIGIN} AS origin, url IS NOT NULL AS p, CASE WHEN lotes IS NOT NULL THEN {_AMOUNT} END AS a FROM corpus WHERE {_ORIGIN} IN ('insiders', 'outsiders')) SELECT y, q, origin, round(100.0 * count_if(p) / count(*), 4) AS pct, round(100.0 * sum(CASE WHEN p THEN a END) / nullif(sum(a), 0), 4) AS pct_budget FROM x GROUP BY ALL")
 def i3(spark, d):
-    rows = table(spark, d, "corpus").where(F.col("origin").isin("insiders", "outsiders"))
-    return rows.groupBy(F.year("pub_date").cast("long").alias("y"), F.quarter("pub_date").cast("long").alias("q"), "origin").agg(F.round(100.0 * F.count_if(F.col("url").isNotNull()) / F.count(F.lit(1)), 4).alias("pct"))
+    """Tenders published with an address, as a share of their number and of their lots' amounts."""
+    rows = table(spark, d, "corpus").select("pub_date", F.lower(F.trim("origin")).alias("origin"), F.col("url").isNotNull().alias("p"), F.get(P.lots(F.col("lotes")), F.lit(0))["TaxExclusiveAmount"].try_cast("double").alias("a"))
+    rows = rows.where(F.col("origin").isin("insiders", "outsiders"))
+    budget = F.round(100.0 * F.sum(F.when(F.col("p"), F.col("a"))) / F.nullif(F.sum("a"), F.lit(0.0)), 4)
+    return rows.groupBy(F.year("pub_date").cast("long").alias("y"), F.quarter("pub_date").cast("long").alias("q"), "origin").agg(F.round(100.0 * F.count_if("p") / F.count(F.lit(1)), 4).alias("pct"), budget.alias("pct_budget"))
 
 
-@query("i4_decision_speed", "WITH x AS (SELECT year(l_shipdate) AS y, quarter(l_shipdate) AS q, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT y, q, round(avg(days), 4) AS mean_days, count(*) AS n FROM x WHERE days >= 0 GROUP BY ALL")
+@query("i4_decision_speed", f"WITH x AS (SELECT year(award_date) AS y, quarter(award_date) AS q, {_ORIGIN} AS origin, date_diff('day', pub_date::DATE, award_date::DATE) AS days FROM corpus WHERE award_date IS NOT NULL AND pub_date IS NOT NULL) SELECT y, q, CASE WHEN grouping(origin) = 0 THEN coalesce(origin, 'unknown') ELSE 'total' END AS origin, round(avg(days), 4) AS mean_days, count(*) AS n FROM x WHERE days >= 0 GROUP BY GROUPING SETS ((y, q, origin), (y, q), (y))")
 def i4(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    days = rows.select(F.year("l_shipdate").cast("long").alias("y"), F.quarter("l_shipdate").cast("long").alias("q"), F.datediff("l_shipdate", "o_orderdate").alias("days")).where("days >= 0")
-    return days.groupBy("y", "q").agg(F.round(F.avg("days"), 4).alias("mean_days"), F.count(F.lit(1)).alias("n"))
+    """Mean days from publication to award: by quarter and origin, in all of a quarter, and of a year (q null),
+    which is the mean over its rows."""
+    rows = table(spark, d, "corpus").where("award_date IS NOT NULL AND pub_date IS NOT NULL")
+    days = rows.select(F.year("award_date").cast("long").alias("y"), F.quarter("award_date").cast("long").alias("q"), F.coalesce(F.lower(F.trim("origin")), F.lit("unknown")).alias("origin"), F.datediff("award_date", "pub_date").alias("days")).where("days >= 0")
+    by = days.groupBy("y", "q", "origin").agg(F.sum("days").alias("s"), F.count(F.lit(1)).alias("n"))
+    total = lambda df, q: df.select("y", q.alias("q"), F.lit("total").alias("origin"), "s", "n")
+    quarters = by.groupBy("y", "q").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    years = quarters.groupBy("y").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    every = by.unionByName(total(quarters, F.col("q"))).unionByName(total(years, F.lit(None).cast("long")))
+    return every.select("y", "q", "origin", F.round(F.col("s") / F.col("n"), 4).alias("mean_days"), "n")
 
 
 @query("i5_rate_buckets", "SELECT least(floor(l_discount * 100 / 2), 4)::BIGINT AS bucket, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM lineitem), 4) AS pct FROM lineitem GROUP BY 1")
@@ -199,12 +213,6 @@ def f24(spark, d):
     return table(spark, d, "documents").select("doc_id", O.window(F.col("text"), F.lit("plazo")).alias("around"))
 
 
-@query("f26_language_vote", "SELECT source, round(avg(CASE WHEN lang <> 'es' THEN 1.0 ELSE 0.0 END), 6) AS foreign_share, avg(CASE WHEN lang <> 'es' THEN 1.0 ELSE 0.0 END) >= 0.75 AS translate FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source")
-def f26(spark, d):
-    share = F.avg((F.col("lang") != "es").cast("double"))
-    return table(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL").groupBy("source").agg(F.round(share, 6).alias("foreign_share"), (share >= 0.75).alias("translate"))
-
-
 @query("f27_garbage", r"SELECT doc_id, length(text) < 20 OR length(regexp_replace(text, '[^\p{L} ]', '', 'g')) / length(text)::DOUBLE < 0.5 AS garbage FROM documents WHERE text <> ''")
 def f27(spark, d):
     return table(spark, d, "documents").where("text <> ''").select("doc_id", P.garbage(F.col("text")).alias("garbage"))
@@ -238,12 +246,12 @@ def bow(spark, d):
     return table(spark, d, "corpus").select("place_id", "indexed_at", P.bag(F.col("lemmas")).alias("bow"))
 
 
-@query("q32_augmented_by_year", f"WITH {NEWEST} SELECT place_id AS id, title, origin, array_to_string(list_filter(list_transform(string_split(coalesce(cpv, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS cpv FROM newest WHERE pub_date >= TIMESTAMP '2023-01-01' AND pub_date < TIMESTAMP '2025-01-01' AND list_has_any(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}_]+'), ['limpieza', 'obras'])")
+@query("q32_augmented_by_year", f"WITH {NEWEST} SELECT place_id AS id, title, origin, array_to_string(list_filter(list_transform(string_split(coalesce(cpv, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS cpv, coalesce(left(trim(string_split(coalesce(cpv, ''), ',')[1]), 2), '') AS two_cpv FROM newest WHERE pub_date >= TIMESTAMP '2023-01-01' AND pub_date < TIMESTAMP '2025-01-01' AND list_has_any(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}_]+'), ['limpieza', 'obras'])")
 def q32(spark, d):
     from acervo.operators.retrieval import keyword, year_range
 
     rows = newest(spark, d, "pub_date").where(year_range(F.col("pub_date"), 2023, 2024) & keyword(F.col("title"), "limpieza obras"))
-    return rows.select(F.col("place_id").alias("id"), "title", "origin", F.array_join(P.comma_list(F.col("cpv")), "|").alias("cpv")).orderBy("id")
+    return rows.select(F.col("place_id").alias("id"), "title", "origin", F.array_join(P.comma_list(F.col("cpv")), "|").alias("cpv"), F.coalesce(F.substring(F.trim(F.split("cpv", ",")[0]), 1, 2), F.lit("")).alias("two_cpv")).orderBy("id")
 
 
 @query("q31_all_years", f"WITH {NEWEST} SELECT y AS year, count(place_id) AS count FROM range(2000, year(current_date) + 1) t(y) LEFT JOIN newest ON year(pub_date) = y AND pub_date < current_timestamp::TIMESTAMP GROUP BY y")
@@ -253,16 +261,18 @@ def q31(spark, d):
     return years_to_now(spark, 2000).join(counts, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-@query("q30_docs_by_year", f"WITH {NEWEST} SELECT place_id AS id, title, cpv, origin FROM newest WHERE pub_date >= TIMESTAMP '2024-01-01' AND pub_date < TIMESTAMP '2025-01-01'")
-def q30(spark, d):
-    from acervo.operators.retrieval import year_range
+_NINE = ("title", "cpv", "origin", "link", "generated_objective", "two_cpv", "pub_date", "contracting_party_id")
+_FULL = "full_rows AS (SELECT * FROM corpus QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY indexed_at DESC, title DESC NULLS LAST, cpv DESC NULLS LAST, origin DESC NULLS LAST, link DESC NULLS LAST, generated_objective DESC NULLS LAST, two_cpv DESC NULLS LAST, pub_date DESC NULLS LAST, contracting_party_id DESC NULLS LAST) = 1)"
 
-    return newest(spark, d, "pub_date").where(year_range(F.col("pub_date"), 2024, None)).select(F.col("place_id").alias("id"), "title", "cpv", "origin")
 
+@query("q30_docs_by_year", f"WITH {_FULL} SELECT place_id AS id, title, cpv, origin, link, generated_objective, two_cpv, pub_date, contracting_party_id FROM full_rows WHERE pub_date >= TIMESTAMP '2024-01-01' AND pub_date < TIMESTAMP '2025-01-01'")
+def q30(spark, d):
+    """The nine fields that are displayed, of the newest rows."""
+    from acervo.operators.latest import latest
+    from acervo.operators.retrieval import year_range
 
-@query("q2_metadata_fields", "SELECT attribute, label FROM metadata_keys")
-def q2(spark, d):
-    return table(spark, d, "metadata_keys").select("attribute", "label")
+    rows = latest(table(spark, d, "corpus"), ["place_id"], ["indexed_at"], list(_NINE))
+    return rows.where(year_range(F.col("pub_date"), 2024, None)).select(F.col("place_id").alias("id"), *_NINE)
 
 
 @query("q15_lemmas_by_id", "SELECT lemmas FROM corpus WHERE place_id = (SELECT max(place_id) FROM corpus) AND indexed_at = (SELECT max(indexed_at) FROM corpus WHERE place_id = (SELECT max(place_id) FROM corpus)) LIMIT 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acervo.functions.procurement import comma_list, cpv_depth, cpv_list, cpv_prefixes, finite, iso, null_like, searchable, to_record, unwrapped, word_count
+from acervo.operators.annotation import drawn
 from acervo.operators.evaluation import quantile
 from acervo.operators.latest import latest
 from acervo.operators.retrieval import keyword, year_range
@@ -375,11 +376,6 @@ def split(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.conv(F.substring(drawn(42, "doc_id"), 1, 7), 16, 10).cast("long") % 100 < 80).alias("train"))
 
 
-def drawn(seed, *columns):
-    """A text that orders rows at random, the same in every run."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
-
-
 @query("sample_pairs", "WITH p AS (SELECT a.model AS a, b.model AS b FROM (SELECT DISTINCT model FROM model_alias) a JOIN (SELECT DISTINCT model FROM model_alias) b ON a.model < b.model) SELECT a, b FROM (SELECT *, row_number() OVER (ORDER BY md5('7|' || a || '|' || b)) AS r, count(*) OVER () AS n FROM p) WHERE r <= greatest(1, n // 3)")
 def pair_sample(spark, d):
     """A third of the pairs of systems, one at least, drawn by digest. The systems are a fixed list."""

@@ -60,6 +60,65 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
 
+def matrix(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
+    """(path, row, col, x): the cells of npy files (all of them) and of npz files with a compressed sparse row matrix
+    (those it holds), a file in a task."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = np.load(io.BytesIO(content))
+                if isinstance(held, np.ndarray):
+                    rows, cols = np.indices(np.atleast_2d(held).shape).reshape(2, -1)
+                    x = np.atleast_2d(held).ravel()
+                else:
+                    rows, cols, x = np.repeat(np.arange(len(held["indptr"]) - 1), np.diff(held["indptr"])), held["indices"], held["data"]
+                for at in range(0, len(x), 100_000):
+                    part = slice(at, at + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x[part])), pa.array(rows[part].astype(np.int64)), pa.array(cols[part].astype(np.int64)), pa.array(x[part].astype(float))], names=["path", "row", "col", "x"])
+
+    return files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, row long, col long, x double")
+
+
+def spreadsheet(spark: SparkSession, path: str, rows: int = 30) -> DataFrame:
+    """(path, row, col, value): the first rows of the first sheet of xlsx files, as text, a file in a task."""
+    import io
+    import re
+    import zipfile
+    from collections.abc import Iterator
+    from xml.etree import ElementTree
+
+    import pyarrow as pa
+
+    def cells(content: bytes) -> Iterator[tuple[int, int, str]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            names = book.namelist()
+            shared = ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else []
+            texts = ["".join(t.text or "" for t in item.iter() if t.tag.endswith("}t")) for item in shared]
+            sheet = ElementTree.fromstring(book.read(min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))))
+        for cell in (e for e in sheet.iter() if e.tag.endswith("}c")):
+            letters, number = re.fullmatch(r"([A-Z]+)(\d+)", cell.attrib["r"]).groups()
+            col = 0
+            for letter in letters:
+                col = 26 * col + ord(letter) - 64
+            value = "".join(t.text or "" for t in cell.iter() if t.tag.endswith(("}v", "}t")))
+            if int(number) <= rows and value:
+                yield int(number) - 1, col - 1, texts[int(value)] if cell.attrib.get("t") == "s" else value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(cells(content))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], names=["path", "row", "col", "value"])
+
+    return files(spark, path, "*.xlsx").select("path", "content").mapInArrow(run, "path string, row long, col long, value string")
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Nested structs as columns with joined names."""
 

@@ -71,6 +71,23 @@ def annotations_wide(votes: DataFrame, user: str, instance: str, schema: str, la
     return votes.withColumn("_c", name).groupBy(user, instance).pivot("_c", [f"{a}:::{b}" for a, b in known]).agg(F.max(value))
 
 
+def insert_new(there: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The new rows whose keys aren't there; null keys are never there."""
+    return new.join(there.select(*keys).distinct(), keys, "left_anti")
+
+
+def fill_pending(rows: DataFrame, results: DataFrame, key: str, value: str, result: str, states: tuple[str, ...]) -> DataFrame:
+    """rows whose value is one of the waiting states take the result of their key, if there is one."""
+    met = rows.join(results.select(key, F.col(result).alias("_result")), key, "left")
+    return met.withColumn(value, F.when(F.col(value).isin(*states) & F.col("_result").isNotNull(), F.col("_result")).otherwise(F.col(value))).drop("_result")
+
+
+def cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, name: str, key: str, foreign: str) -> tuple[DataFrame, DataFrame]:
+    """Parents without those whose name is in gone(name), and children without those of these parents."""
+    lost = parents.join(gone.select(name), name, "left_semi").select(F.col(key).alias(foreign)).distinct()
+    return parents.join(gone.select(name), name, "left_anti"), children.join(lost, foreign, "left_anti")
+
+
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The rows of work not yet in the ledger; running twice does nothing twice."""
     return work.join(done.select(key), key, "left_anti")

@@ -22,11 +22,11 @@ class Buckets:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> dict[int, int]:
-        """Bucket -> version, of the newest complete file of versions."""
+    def _versions(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> version, of the newest complete file of versions (before a version, if given)."""
         at = self._path(f"{self.root}/versions")
         done = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        done = sorted(int(n[2:]) for n in done if n.startswith("v=") and self._fs.exists(self._path(f"{self.root}/versions/{n}/_SUCCESS")))
+        done = sorted(int(n[2:]) for n in done if n.startswith("v=") and self._fs.exists(self._path(f"{self.root}/versions/{n}/_SUCCESS")) and (before is None or int(n[2:]) < before))
         return {r[0]: r[1] for r in self.spark.read.parquet(f"{self.root}/versions/v={done[-1]}").collect()} if done else {}  # a row per bucket
 
     def read(self) -> DataFrame | None:
@@ -37,7 +37,7 @@ class Buckets:
 
     def merge(self, batch: DataFrame, version: int) -> None:
         """The newest row per key of the table and the batch; running a version again gives the same table."""
-        versions = {b: v for b, v in self._versions().items() if v < version}
+        versions = self._versions(version)
         keep = [c for c in batch.columns if c not in (self.key, self.order)]
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         newest = latest(batch, [self.key], [self.order], keep).withColumn("bucket", bucket)
