@@ -1,13 +1,13 @@
 """Most similar vectors for every vector: block matrix join.
 
-The vectors are normalised, quantised to int8 with one scale a block and written in blocks to the
-shared folder. A task holds one block of query vectors and streams the codes of all blocks past it.
-A product tile of codes holds whole numbers below 2^24, which BLAS adds exactly in float32, so with
-the two scales it gives every cosine with a bound on its quantisation error; it is compared as it is
-with one whole-number threshold a query. Only pairs that can still enter a row's k best are recomputed in
-float and merged into the row's heap; the float vectors of a block are read if it has such a pair.
-Nothing is shuffled but the final lists, memory is a tile, and the result is exact up to float
-rounding. The work is quadratic in the number of vectors.
+The vectors are scaled to length 1, quantised to int8 with one scale a block and written in blocks to
+the shared folder, beside the vectors as given. A task holds one block of query vectors and streams
+the codes of all blocks past it. A product tile of codes holds whole numbers below 2^24, which BLAS
+adds exactly in float32, so with the two scales it gives every cosine with a bound on its quantisation
+error; it is compared as it is with one whole-number threshold a query. Only pairs that can still
+enter a row's k best are recomputed in float and merged into the row's heap; the float vectors of a
+block are read if it has such a pair. Nothing is shuffled but the final lists, memory is a tile, and
+the result is exact in double precision. The work is quadratic in the number of vectors.
 """
 
 from __future__ import annotations
@@ -44,6 +44,12 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, float]:
     return np.rint(x / scale).astype(np.int8), scale
 
 
+def unit(given: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision."""
+    x = given.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _pack(dim: int):
     if dim * 127 * 127 >= 1 << 24:
         raise ValueError(f"products of {dim} codes don't fit whole numbers of float32")
@@ -52,10 +58,11 @@ def _pack(dim: int):
         ids, held, n = [], [], 0
 
         def out() -> pa.RecordBatch:
-            x = np.concatenate(held)
+            given = np.concatenate(held)
+            x = unit(given)
             codes, scale = quantise(x)
             errors = np.linalg.norm(x - codes * scale, axis=1).astype(np.float32)
-            cells = [pa.array([list(ids)], pa.list_(pa.string())), *[pa.array([v], t) for v, t in ((codes.tobytes(), pa.binary()), (scale, pa.float64()), (errors.tobytes(), pa.binary()), (x.astype(np.float32).tobytes(), pa.binary()))]]
+            cells = [pa.array([list(ids)], pa.list_(pa.string())), *[pa.array([v], t) for v, t in ((codes.tobytes(), pa.binary()), (scale, pa.float64()), (errors.tobytes(), pa.binary()), (given.tobytes(), pa.binary()))]]
             return pa.RecordBatch.from_arrays(cells, names=["ids", "codes", "scale", "errors", "exact"])
 
         for batch in batches:
@@ -63,8 +70,7 @@ def _pack(dim: int):
             while at < batch.num_rows:
                 part = batch.slice(at, BLOCK - n)
                 at += part.num_rows
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
                 ids += part.column(0).to_pylist()
                 held.append(x)
                 n += len(x)
@@ -147,7 +153,7 @@ def _search(folder: str, k: int, dim: int, least: float):
             for i in range(batch.num_rows):
                 ids += batch.column(0)[i].as_py()
                 codes, errors = numbers(batch.column(1)[i], np.int8).reshape(-1, dim), numbers(batch.column(3)[i], np.float32)
-                parts.append((codes.astype(np.float32), np.full(len(codes), batch.column(2)[i].as_py()), errors, numbers(batch.column(4)[i], np.float32).reshape(-1, dim)))
+                parts.append((codes.astype(np.float32), np.full(len(codes), batch.column(2)[i].as_py()), errors, unit(numbers(batch.column(4)[i], np.float32).reshape(-1, dim))))
         if not ids:
             return
         codes, scale, error, x = (np.concatenate([p[j] for p in parts]) for j in range(4))
@@ -164,19 +170,19 @@ def _search(folder: str, k: int, dim: int, least: float):
                 for i, j in mine:
                     if at <= i < part.stop:
                         tile[i - at, j] = -np.inf
-                unit = scale[part] * step
+                steps = scale[part] * step
                 bound = error[part] * (1 + e) + e + 1e-6  # |x.y - x'.y'| <= |x-x'||y| + |x'||y-y'|
                 floor = heaps.floor()[part].copy()
                 if len(names) > k and len(unset := np.flatnonzero(~np.isfinite(floor))):  # the tile's own k-th best gives a floor
-                    floor[unset] = np.partition(tile[unset], -k, axis=1)[:, -k] * unit[unset] - bound[unset]
-                whole = np.floor((np.maximum(floor, least) - bound) / unit)
+                    floor[unset] = np.partition(tile[unset], -k, axis=1)[:, -k] * steps[unset] - bound[unset]
+                whole = np.floor((np.maximum(floor, least) - bound) / steps)
                 passed = np.greater_equal(tile, np.maximum(whole, -(2.0**24)).astype(np.float32)[:, None], out=flags[: part.stop - at, : len(z)])
                 rows, cols = np.divmod(np.flatnonzero(passed), len(z))
                 if len(rows) and y is None:
-                    y = numbers(exact(), np.float32).reshape(-1, dim)
+                    y = unit(numbers(exact(), np.float32).reshape(-1, dim))
                 for lot in range(0, len(rows), 200_000):
                     r, c = rows[lot : lot + 200_000], cols[lot : lot + 200_000]
-                    cos = np.einsum("ij,ij->i", x[part][r].astype(np.float64), y[c].astype(np.float64))
+                    cos = np.einsum("ij,ij->i", x[part][r], y[c])
                     good = cos >= np.maximum(heaps.floor()[part][r], least)
                     heaps.merge(at + r[good], cos[good], names, c[good])
         for at in range(0, len(x), BLOCK):

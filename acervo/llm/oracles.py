@@ -36,6 +36,7 @@ t AS (SELECT label, sum(m)::DOUBLE AS t FROM m SEMI JOIN u USING (instance_id) G
 """
 
 SQL = {
+    "p2_neighbours": _VECTORS + "SELECT id, neighbour, round(cosine, 6) AS cosine, rank::INTEGER AS rank FROM near",
     "p2_found": _VECTORS + "SELECT a.id AS place_id_1, a.neighbour AS place_id_2 FROM near a JOIN near b ON a.id = b.neighbour AND a.neighbour = b.id WHERE a.id < a.neighbour AND a.cosine >= 0.85",
     "p6_agreement": _VOTES + "SELECT items, votes, round(1 - d / ((SELECT sum(t * (votes - t)) FROM t) / (votes - 1)), 9) AS alpha FROM o",
     "p1_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
