@@ -113,8 +113,8 @@ _LOT = "ItemClassificationCode string, TaxExclusiveAmount string, numLotes strin
 def lots(c: Column) -> Column:
     """The lots of a text: one object or an object with a list `lotes`, as JSON or as a Python literal. Lots
     without any field are left out; other texts give none."""
-    text = F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.replace(F.replace(c, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null")))
-    good = F.when(F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{"), text)
-    flat, many = F.from_json(good, _LOT), F.from_json(good, f"lotes array<struct<{', '.join(f.replace(' ', ': ') for f in _LOT.split(', '))}>>")["lotes"]
+    text = F.when(F.ltrim(c).startswith("{"), F.regexp_replace(c, r":\s*None\b", ": null"))
+    read = lambda schema: F.from_json(text, schema, {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+    flat, many = read(_LOT), read(f"lotes array<struct<{', '.join(f.replace(' ', ': ') for f in _LOT.split(', '))}>>")["lotes"]
     found = F.coalesce(many, F.when(flat.isNotNull(), F.array(flat)), F.array().cast(f"array<struct<{', '.join(f.replace(' ', ': ') for f in _LOT.split(', '))}>>"))
     return F.filter(found, lambda x: x["ItemClassificationCode"].isNotNull() | x["TaxExclusiveAmount"].isNotNull() | x["numLotes"].isNotNull())

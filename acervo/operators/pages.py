@@ -66,12 +66,13 @@ def flattened(parts: DataFrame, key: str, page: str = "page") -> DataFrame:
 
 
 def reading_order(boxes: DataFrame, page: list[str]) -> DataFrame:
-    """boxes(page, x0, y0, x1, y1) with their column (a new one begins right of all before it) and their place from
-    1, by column, then from the top, then from the left."""
-    w = Window.partitionBy(*page).orderBy("x0", "x1")  # the boxes of a page
-    edge = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = boxes.withColumn("_new", F.coalesce(F.col("x0") >= edge, F.lit(True)).cast("int"))
-    rows = rows.withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """boxes(page, x0, y0, x1, y1) with their column (a new one begins right of all that begin before it) and their
+    place from 1, by column, then from the top, then from the left. Boxes without a left edge are left out."""
+    w = Window.partitionBy(*page).orderBy("x0")  # the left edges of a page
+    edges = boxes.groupBy(*page, "x0").agg(F.max("x1").alias("_x1"))
+    new = F.coalesce(F.col("x0") >= F.max("_x1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    columns = edges.withColumn("_new", new).withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_x1")
+    rows = boxes.join(columns, [*page, "x0"])
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("column", "y0", "x0", "x1", "y1")))
 
 

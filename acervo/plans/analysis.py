@@ -46,7 +46,8 @@ def i2(spark, d):
 
 
 _ORIGIN = "lower(trim(origin))"
-_AMOUNT = "TRY_CAST(json_extract_string(CASE WHEN json_valid(lotes) THEN lotes ELSE replace(replace(lotes, chr(39), chr(34)), 'None', 'null') END, '$.TaxExclusiveAmount') AS DOUBLE)"
+_LOT = lambda name: f"nullif(regexp_extract(lotes, '[''\"]{name}[''\"]: ?[''\"]?([^''\",}}]*)', 1), '')"
+_AMOUNT = f"TRY_CAST({_LOT('TaxExclusiveAmount')} AS DOUBLE)"
 
 
 @query("i3_published_share", f"WITH x AS (SELECT year(pub_date) AS y, quarter(pub_date) AS q, {_ORIGIN} AS origin, url IS NOT NULL AS p, CASE WHEN lotes IS NOT NULL THEN {_AMOUNT} END AS a FROM corpus WHERE {_ORIGIN} IN ('insiders', 'outsiders')) SELECT y, q, origin, round(100.0 * count_if(p) / count(*), 4) AS pct, round(100.0 * sum(CASE WHEN p THEN a END) / nullif(sum(a), 0), 4) AS pct_budget FROM x GROUP BY ALL")
@@ -201,7 +202,7 @@ def f12(spark, d):
     return table(spark, d, "corpus").select("place_id", "indexed_at", iso.alias("date"), F.substring(iso, 1, 4).cast("int").alias("year"))
 
 
-@query("f16_lots", "WITH t AS (SELECT place_id, indexed_at, CASE WHEN json_valid(lotes) THEN lotes ELSE replace(replace(lotes, chr(39), chr(34)), 'None', 'null') END AS l FROM corpus) SELECT place_id, indexed_at, json_extract_string(l, '$.ItemClassificationCode') AS code, TRY_CAST(json_extract_string(l, '$.TaxExclusiveAmount') AS DOUBLE) AS amount, TRY_CAST(json_extract_string(l, '$.numLotes') AS INTEGER) AS lots FROM t WHERE json_valid(l) AND json_type(l) = 'OBJECT' AND coalesce(json_extract_string(l, '$.ItemClassificationCode'), json_extract_string(l, '$.TaxExclusiveAmount'), json_extract_string(l, '$.numLotes')) IS NOT NULL")
+@query("f16_lots", f"WITH t AS (SELECT place_id, indexed_at, {_LOT('ItemClassificationCode')} AS code, TRY_CAST({_LOT('TaxExclusiveAmount')} AS DOUBLE) AS amount, TRY_CAST({_LOT('numLotes')} AS INTEGER) AS lots FROM corpus WHERE starts_with(ltrim(lotes), '{{')) SELECT * FROM t WHERE code IS NOT NULL OR amount IS NOT NULL OR lots IS NOT NULL")
 def f16(spark, d):
     """Lots as JSON or as a Python literal, flat or in a list `lotes`; kept with one field at least."""
     rows = table(spark, d, "corpus").select("place_id", "indexed_at", F.explode(P.lots(F.col("lotes"))).alias("l"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from acervo.operators.wide import cells, widen
 from acervo.plans.registry import query
 from acervo.runtime import table
@@ -38,6 +40,16 @@ c AS (SELECT id, document_id, attribute, CASE t
 SELECT document_id, attribute, cell_value FROM (SELECT *, row_number() OVER (PARTITION BY document_id, attribute ORDER BY id DESC, cell_value DESC) AS rn FROM c WHERE cell_value IS NOT NULL) WHERE rn = 1"""
 
 
+_FAILED = _SQL.replace("n.value_type AS t, trim(", "n.value_type AS t, metadata_value AS raw, trim(").replace("c AS (SELECT id, document_id, attribute, CASE t", "c AS (SELECT id, document_id, attribute, raw, CASE t")
+_FAILED = _FAILED[: _FAILED.rindex("SELECT document_id, attribute, cell_value FROM")] + "SELECT document_id, attribute, raw AS failed FROM (SELECT *, row_number() OVER (PARTITION BY document_id, attribute ORDER BY id DESC, raw DESC) AS rn FROM c WHERE cell_value IS NULL) WHERE rn = 1"
+
+
+@query("p4_failures", _FAILED)
+def p4_failures(spark, d):
+    """Of every document and attribute the newest value that could not be cast."""
+    return _wide(spark, d, True).select("document_id", F.explode("failures").alias("attribute", "failed"))
+
+
 @query("p4_found", _SQL)
 def p4_found(spark, d):
     return cells(_wide(spark, d, False))  # a row of nulls has no cells

@@ -162,7 +162,7 @@ def _boxes(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), left.alias("x0"), F.col("l_quantity").cast("double").alias("y0"), (left + 150).alias("x1"), (F.col("l_quantity").cast("double") + 5).alias("y1"))
 
 
-@query("g4_reading_order", f"WITH {_BX}, c AS (SELECT *, coalesce(x0 >= max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS n FROM bx), k AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS col FROM c) SELECT page, x0, y0, col::BIGINT AS col, row_number() OVER (PARTITION BY page ORDER BY col, y0, x0, x1, y1) AS place FROM k")
+@query("g4_reading_order", f"WITH {_BX}, e AS (SELECT page, x0, max(x1) AS x1 FROM bx WHERE x0 IS NOT NULL GROUP BY ALL), c AS (SELECT *, coalesce(x0 >= max(x1) OVER (PARTITION BY page ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS n FROM e), k AS (SELECT page, x0, sum(n) OVER (PARTITION BY page ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS col FROM c) SELECT page, x0::DOUBLE AS x0, y0, col::BIGINT AS col, row_number() OVER (PARTITION BY page ORDER BY col, y0, x0, x1, y1) AS place FROM bx JOIN k USING (page, x0)")
 def g4(spark, d):
     """Lines of an order as boxes of a page in up to three columns."""
     return G.reading_order(_boxes(spark, d), ["page"]).select("page", "x0", "y0", F.col("column").alias("col"), F.col("place").cast("long").alias("place"))
