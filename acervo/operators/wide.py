@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acervo.functions.clean import TYPES, is_placeholder, key_of
+from acervo.functions.clean import PARSERS, PLACEHOLDERS, TYPES, is_placeholder, key_of, squeeze
 
 #: The attributes become columns, so their number is bounded; a longer list is refused.
 MAX_ATTRIBUTES = 2000
@@ -19,7 +19,7 @@ def attributes_of(keys: DataFrame) -> list[tuple[str, str, str]]:
     return [(r[0], r[1] or r[0], r[2] if r[2] in TYPES else "text") for r in rows]
 
 
-def resolved_pairs(eav: DataFrame, attributes: list[tuple[str, str, str]], entity: str, key: str, value: str, order: str) -> DataFrame:
+def resolved_pairs(eav: DataFrame, attributes: list[tuple[str, str, str]], entity: str, key: str, value: str, order: str, placeholders: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
     """(entity, attribute, value, failed): per pair the newest valid canonical value, and the newest
     value that is neither valid nor a placeholder. Aggregated in every task before the shuffle."""
     by_key: dict[str, tuple[str, str]] = {}
@@ -33,18 +33,18 @@ def resolved_pairs(eav: DataFrame, attributes: list[tuple[str, str, str]], entit
     attr = F.create_map(*[F.lit(x) for k, (a, t) in by_key.items() for x in (k, f"{t}:{a}")])
     rows = eav.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{order}`").alias("id"), F.col(f"`{value}`").alias("raw"), F.try_element_at(attr, key_of(F.col(f"`{key}`"))).alias("ta"))
     rows = rows.where("entity IS NOT NULL AND ta IS NOT NULL AND raw IS NOT NULL")
-    rows = rows.select("entity", "id", "raw", F.substring_index("ta", ":", 1).alias("type"), F.expr("substring(ta, locate(':', ta) + 1)").alias("attribute"), is_placeholder(F.col("raw")).alias("holder"))
+    rows = rows.select("entity", "id", "raw", F.substring_index("ta", ":", 1).alias("type"), F.expr("substring(ta, locate(':', ta) + 1)").alias("attribute"), squeeze(F.col("raw")).alias("text"))
     typed = F.lit(None).cast("string")
-    for t, (parse, _) in TYPES.items():
-        typed = F.when(F.col("type") == t, parse(F.col("raw"))).otherwise(typed)
-    rows = rows.where(~F.col("holder")).select("entity", "attribute", "id", "raw", typed.alias("value"))
+    for t, (parse, _) in PARSERS.items():
+        typed = F.when(F.col("type") == t, parse(F.col("text"))).otherwise(typed)
+    rows = rows.where(~is_placeholder(F.col("text"), placeholders)).select("entity", "attribute", "id", "raw", typed.alias("value"))
     best = lambda c, ok: F.max(F.when(ok, F.struct("id", c)))[c]
     return rows.groupBy("entity", "attribute").agg(best("value", F.col("value").isNotNull()).alias("value"), best("raw", F.col("value").isNull()).alias("failed"))
 
 
 def widen(
     eav: DataFrame, keys: DataFrame, entities: DataFrame, entity: str = "document_id", key: str = "metadata_key",
-    value: str = "metadata_value", order: str = "id", entity_id: str = "id", blank: bool = False,
+    value: str = "metadata_value", order: str = "id", entity_id: str = "id", blank: bool = False, placeholders: tuple[str, ...] = PLACEHOLDERS,
 ) -> DataFrame:
     """One row per entity of `entities` that has a countable row in `eav`, with `blank` one per entity
     that has any: a typed column per attribute, and `failures`, a map of attribute to the newest value
@@ -52,12 +52,12 @@ def widen(
 
     A key belongs to an attribute if it equals its name or label apart from case, accents,
     punctuation and spacing; rows with other keys, null keys, null entities or null values don't
-    count, nor do placeholders. The cell is the value of the largest `order` among those valid for the type (ties: the
+    count, nor do values spelled like one of `placeholders` (lower case). The cell is the value of the largest `order` among those valid for the type (ties: the
     larger value). Repeated rows change nothing. An entity whose values are all invalid has a row of
     nulls; with `blank` so has one none of whose rows count, its failures empty. Empty tables give no rows; extra columns are ignored.
     """
     attributes = attributes_of(keys)
-    pairs = resolved_pairs(eav, attributes, entity, key, value, order)
+    pairs = resolved_pairs(eav, attributes, entity, key, value, order, placeholders)
     some = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("attribute", c))))
     maps = pairs.groupBy("entity").agg(some("value").alias("cells"), some("failed").alias("failures"))  # at most one pair per attribute
     if blank:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from acervo.operators import retrieval as R
 from acervo.operators import topics as T
 from acervo.operators.encoders import complete
+from acervo.operators.ranking import bucket_rank
 from acervo.operators.search import block_search, cosine, unit
 from acervo.functions.procurement import word_count
 from acervo.plans.registry import query
-from acervo.runtime import shared_dir, table
+from acervo.runtime import materialise, shared_dir, table
 
 K = 64
 #: Neighbours of a document that the export of similarities takes before the triangle.
@@ -364,12 +365,13 @@ def r3(spark, d):
     return _bm(spark, d).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("r6_rank_fusion", f"WITH {_BM}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(1.0 / (60 + coalesce(a.r, 1000000)) + 1.0 / (60 + coalesce(b.r, 1000000)), 9) AS score FROM (SELECT * FROM a WHERE r <= 200) a FULL JOIN (SELECT * FROM b WHERE r <= 200) b ON a.doc_id = b.doc_id")
+@query("r6_rank_fusion", f"WITH {_BM}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM (SELECT doc_id, max(score) AS score FROM bm GROUP BY 1)), b AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM (SELECT doc_id, max(n_chars) AS n FROM documents GROUP BY 1)) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(1.0 / (60 + coalesce(a.r, 1000000)) + 1.0 / (60 + coalesce(b.r, 1000000)), 9) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id")
 def r6(spark, d):
-    """Two top-200 lists fused."""
-    a = _bm(spark, d).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")))
-    b = table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    return R.fuse(a, b, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    """Two whole rankings fused: by keywords, and by length."""
+    a = _bm(spark, d).groupBy("doc_id").agg(F.max(F.round("score", 9)).alias("s"))
+    b = table(spark, d, "documents").groupBy("doc_id").agg(F.max("n_chars").alias("s"))
+    rank = lambda df, step, name: bucket_rank(materialise(df.withColumn("k", F.floor(-F.col("s") * step)), name), [], "k", [F.desc("s"), F.asc("doc_id")])
+    return R.fuse(rank(a, 1000, "keywords"), rank(b, 1, "lengths"), "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query("r7_rerank", "SELECT l_orderkey, l_linenumber, round(0.35 * l_discount * 10 + 0.45 * (l_quantity / 50) + 0.10 * greatest(0, 1 - (l_linenumber - 1) / greatest(1, count(*) OVER (PARTITION BY l_orderkey) - 1)) - 0.10 * l_tax * 10, 6) AS score FROM lineitem")
