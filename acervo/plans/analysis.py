@@ -191,6 +191,19 @@ def f8(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(words, lambda x: ~x.isin("el", "la", "los", "las", "de", "del", "y")), " ").alias("text"))
 
 
+_VOC = f"f9 AS (SELECT term FROM (SELECT DISTINCT doc_id, unnest({_TOKENS('text')}) AS term FROM documents) GROUP BY term HAVING count(*) >= 20)"
+
+
+@query("f9_vocabulary_projection", f"WITH {_VOC}, t AS (SELECT DISTINCT doc_id, text, {_TOKENS('text')} AS w FROM documents), u AS (SELECT doc_id, text, unnest(w) AS term, unnest(range(0, len(w))) AS i FROM t) SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS words FROM u SEMI JOIN f9 USING (term) GROUP BY doc_id, text")
+def f9(spark, d):
+    """The words of every text that are in the vocabulary, in order, repeated ones too."""
+    docs = table(spark, d, "documents").select("doc_id", "text").distinct().where("text IS NOT NULL")
+    known = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df")).where("df >= 20").select("term")
+    words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(tokens(F.col("text"))).alias("i", "term")).join(known, "term", "left_semi")
+    held = words.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("i", "term"))).alias("w"))
+    return held.select("doc_id", F.array_join(F.transform("w", lambda e: e["term"]), " ").alias("words"))
+
+
 @query("f11_xml_safe", r"SELECT doc_id, length(regexp_replace(text, '[^\x{9}\x{A}\x{D}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g')) AS n FROM documents")
 def f11(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(P.xml_safe(F.col("text"))).cast("long").alias("n"))
