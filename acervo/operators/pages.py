@@ -13,8 +13,8 @@ from acervo.operators.encoders import complete
 from acervo.operators.ranking import bucket_rank
 from acervo.runtime import materialise
 
-#: Weights of the first lines of a page as headers, of the last ones as footers.
-HEADER, FOOTER = (1.0, 0.75, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5), (0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.75, 1.0)
+#: Weights of the first lines of a page as headers.
+HEADER = (1.0, 0.75, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5)
 
 
 def text_of(content: bytes) -> str | None:
@@ -83,19 +83,19 @@ def inside(points: DataFrame, boxes: DataFrame, page: str) -> DataFrame:
     return points.alias("p").join(boxes.alias("b"), same & held, "left_semi")
 
 
-def running_lines(pages: DataFrame, key: str, page: str = "page", text: str = "text", weights: tuple[float, ...] = HEADER, window: int = 8) -> DataFrame:
+def running_lines(pages: DataFrame, key: str, page: str = "page", text: str = "text", weights: tuple[float, ...] = HEADER, window: int = 8, last: bool = False) -> DataFrame:
     """(key, line): the lines that run as headers: among the first of a page, trimmed and not blank, those like the
     ones at the same place of the pages around, their mean similarity times the weight of the place above a
-    half. The first page of a document is compared but with documents of one page compares with none."""
+    half. With `last` as footers: among the last of a page, places counted from its end, unweighed. The first page of a document is compared but with documents of one page compares with none."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = pages.select(key, page, F.posexplode(F.slice(lines, 1, len(weights))).alias("at", "line"))
+    rows = pages.select(key, page, F.posexplode(F.slice(F.reverse(lines) if last else lines, 1, len(weights))).alias("at", "line"))
     sizes = pages.groupBy(key).agg((F.max(page) + 1).alias("n"))
     first = rows.join(sizes, key).withColumn("low", F.greatest(F.col(page) - window, F.lit(1))).withColumn("high", F.least(F.col(page) + window, F.col("n")) - 1)
     alone = F.col("low") > F.col("high")
     first = first.withColumn("low", F.when(alone, 0).otherwise(F.col("low"))).withColumn("high", F.when(alone, F.col("n") - 1).otherwise(F.col("high")))
     near = first.select(key, page, "at", "line", (F.col("high") - F.col("low") + 1).alias("m"), F.explode(F.sequence("low", "high")).alias("other"))
     met = near.join(rows.select(key, F.col(page).alias("other"), "at", F.col("line").alias("there")), [key, "other", "at"])
-    weight = F.array(*[F.lit(w) for w in weights])[F.col("at")]
+    weight = F.array(*[F.lit(1.0 if last else w) for w in weights])[F.col("at")]
     score = F.sum(page_similarity(F.col("line"), F.col("there"))) / F.max("m") * F.max(weight)
     return met.groupBy(key, page, "at", "line").agg(score.alias("score")).where("score > 0.5").select(key, "line").distinct()
 

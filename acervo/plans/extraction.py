@@ -10,8 +10,9 @@ from acervo.operators import chain as C
 from acervo.operators import encoders as N
 from acervo.operators import evaluation as E
 from acervo.operators import retrieval as R
+from acervo.operators.search import block_search
 from acervo.plans.registry import query
-from acervo.runtime import table
+from acervo.runtime import materialise, table
 
 SIZE, OVERLAP = 64, 16
 _NODES = rf"""w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS t FROM documents),
@@ -96,6 +97,19 @@ def v13(spark, d):
     return out.select("id", F.posexplode("embedding").alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+_DOCS = f"dd AS (SELECT doc_id, max(text) AS text FROM documents GROUP BY 1), {_cells('dc', 'dd', 'doc_id')}"
+
+
+@query("q21e_keyword_filtered", f"WITH {_DOCS}, kw AS (SELECT doc_id FROM dd WHERE list_has_any({_TOKENS('text')}, ['limpieza', 'residuos'])), s AS (SELECT q.doc_id AS query, r.doc_id AS id, sum(q.x * r.x) AS score FROM dc q JOIN dc r ON q.i = r.i JOIN kw ON kw.doc_id = r.doc_id WHERE q.doc_id % 100 = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s) SELECT query, id, round(score, 6) AS cosine, rank FROM k WHERE rank <= 20")
+def q21e(spark, d):
+    """The nearest documents of those that hold a keyword: the filter comes before the top k."""
+    docs = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text")).where("text IS NOT NULL")
+    vectors = materialise(N.encode(docs, "text").select(F.col("doc_id").cast("long").alias("id"), "text", F.col("embedding").alias("v")).where(F.exists("v", lambda x: x != 0)), "vectors")
+    held = vectors.where(R.keyword(F.col("text"), "limpieza residuos"))
+    near = block_search(vectors.where("id % 100 = 0").select("id", "v"), held.select("id", "v"), 20, N.DIM)
+    return near.select("query", "id", F.round("score", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 # -- retrieval ------------------------------------------------------------------------------------------
 
 

@@ -198,6 +198,15 @@ def f31(spark, d):
     return G.running_lines(paged(spark, d), "doc_id")
 
 
+@query("f31_running_footers", rf"""WITH {_PAGES}, t0 AS (SELECT doc_id, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM pg), tl AS (SELECT doc_id, page, list_reverse(l)[1:8] AS l FROM t0),
+r AS (SELECT doc_id, page, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM tl), n AS (SELECT doc_id, max(page) + 1 AS n FROM pg GROUP BY 1),
+f AS (SELECT r.*, n, greatest(page - 8, 1) AS lo, least(page + 8, n) - 1 AS hi FROM r JOIN n USING (doc_id)), w AS (SELECT *, CASE WHEN lo > hi THEN 0 ELSE lo END AS a, CASE WHEN lo > hi THEN n - 1 ELSE hi END AS b FROM f),
+m AS (SELECT w.doc_id, w.page, w.pos, w.line, b - a + 1 AS m, len(list_filter(list_zip(string_split(regexp_replace(w.line, '\d', '@', 'g'), ''), string_split(regexp_replace(r.line, '\d', '@', 'g'), '')), lambda p: p[1] = p[2])) / greatest(length(w.line), length(r.line)) AS s FROM w JOIN r ON w.doc_id = r.doc_id AND w.pos = r.pos AND r.page BETWEEN a AND b)
+SELECT DISTINCT doc_id, line FROM (SELECT doc_id, page, pos, line, sum(s) / max(m) AS score FROM m GROUP BY doc_id, page, pos, line) WHERE score > 0.5""")
+def f31b(spark, d):
+    return G.running_lines(paged(spark, d), "doc_id", last=True)
+
+
 _CW = "cw AS (SELECT lang, word FROM common_words)"
 
 

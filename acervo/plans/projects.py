@@ -16,6 +16,7 @@ from acervo.operators import chain as C
 from acervo.operators import encoders as N
 from acervo.operators import retrieval as R
 from acervo.plans.catalog import Catalog, Exists, Missing
+from acervo.plans.extraction import _NODES, OVERLAP, SIZE, _cells
 from acervo.plans.registry import query
 from acervo.plans.votes import _PC, _V, compared, named, votes
 from acervo.runtime import shared_dir, table
@@ -315,12 +316,16 @@ def f38(spark, d):
     return N.complete(table(spark, d, "corpus").select("place_id", "title").distinct(), "title", lemmas, out="lemmas").select("place_id", "lemmas")
 
 
-@query("r13_answered_from_context")
+_ASK = "criterios de adjudicación y solvencia, condiciones especiales de ejecución"
+_R13 = _NODES.replace(f"- {SIZE}, 0", "- 256, 0").replace(f"/ {SIZE - OVERLAP}", "/ 224").replace(f"* {SIZE - OVERLAP} + {SIZE}]", "* 224 + 256]").replace(f"* {SIZE - OVERLAP} + 1", "* 224 + 1")
+
+
+@query("r13_answered_from_context", f"WITH {_R13}, ql AS (SELECT 0 AS query, '{_ASK}' AS text), {_cells('qc', 'ql', 'query')}, {_cells('nc', 'nodes', 'doc_id, idx')}, ds AS (SELECT doc_id, idx, sum(nc.x * qc.x) AS score FROM nc JOIN qc USING (i) GROUP BY ALL), r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) AS rank FROM ds JOIN nodes USING (doc_id, idx)), g AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS t FROM r WHERE rank <= 12 GROUP BY 1) SELECT doc_id, array_to_string(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')[1:20], ' ') AS answer FROM g")
 def r13(spark, d):
     """A fixed question asked of every document's best twelve chunks; the model is a callable, here it gives
     the first words of its context."""
     nodes = R.chunks(table(spark, d, "documents"), "doc_id", "text", 256, 32).select("doc_id", "idx", "text")
-    hits = C.ranked(C.dense(nodes, ["criterios de adjudicación y solvencia, condiciones especiales de ejecución"]), ["doc_id"]).where("rank <= 12")
+    hits = C.ranked(C.dense(nodes, [_ASK]), ["doc_id"]).where("rank <= 12")
     joined = hits.join(nodes, ["doc_id", "idx"]).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda e: e["text"]), "\n\n").alias("context"))
     return N.complete(joined, "context", lambda prompts: [" ".join(p.split()[:20]) for p in prompts]).select("doc_id", "answer")
 

@@ -218,6 +218,13 @@ def e14b(spark, d):
     return rows.withColumn("rank_metric", F.when(F.col("median_metric").isNotNull(), rank)).join(agree, "task", "left")
 
 
+@query("e14_annotator_ranks", f"WITH {_PTS}, s AS (SELECT task, annotator, model, sum(points)::BIGINT AS points FROM pt GROUP BY ALL) SELECT task, annotator, model, points, row_number() OVER (PARTITION BY task, annotator ORDER BY points DESC, model) AS rank FROM s")
+def e14c(spark, d):
+    """Points and rank of every system by every annotator's votes alone."""
+    rank = F.row_number().over(Window.partitionBy("task", "annotator").orderBy(F.desc("points"), "model")).cast("long")  # systems
+    return points(spark, d, ["task", "annotator"]).select("task", "annotator", "model", F.col("points").cast("long").alias("points")).withColumn("rank", rank)
+
+
 @query("k7_annotations_wide", f"WITH {_V} SELECT annotator, instance_id, max(CASE WHEN selected_model = 'A es mejor' THEN '1' END) AS a, max(CASE WHEN selected_model = 'B es mejor' THEN '1' END) AS b FROM v WHERE selected_model <> 'Ambos son malos' GROUP BY ALL")
 def k7(spark, d):
     """The votes as they stand, a row per annotator and comparison, a column per choice."""
