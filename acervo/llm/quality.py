@@ -23,7 +23,7 @@ SAMPLE, MAX_COMMON = 4000, 10_000
 _ITEM = r"^[ \t]*(?:\d+(?:\.\d+)*[.)]|[a-z]\)|[-*•·–])[ \t]+"
 _STOP = r"(?m)[.!?…](?<=(?:\p{L}{2}|\p{L}[ \n]\d{1,4})[.!?…])[)»\"”]?(?=\s+[(«\"“¿¡]?[\p{Lu}\d]|[ \t]*$)"
 _NO_VOWEL = r"(?<!\p{L})[^\P{L}aeiouyàáâèéêëìíîïòóôöùúûüœæ]++(?!\p{L})"
-_USUAL = r"[\p{L}\p{Nd}\s.,;:()/%'’\"«»“”!?¿¡·€ºª–-]++"
+_USUAL = r"[\p{Nd}.,;:()/%'’\"«»“”!?¿¡·€–-]++"
 
 STATISTICS = (
     "words", "mean_word_length", "letter_ratio", "digit_ratio", "symbol_ratio", "line_end_ratio", "common_ratio",
@@ -54,11 +54,12 @@ def statistics(df: DataFrame, common: list[str], text: str = "text", keep: tuple
             "_tokens": F.filter(F.split(t, r"\s+"), lambda x: x != ""),
             "_lines": F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""),
             "_words": F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda x: x != ""),
-            "_digits": size(F.regexp_replace(t, r"\P{Nd}+", "")),
+            "_rest": F.regexp_replace(t, r"\p{L}+", ""),
         }
     )
-    joined = lambda c: size(F.array_join(c, ""))
-    rows = rows.withColumns({"_chars": joined("_tokens"), "_letters": joined("_words")})
+    rows = rows.withColumn("_marks", F.regexp_replace("_rest", r"\s+", ""))  # what is neither letter nor white space, a small part of a text
+    rows = rows.withColumns({"_letters": size(t) - size("_rest"), "_digits": size(F.regexp_replace("_marks", r"\P{Nd}+", "")), "_odd": size(F.regexp_replace("_marks", _USUAL, ""))})
+    rows = rows.withColumn("_chars", F.col("_letters") + F.length("_marks"))
     n, m, lines, chars = F.size("_tokens").cast("double"), F.size("_words").cast("double"), F.size("_lines").cast("double"), F.col("_chars")
     ratio = lambda c, of, test: F.when(of > 0, F.size(F.filter(c, test)) / of)
     some = lambda value: F.when(n > 0, value)
@@ -74,7 +75,7 @@ def statistics(df: DataFrame, common: list[str], text: str = "text", keep: tuple
         "distinct_ratio": some(F.size(F.array_distinct("_tokens")) / n),
         "words_per_stop": some(n / F.greatest(stops, F.lit(1))),
         "vowel_ratio": F.when(m > 0, F.greatest(F.lit(0.0), 1 - F.regexp_count(F.lower(t), F.lit(_NO_VOWEL)) / m)),
-        "odd_ratio": some(size(F.regexp_replace(t, _USUAL, "")) / chars),
+        "odd_ratio": some(F.col("_odd") / chars),
         "single_ratio": ratio("_tokens", n, lambda x: F.length(x) == 1),
         "item_ratio": ratio("_lines", lines, lambda x: x.rlike(_ITEM)),
         "words_per_line": F.when(lines > 0, n / lines),
