@@ -4,15 +4,17 @@ called for, fusion, reranking, provenance and the selection of a context."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acervo.functions import objective as O
 from acervo.operators import retrieval as R
-from acervo.operators.encoders import DIM, hashed_cells
+from acervo.operators.encoders import DIM, hashed_cells, hashed_counts
 
 #: The queries of the retriever and the keywords of the second one.
 QUERIES = (
@@ -46,9 +48,27 @@ def dense(nodes: DataFrame, queries: Sequence[str] = QUERIES, key: str = "doc_id
 
 
 def by_example(nodes: DataFrame, examples: DataFrame, key: str = "doc_id", dim: int = DIM, length: int = 250) -> DataFrame:
-    """(key, idx, score): chunks against the first `length` characters of their document's own example(key, text)."""
-    own = hashed_cells(examples.select(key, F.substring("text", 1, length).alias("text")), [key], "text", dim).withColumnRenamed("x", "y")
-    return hashed_cells(nodes, [key, "idx"], "text", dim).join(own, [key, "i"]).groupBy(key, "idx").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+    """(key, idx, score): chunks against the first `length` characters of their document's own example(key, text);
+    those that share a place. Rows of the same key count as one text. A vector is one row of bytes and moves once."""
+    own = hashed_counts(examples.where(F.col(key).isNotNull()).select(key, F.substring("text", 1, length).alias("text")), [key], "text", dim)
+    near = hashed_counts(nodes.where(F.col(key).isNotNull()), [key, "idx"], "text", dim).repartition(key)  # for what follows
+    met = near.groupBy(key, "idx").agg(F.collect_list("v").alias("a")).join(own.groupBy(key).agg(F.collect_list("v").alias("b")), key)
+
+    def summed(column: pa.Array) -> np.ndarray:
+        v = np.frombuffer(b"".join(column.flatten().to_pylist()), dtype=np.int32).reshape(-1, dim).astype(float)
+        return np.add.reduceat(v, np.r_[0, np.cumsum(column.value_lengths().to_numpy())[:-1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            a, b = summed(rows.column(2)), summed(rows.column(3))
+            there = np.flatnonzero(((a != 0) & (b != 0)).any(axis=1))
+            score = (a * b).sum(axis=1)[there] / (np.linalg.norm(a[there], axis=1) * np.linalg.norm(b[there], axis=1))
+            yield pa.RecordBatch.from_arrays([*[rows.column(i).take(pa.array(there)) for i in (0, 1)], pa.array(score)], names=[key, "idx", "score"])
+
+    kinds = dict(nodes.dtypes)
+    return met.select(key, "idx", "a", "b").mapInArrow(run, f"`{key}` {kinds[key]}, idx {kinds['idx']}, score double")
 
 
 def ranked(scores: DataFrame, by: list[str], out: str = "rank") -> DataFrame:

@@ -36,6 +36,33 @@ def hashed_cells(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> D
     return cells.join(size, keys).select(*keys, "i", (F.col("x") / F.col("_n")).alias("x"))
 
 
+def hashed_counts(df: DataFrame, keys: list[str], text: str, dim: int = DIM, known: int = 200_000) -> DataFrame:
+    """(keys, v): the default encoding before it is scaled to length 1, of every row with a word, as the bytes of `dim`
+    whole numbers (int32). A task keeps the places of at most `known` words it has met."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, int] = {}
+        for rows in batches:
+            codes, sizes = [], []
+            for value in rows.column(len(keys)).to_pylist():
+                words = _TOKEN.findall((value or "").lower())
+                for word in words:
+                    if (code := met.get(word)) is None:
+                        if len(met) >= known:
+                            met.clear()
+                        digest = hashlib.md5(word.encode()).hexdigest()
+                        code = met[word] = int(digest[:7], 16) % dim * 2 + (digest[7] >= "8")
+                    codes.append(code)
+                sizes.append(len(words))
+            code, at = np.array(codes, dtype=np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            v = np.bincount(at * dim + code // 2, weights=1 - 2.0 * (code % 2), minlength=len(sizes) * dim).astype(np.int32).reshape(-1, dim)
+            there = np.flatnonzero(sizes)
+            yield pa.RecordBatch.from_arrays([*[rows.column(i).take(pa.array(there)) for i in range(len(keys))], pa.array([v[i].tobytes() for i in there], pa.binary())], names=[*keys, "v"])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", v binary")
+
+
 def hashing(texts: Sequence[str], dim: int = DIM) -> np.ndarray:
     """The default encoder as a callable; the same vectors as hashed_cells."""
     out = np.zeros((len(texts), dim))

@@ -11,6 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from acervo.functions.stemming import stem
 from acervo.operators import chain as C
 from acervo.operators import encoders as N
@@ -213,3 +215,16 @@ def test_late_rows_are_left_out(spark, tmp_path):
     assert got[1] == (1, 1.0) and got[5] == (1, 1.0) and 20 not in got
 
 
+
+
+def test_by_example_moves_vectors_once(spark):
+    """Rows of the same key count as one text; chunks that share no place, null keys and null texts have no score; the
+    chunks' words don't leave their task."""
+    nodes = spark.createDataFrame([(1, 0, "a b b"), (1, 0, "c"), (1, 1, "z"), (2, 0, "a"), (3, 0, None), (None, 0, "a")], "doc_id long, idx int, text string")
+    examples = spark.createDataFrame([(1, "a b"), (1, "c"), (2, ""), (3, "a"), (None, "a")], "doc_id long, text string")
+    out = C.by_example(nodes, examples)
+    x, y = N.hashing(["a b b c", "a b c"])
+    z = N.hashing(["z"])[0]
+    want = {(1, 0): x @ y} | ({(1, 1): z @ y} if (z * y).any() else {})
+    assert {(r["doc_id"], r["idx"]): r["score"] for r in out.collect()} == pytest.approx(want)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
