@@ -162,10 +162,20 @@ def refused(c: Column) -> Column:
     return F.when(empty, "/").otherwise(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
+def letters(c: Column) -> Column:
+    """The number of letters and white space."""
+    return F.regexp_count(c, F.lit(r"[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ\s]"))
+
+
+def plain(c: Column) -> Column:
+    """Plain characters only, white space squeezed and trimmed."""
+    kept = F.regexp_replace(c, r"[^a-zA-Z0-9áéíóúÁÉÍÓÚñÑ.,;()\[\]\s]", "")
+    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+
+
 def legible(c: Column) -> Column:
     """False under 20 characters or with less than half letters and white space."""
-    good = F.regexp_count(c, F.lit(r"[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ\s]"))
-    return (F.length(c) >= 20) & (good / F.greatest(F.length(c), F.lit(1)) >= 0.5)
+    return (F.length(c) >= 20) & (letters(c) / F.greatest(F.length(c), F.lit(1)) >= 0.5)
 
 
 def extracted(c: Column) -> Column:
@@ -175,9 +185,7 @@ def extracted(c: Column) -> Column:
     other = F.lit(False)
     for part in NOT_THE_DOCUMENT:
         other = other | text.contains(part)
-    plain = F.regexp_replace(text, r"[^a-zA-Z0-9áéíóúÁÉÍÓÚñÑ.,;()\[\]\s]", "")
-    plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
-    return F.when(c.isNull(), UNOPENED).when(other, FILTERED).when(~legible(text), ILLEGIBLE).otherwise(plain)
+    return F.when(c.isNull(), UNOPENED).when(other, FILTERED).when(~legible(text), ILLEGIBLE).otherwise(plain(text))
 
 
 def plain_string(c: Column) -> Column:

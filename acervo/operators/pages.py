@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acervo.functions import objective as O
 from acervo.functions.objective import page_similarity
 from acervo.operators.encoders import complete
 from acervo.operators.ranking import bucket_rank
@@ -15,6 +19,8 @@ from acervo.runtime import materialise
 
 #: Weights of the first lines of a page as headers.
 HEADER = (1.0, 0.75, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5)
+#: Characters of a piece of a file's text.
+PIECE = 1 << 18
 
 
 def text_of(content: bytes) -> str | None:
@@ -42,6 +48,60 @@ def map_files(files: DataFrame, parse: Callable[[bytes], str | None] = text_of)
     return files.select("path", "content").mapInArrow(run, "path string, result string")
 
 
+def file_pieces(files: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(path, at, before, piece): the text of UTF-8 files(path) in pieces of some `piece` characters, read as a stream, so
+    that no task holds a file. White space at its ends is left out; a piece ends before white space, and is
+    longer only where a word is; before is the end of the piece ahead. A text without pieces has an empty one,
+    a file that can't be read or decoded ends with a null one."""
+    blank, tail = " \t\n\x0b\f\r", max(map(len, O.NOT_THE_DOCUMENT))
+
+    def cuts(path: str) -> Iterator[str]:
+        where, name = fs.FileSystem.from_uri(path)
+        decode, held, begun = codecs.getincrementaldecoder("utf-8")().decode, "", False
+        with where.open_input_stream(name) as stream:
+            while True:
+                chunk = stream.read(piece)
+                held += decode(chunk, final=not chunk)
+                if not begun:
+                    held = held.lstrip(blank)
+                    begun = bool(held)
+                if not chunk:
+                    yield held.rstrip(blank)
+                    return
+                end = len(held.rstrip(blank))  # white space that may be the last stays
+                at = max(held.rfind(b, 1, end) for b in blank)
+                if len(held) >= piece and at > 0:
+                    yield held[:at]
+                    held = held[at:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(*cells) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "at", "before", "piece"])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                at, before = 0, ""
+                try:
+                    for text in cuts(path):
+                        yield row(path, at, before, text)
+                        at, before = at + 1, (before + text)[-tail:]
+                except (OSError, UnicodeDecodeError):  # a damaged file is a result
+                    yield row(path, at, before, None)
+
+    return files.select("path").mapInArrow(run, "path string, at long, before string, piece string")
+
+
+def extracted_lengths(pieces: DataFrame) -> DataFrame:
+    """(path, n): the length of objective.extracted of a text in pieces(path, before, piece) as file_pieces gives them."""
+    plain = F.length(O.plain(F.col("piece")))
+    other = reduce(Column.__or__, [F.concat("before", "piece").contains(part) for part in O.NOT_THE_DOCUMENT])
+    rows = pieces.select("path", F.col("piece").isNull().alias("bad"), other.alias("other"), F.length("piece").alias("size"), O.letters(F.col("piece")).alias("good"), plain.alias("plain"))
+    sums = rows.groupBy("path").agg(F.max("bad").alias("bad"), F.max("other").alias("other"), F.sum("size").alias("size"), F.sum("good").alias("good"), F.sum("plain").alias("plain"), F.count_if(F.col("plain") > 0).alias("n"))
+    legible = (F.col("size") >= 20) & (F.col("good") / F.greatest("size", F.lit(1)) >= 0.5)
+    joined = F.col("plain") + F.greatest(F.col("n") - 1, F.lit(0))  # a space between two pieces
+    return sums.select("path", F.when(F.col("bad"), len(O.UNOPENED)).when(F.col("other"), len(O.FILTERED)).when(~legible, len(O.ILLEGIBLE)).otherwise(joined).cast("long").alias("n"))
+
+
 def numbered(files: DataFrame) -> DataFrame:
     """files with pdf_id, their place from 0 by the last folder and the name, then by the whole path."""
     held = materialise(files.withColumn("_b", F.substring_index("path", "/", -2)), "files")

@@ -228,3 +228,20 @@ def test_by_example_moves_vectors_once(spark):
     want = {(1, 0): x @ y} | ({(1, 1): z @ y} if (z * y).any() else {})
     assert {(r["doc_id"], r["idx"]): r["score"] for r in out.collect()} == pytest.approx(want)
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_in_pieces(spark, tmp_path):
+    """A file's text comes in pieces, and has the length it has in one."""
+    from acervo.functions import objective as O
+    from acervo.operators.pages import extracted_lengths, file_pieces
+
+    texts = ["  \n objeto del contrato ¡y más!\n\n  obras … %% públicas\t \n", "x" * 50 + " ¿? " + "yé" * 40, "corto", "", " \n ", "¿ ¡ " * 20, "a " * 30 + "un error de\nacceso " + "b " * 30, "a " * 30 + "un error de acceso " + "b " * 30]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.txt").write_bytes(text.encode())
+    (tmp_path / "8.txt").write_bytes(b"texto " * 20 + b"\xff")
+    files = readers.files(spark, f"file://{tmp_path}", "*.txt")
+    want = {r["path"]: r["n"] for r in G.map_files(files).selectExpr("path", "result").select("path", F.length(O.extracted(F.col("result"))).cast("long").alias("n")).collect()}
+    pieces = file_pieces(files, piece=16)
+    assert pieces.groupBy("path").count().agg({"count": "max"}).first()[0] > 5
+    assert {r["path"]: r["n"] for r in extracted_lengths(pieces).collect()} == want and len(want) == 8  # an empty file isn't listed
+    assert {r["path"]: r["n"] for r in extracted_lengths(file_pieces(files)).collect()} == want
