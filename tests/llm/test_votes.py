@@ -1,10 +1,12 @@
 import datetime
+import inspect
 
 import numpy as np
 import pytest
 
+from acervo.llm import paired
 from acervo.llm.consensus import Salted, beta_cdf, beta_quantile, consensus, fit, krippendorff, reliability
-from acervo.llm.paired import components, rank_items, win_counts
+from acervo.llm.paired import components, rank_items, spread, win_counts
 from acervo.llm.votes import LABELS, systems, valid_votes
 
 AT = datetime.datetime(2025, 1, 1)
@@ -170,3 +172,25 @@ def test_beta_quantiles():
         for p in (0.025, 0.5, 0.975):
             assert abs(beta_quantile(p, a[i : i + 1], b[i : i + 1])[0] - grid[np.searchsorted(total, p)]) < 1e-4
     assert abs(beta_cdf(0.3, 1.0, 1.0) - 0.3) < 1e-12
+
+
+def test_errors_of_large_groups_are_exact(spark, monkeypatch):
+    """More items than are inverted in one piece: the same errors, from blocks; a small group beside them. No size
+    by itself calls for rough errors."""
+    assert inspect.signature(rank_items).parameters["dense"].default is None
+    monkeypatch.setattr(paired, "SIDE", 32)
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for task, k, many in (("t", 70, 200), ("v", 41, 90), ("u", 5, 9)):
+        p = np.exp(rng.normal(size=k))
+        info = np.diag(p / (p + 1) ** 2)
+        for a, b in {tuple(sorted(x)) for x in rng.integers(0, k, (many, 2)).tolist() if x[0] != x[1]} | {(i, i + 1) for i in range(k - 1)}:
+            n = float(rng.integers(1, 9))
+            rows += [(task, f"m{i:04d}", f"m{j:04d}", n, float(p[i]), float(p[j])) for i, j in ((a, b), (b, a))]
+            w = n * p[a] * p[b] / (p[a] + p[b]) ** 2
+            info[[a, b], [a, b]] += w
+            info[[a, b], [b, a]] -= w
+        want |= {(task, f"m{i:04d}"): se for i, se in enumerate(np.sqrt(np.diag(np.linalg.inv(info))))}
+    got = {(r["task"], r["item"]): r for r in spread(spark.createDataFrame(rows, "task string, item string, other string, n double, p double, q double"), 0.5, whole=40).collect()}
+    assert got.keys() == want.keys() and all(r["se_exact"] for r in got.values())
+    assert [got[i]["se"] for i in want] == pytest.approx(list(want.values()), rel=1e-9)
