@@ -33,12 +33,12 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).withColumn("cosine", F.round("cosine", 6))
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(newest_vectors(table(spark, d, "corpus"), "place_id", "indexed_at", "embeddings", 96))
+def _nearest(spark: SparkSession, d: str, least: float = -2.0) -> DataFrame:
+    return nearest(newest_vectors(table(spark, d, "corpus"), "place_id", "indexed_at", "embeddings", 96), least=least)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return mutual(_nearest(spark, d), 0.85).select(F.col("id_1").alias("place_id_1"), F.col("id_2").alias("place_id_2"))
+    return mutual(_nearest(spark, d, 0.85), 0.85).select(F.col("id_1").alias("place_id_1"), F.col("id_2").alias("place_id_2"))
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:

@@ -83,3 +83,73 @@ def test_few_pairs_are_recomputed(spark, monkeypatch):
     assert len(out) == 20_000 and sum(seen) < 0.05 * 2000 * 1999
     for r in out[:500]:
         assert abs(r["cosine"] - np.sort(s[int(r["id"])])[-r["rank"]]) < 1e-12
+
+
+def folder_of(x, turn, at):
+    """Blocks of 128 vectors as four packing tasks write them."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    packed = []
+    for task in range(4):
+        own = range(task, len(x), 4)
+        batch = pa.RecordBatch.from_arrays([pa.array([f"{i:04d}" for i in own]), pa.array(list(x[task::4]), pa.list_(pa.float32()))], names=["id", "v"])
+        knn.TaskContext.get = lambda n=task: type("T", (), {"partitionId": lambda self: n})()
+        packed += knn._pack(x.shape[1], turn)(iter([batch]))
+    for i, b in enumerate(packed):
+        pq.write_table(pa.Table.from_batches([b]), f"{at}/part-{i}.parquet")
+    return packed
+
+
+def near_some(rng, n):
+    """Vectors in all directions, every tenth near the one before it; some equal, some longer copies."""
+    x = rng.normal(size=(n, 96)).astype(np.float32)
+    x[1::10] = x[::10] + rng.normal(size=x[::10].shape).astype(np.float32) * 0.4
+    x[300:314] = x[300]
+    x[320:323] = 3 * x[20]
+    return x
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_outlines_rule_out_no_pair_and_cost_less(monkeypatch, tmp_path, once):
+    """Lists from a least cosine on, against all products; a third of the products of codes, and half of the pairs of blocks."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(knn, "BLOCK", 128)
+    monkeypatch.setattr(knn.TaskContext, "get", None)
+    x = near_some(np.random.default_rng(6), 2000)
+    turn, share = knn.fit_outline(x, 0.85)
+    packed = folder_of(x, turn, tmp_path)
+    done, matmul = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: (done.append(a.shape[0] * a.shape[1] * b.shape[1]), matmul(a, b, out=out))[1])
+    parts = [pa.Table.from_batches(list(knn._search(f"file://{tmp_path}", 5, 96, 0.85, turn, once)(iter(packed[i::3])))) for i in range(3)]
+    assert sum(done) < (0.35 if once else 0.6) * 96 * 2000**2
+    u = knn.unit(x)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert abs((s >= 0.85).mean() - share) < 1e-4
+    got = {}
+    for r in pa.concat_tables(parts).to_pylist():
+        got.setdefault(int(r["id"]), []).append((-r["cosine"], r["neighbour"]))
+    assert set(got) == set(np.flatnonzero((s >= 0.85).any(axis=1)))
+    for i, found in got.items():
+        assert len(found) == len(set(found))
+        cos = [-c for c, _ in sorted(found)[:5]]
+        assert np.allclose(cos, np.sort(s[i][s[i] >= 0.85])[::-1][:5], atol=1e-12)
+        if 300 <= i < 314:  # ties: the smaller ids
+            assert [n for _, n in sorted(found)[:5]] == [f"{j:04d}" for j in range(300, 314) if j != i][:5]
+
+
+@pytest.mark.parametrize("copies", [1, 190])
+def test_least_cosine_gives_the_same_pairs(spark, monkeypatch, copies):
+    """Few pairs, and so many that the lists are made whole by their own tasks."""
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    x = near_some(np.random.default_rng(8), 600)
+    x[400 : 400 + copies] = x[400]
+    vectors = knn.usable(make(spark, x), "place_id", "embeddings", 96)
+    pairs = [sorted(tuple(r)[:2] for r in knn.mutual(knn.nearest(vectors, 10, 96, least), 0.85).collect()) for least in (-2.0, 0.85)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 50
+    ranks = {}
+    for r in knn.nearest(vectors, 10, 96, 0.85).collect():
+        ranks.setdefault(r["id"], []).append(r["rank"])
+    assert all(sorted(r) == list(range(1, len(r) + 1)) and len(r) <= 10 for r in ranks.values())
